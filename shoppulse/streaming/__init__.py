@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference computes nothing on unbounded input: no stream sources, no
+watermarks, no windows over event time, no stateful operators.  Every
+operator in :mod:`shoppulse.operators` is a plain DataFrame transformation,
+so it can run inside ``writeStream.foreachBatch`` on a micro-batch unchanged;
+no streaming-specific operator is provided.
+"""
