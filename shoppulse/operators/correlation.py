@@ -54,26 +54,43 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
                      items: Sequence[str] | None = None,
                      names: tuple[str, str, str] = ("SKU1", "SKU2", "correlation")) -> DataFrame:
     """Pearson correlation of every item pair over their term-count vectors
-    (0 for a term an item never uses; one observation per distinct term).
-
-    The term x item count matrix is a ``groupBy(term).pivot(item)`` of the
-    pre-aggregated counts, so a term shared by every item stays one row and
-    no item pairs are generated per term; the pair moments are then one
-    aggregation pass (:func:`corr_pairs`)."""
-    agg = counts.groupBy(item, term).agg(F.sum(n).alias("_n"))
+    (0 for a term an item never uses; one observation per distinct term):
+    ``r = (V*Sxy - Sx*Sy) / sqrt((V*Sxx - Sx^2) * (V*Syy - Sy^2))``.
+
+    The term x item matrix is one ``groupBy(term)`` of the pre-aggregated
+    counts with one conditional sum per item, so a term shared by every item
+    stays one row and no item pairs are generated per term.  The moments are
+    exact integer sums in one aggregation pass (partial per task), and the
+    pair formula is evaluated on that single row inside Spark."""
+    agg = counts.groupBy(item, term).agg(F.sum(n).cast("bigint").alias("_n"))
     if items is None:
-        # distinct items: the pivot's column set (bounded by the item count)
+        # the matrix's column set: one name per item (bounded by the item count)
         items = sorted(r[0] for r in agg.select(item).distinct().collect())
     items = list(items)
-    safe = [f"i{k}" for k in range(len(items))]
-    wide = (agg.withColumn("_ik", F.concat(F.lit("i"), F.array_position(
-                F.array(*[F.lit(x) for x in items]), F.col(item)) - 1))
-               .groupBy(term).pivot("_ik", safe).agg(F.sum("_n")).na.fill(0, subset=safe))
-    out = corr_pairs(wide, safe, absolute=False, names=names)
-    mapping = F.create_map(*[x for k, it in enumerate(items) for x in (F.lit(safe[k]), F.lit(it))])
+    d = len(items)
     a, b, v = names
-    return out.select(mapping[F.col(a)].alias(a), mapping[F.col(b)].alias(b), F.col(v)) \
-              .orderBy(F.col(v).desc(), F.col(a), F.col(b))
+    if d < 2:
+        return counts.sparkSession.createDataFrame([], f"{a} string, {b} string, {v} double")
+    safe = [f"i{k}" for k in range(d)]
+    wide = agg.groupBy(term).agg(*[
+        F.sum(F.when(F.col(item) == F.lit(it), F.col("_n")).otherwise(F.lit(0))).alias(s)
+        for it, s in zip(items, safe)])
+    pairs = list(combinations(range(d), 2))
+    mom = wide.agg(F.count(F.lit(1)).cast("double").alias("V"),
+                   *[F.sum(s).cast("double").alias(f"sx{k}") for k, s in enumerate(safe)],
+                   *[F.sum(F.col(s) * F.col(s)).cast("double").alias(f"sq{k}") for k, s in enumerate(safe)],
+                   *[F.sum(F.col(safe[i]) * F.col(safe[j])).cast("double").alias(f"sp{i}_{j}") for i, j in pairs])
+    V = F.col("V")
+    entries = []
+    for i, j in pairs:
+        sx, sy, sxx, syy, sxy = (F.col(f"sx{i}"), F.col(f"sx{j}"), F.col(f"sq{i}"), F.col(f"sq{j}"),
+                                 F.col(f"sp{i}_{j}"))
+        den = F.sqrt((V * sxx - sx * sx) * (V * syy - sy * sy))
+        r = F.try_divide(V * sxy - sx * sy, den)
+        entries.append(F.struct(F.lit(items[i]).alias(a), F.lit(items[j]).alias(b), r.alias(v)))
+        entries.append(F.struct(F.lit(items[j]).alias(a), F.lit(items[i]).alias(b), r.alias(v)))
+    out = mom.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return out.filter(F.col(v).isNotNull()).orderBy(F.col(v).desc(), F.col(a), F.col(b))
 
 
 # ------------------------------------------------------------ signed weights --

@@ -64,10 +64,14 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATT
         stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
         arr = F.filter(arr, lambda w: ~F.array_contains(stop, w))
     base = df.select(F.col(id_col), arr.alias("_w"))
+    # explode_outer + null filter: a plain explode makes the optimizer infer
+    # ``size(regex result) > 0`` below the projection, evaluating the regex
+    # twice per document
     if positions:
-        return base.select(id_col, F.posexplode("_w").alias("_p", word_col)) \
+        return base.select(id_col, F.posexplode_outer("_w").alias("_p", word_col)) \
+                   .filter(F.col(word_col).isNotNull()) \
                    .select(id_col, word_col, (F.col("_p") + 1).cast("bigint").alias("index_word"))
-    return base.select(id_col, F.explode("_w").alias(word_col))
+    return base.select(id_col, F.explode_outer("_w").alias(word_col)).filter(F.col(word_col).isNotNull())
 
 
 def tag_words(tokens: DataFrame, lexicon: DataFrame, word_col: str = "word",
@@ -101,7 +105,8 @@ def doc_term_counts_from_text(df: DataFrame, id_col: str, text_col: str,
     so TF needs no per-document aggregate or join."""
     arr = word_array(text_col, pattern)
     return (df.select(F.col(id_col), arr.alias("_w"))
-              .select(id_col, F.size("_w").cast("bigint").alias("doc_n"), F.explode("_w").alias("word"))
+              .select(id_col, F.size("_w").cast("bigint").alias("doc_n"), F.explode_outer("_w").alias("word"))
+              .filter(F.col("word").isNotNull())
               .groupBy(id_col, "word", "doc_n").agg(F.count(F.lit(1)).alias("n")))
 
 
