@@ -17,3 +17,84 @@ def doc_term_matrix(tokens: DataFrame, doc_col: str, term_col: str = "word", min
     counts = toks.groupBy(doc_col, term_col).agg(F.count(F.lit(1)).alias("n"))
     keep = counts.groupBy(term_col).agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") >= min_df)
     return counts.join(keep.select(term_col), on=term_col, how="left_semi").select(doc_col, term_col, "n")
+
+
+def count_vectors(tokens: DataFrame, doc_col: str, term_col: str = "word", min_df: int = 5,
+                  vocab_size: int = 1 << 18):
+    """Sparse count vectors per document with Spark ML ``CountVectorizer``
+    (``minDF`` documents per term).  Returns ``(vectors DataFrame(doc, tf),
+    fitted CountVectorizerModel)``."""
+    from pyspark.ml.feature import CountVectorizer
+    docs = tokens.groupBy(doc_col).agg(F.collect_list(term_col).alias("_terms"))
+    cv = CountVectorizer(inputCol="_terms", outputCol="tf", minDF=float(min_df), vocabSize=vocab_size).fit(docs)
+    return cv.transform(docs).select(doc_col, "tf"), cv
+
+
+def fit_topics(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 10, optimizer: str = "online"):
+    """Spark ML LDA (``k >= 2``); the online optimiser scales with documents
+    streamed in mini-batches, the EM one checkpoints its graph into the
+    session's checkpoint folder."""
+    from pyspark.ml.clustering import LDA
+    from shoppulse.session import checkpoint_dir
+    if k < 2:
+        raise ValueError("k must be >= 2")
+    if optimizer == "em":
+        checkpoint_dir(vectors.sparkSession)
+    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="tf")
+    return lda.fit(vectors)
+
+
+def vocabulary_frame(spark, cv_model) -> DataFrame:
+    """``(term_index, term)`` from the fitted vocabulary (a model parameter,
+    bounded by ``vocabSize``)."""
+    from pyspark.sql import Row
+    return spark.createDataFrame([Row(term_index=i, term=t) for i, t in enumerate(cv_model.vocabulary)])
+
+
+def topic_terms(lda_model, vocab: DataFrame, n: int = 200) -> DataFrame:
+    """``(topic, rank, term, weight)``: the n heaviest terms of each topic
+    (topics and ranks 1-based)."""
+    t = lda_model.describeTopics(n)
+    ex = t.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "tw"))
+    ex = ex.select((F.col("topic") + 1).alias("topic"), (F.col("pos") + 1).alias("rank"),
+                   F.col("tw.termIndices").alias("term_index"), F.col("tw.termWeights").alias("weight"))
+    return ex.join(F.broadcast(vocab), "term_index").drop("term_index")
+
+
+def topic_overlap(terms: DataFrame, k: int, n: int) -> DataFrame:
+    """Mean pairwise cosine between topics' top-n term-incidence rows:
+    ``cosine(a, b) = |A & B| / n``.  The topic x term incidence is one
+    ``groupBy(term)`` with a 0/1 column per topic and the pair overlaps are
+    sums of products in one aggregation (k <= a few dozen topics)."""
+    from itertools import combinations
+    inc = terms.groupBy("term").agg(*[F.max((F.col("topic") == t).cast("int")).alias(f"t{t}")
+                                      for t in range(1, k + 1)])
+    pairs = list(combinations(range(1, k + 1), 2))
+    row = inc.agg(*[F.sum(F.col(f"t{a}") * F.col(f"t{b}")).alias(f"o{a}_{b}") for a, b in pairs])
+    mean = sum((F.col(f"o{a}_{b}") / F.lit(float(n)) for a, b in pairs), F.lit(0.0)) / F.lit(float(len(pairs)))
+    return row.select(F.lit(k).alias("k"), mean.alias("mean_cosine"))
+
+
+def topic_separation(vectors: DataFrame, vocab: DataFrame, ks=range(2, 11), n: int = 50, seed: int = 0,
+                     max_iter: int = 10) -> DataFrame:
+    """``(k, mean_cosine)`` for each k; k = 1 is 1 by definition (not
+    fitted).  Lower means better separated topics."""
+    spark = vectors.sparkSession
+    out = spark.createDataFrame([(1, 1.0)], "k int, mean_cosine double")
+    for k in ks:
+        if k < 2:
+            continue
+        m = fit_topics(vectors, k, seed, max_iter)
+        out = out.unionByName(topic_overlap(topic_terms(m, vocab, n), k, n))
+    return out
+
+
+def topic_share(terms: DataFrame, freq: DataFrame, term_col: str = "word", freq_col: str = "frequency") -> DataFrame:
+    """Corpus frequency summed over each topic's terms, as a share of the
+    total: ``(topic, freq, share, label)`` with label ``topic:i(pp.pp%)``."""
+    from shoppulse.functions.numeric import share_label
+    j = terms.join(freq.select(F.col(term_col).alias("term"), F.col(freq_col).alias("_f")), "term", "left")
+    per = j.groupBy("topic").agg(F.coalesce(F.sum("_f"), F.lit(0)).alias("freq"))
+    tot = per.agg(F.sum("freq").alias("_tot"))  # one row (k topics)
+    out = per.crossJoin(F.broadcast(tot)).withColumn("share", F.try_divide(F.col("freq"), F.col("_tot")))
+    return out.select("topic", "freq", "share", share_label("topic", F.col("share") * 100).alias("label"))

@@ -1 +1,207 @@
-"""Queries (filled in below)."""
+"""Association rules, model training / ensembles and topic-model queries.
+
+Rule queries have exact SQL oracles; trained models and topic models are
+checked by row counts (and by property tests in ``tests/``)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shoppulse.operators import features as FE
+from shoppulse.operators import models as MO
+from shoppulse.operators import rules as R
+from shoppulse.operators import sampling as S
+from shoppulse.operators import scoring as SC
+from shoppulse.operators import text as T
+from shoppulse.operators import topics as TP
+from shoppulse.plans import fixtures as FX
+from shoppulse.plans.catalog import query
+
+# The reference's rule thresholds.
+MIN_SUPPORT, MIN_CONFIDENCE = 0.003, 0.005
+
+
+def _brand_rules(spark, sf_dir):
+    li = FX.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    part = FX.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    items = li.join(part, li.l_partkey == part.p_partkey).select("l_orderkey", "p_brand")
+    _, rules = R.association_rules(items, "l_orderkey", "p_brand", MIN_SUPPORT, MIN_CONFIDENCE)
+    t = R.rules_table(rules)
+    return t.select("antecedent", "consequent", "lhs_size", *[F.round(c, 6).alias(c)
+                                                              for c in ("support", "confidence", "lift")])
+
+
+_RULE_BASE = f"""b AS (SELECT DISTINCT l_orderkey AS id, p_brand AS item FROM lineitem JOIN part ON l_partkey = p_partkey
+                   WHERE p_brand IS NOT NULL),
+  n AS (SELECT CAST(count(DISTINCT id) AS DOUBLE) AS B, ceil({MIN_SUPPORT} * count(DISTINCT id)) AS m FROM b),
+  s1 AS (SELECT item, count(*) AS c FROM b GROUP BY item),
+  s2 AS (SELECT a.item AS x, c.item AS y, count(*) AS c FROM b a JOIN b c ON a.id = c.id AND a.item <> c.item
+         GROUP BY ALL)"""
+
+_PAIR_SELECT = """SELECT x AS antecedent, y AS consequent, 1 AS lhs_size, round(s2.c / B, 6) AS support,
+  round(s2.c / sx.c, 6) AS confidence, round((s2.c / sx.c) / (sy.c / B), 6) AS lift
+FROM s2 JOIN s1 sx ON sx.item = x JOIN s1 sy ON sy.item = y, n
+WHERE s2.c >= m AND s2.c / sx.c >= """ + str(MIN_CONFIDENCE)
+
+
+@query("pair_rules", f"WITH {_RULE_BASE} {_PAIR_SELECT}")
+def pair_rules(spark, sf_dir):
+    """Rules with one item on each side (basket = order, item = brand)."""
+    return _brand_rules(spark, sf_dir).filter(F.col("lhs_size") == 1)
+
+
+@query("fpgrowth_rules", f"""WITH {_RULE_BASE},
+  s3 AS (SELECT a.item AS x1, c.item AS x2, d.item AS y, count(*) AS c FROM b a
+         JOIN b c ON a.id = c.id AND a.item < c.item
+         JOIN b d ON d.id = a.id AND d.item <> a.item AND d.item <> c.item GROUP BY ALL),
+  p2 AS (SELECT x AS x1, y AS x2, c FROM s2 WHERE x < y)
+{_PAIR_SELECT}
+UNION ALL
+SELECT s3.x1 || ',' || s3.x2 AS antecedent, s3.y AS consequent, 2 AS lhs_size, round(s3.c / B, 6) AS support,
+  round(s3.c / p2.c, 6) AS confidence, round((s3.c / p2.c) / (sy.c / B), 6) AS lift
+FROM s3 JOIN p2 ON p2.x1 = s3.x1 AND p2.x2 = s3.x2 JOIN s1 sy ON sy.item = s3.y, n
+WHERE s3.c >= m AND s3.c / p2.c >= {MIN_CONFIDENCE}""")
+def fpgrowth_rules(spark, sf_dir):
+    """All rules at support .003 / confidence .005 (itemsets up to size 3
+    are frequent at this support on the brand baskets)."""
+    return _brand_rules(spark, sf_dir)
+
+
+# --------------------------------------------------------------- learners --
+FEATS = FX.FEATURES
+
+
+def _split(spark, sf_dir):
+    df = FX.labelled_docs(spark, sf_dir)
+    train, valid = S.split(df, "user_pin", [4, 1], seed=0)
+    return train, valid
+
+
+def _base(fit):
+    def run(spark, sf_dir):
+        train, valid = _split(spark, sf_dir)
+        m = fit(train)
+        return MO.score(m, valid, FEATS, "p", keep=("user_pin", "label"))
+    return run
+
+
+query("lr_scores")(_base(lambda t: MO.fit_lr(t, FEATS, reg=0.01, max_iter=10)))
+query("dt_scores")(_base(lambda t: MO.fit_dt(t, FEATS, depth=10)))
+query("gbt_scores")(_base(lambda t: MO.fit_gbt(t, FEATS, depth=4)))
+
+
+def _spec_scores(name):
+    def run(spark, sf_dir):
+        train, valid = _split(spark, sf_dir)
+        spec = {s.name: s for s in MO.search_specs(len(FEATS), "full", with_rf=True)}[name]
+        m = MO.train_search(train, FEATS, spec)
+        return MO.score(m, valid, FEATS, "p", keep=("user_pin", "label"), nb=name == "nb")
+    return run
+
+
+query("nb_scores")(_spec_scores("nb"))
+query("mlp_scores")(_spec_scores("mlp"))
+query("rf_scores")(_spec_scores("rf"))
+query("lr_search_scores")(_spec_scores("lr"))
+query("dt_search_scores")(_spec_scores("dt"))
+
+
+@query("chi2_selected")
+def chi2_selected(spark, sf_dir):
+    """Names of the int(.9 d) features kept by chi-square selection."""
+    df = FX.labelled_docs(spark, sf_dir)
+    _, names = FE.select_features(df, FEATS, 0.9)
+    return spark.createDataFrame([(n,) for n in names], "feature string")
+
+
+def _trained(spark, sf_dir):
+    train, valid = _split(spark, sf_dir)
+    models, aucs = MO.train_all(train, valid, FEATS, mode="fast")
+    return models, aucs, valid
+
+
+@query("train_all_auc")
+def train_all_auc(spark, sf_dir):
+    _, aucs, _ = _trained(spark, sf_dir)
+    return aucs
+
+
+def _auc_weights(models, aucs):
+    got = {r["model"]: r["auc"] for r in aucs.collect()}  # one number per model
+    return [got[n] if got.get(n) is not None else 0.0 for n in models]
+
+
+@query("ensemble_trained")
+def ensemble_trained(spark, sf_dir):
+    models, aucs, valid = _trained(spark, sf_dir)
+    s = MO.score_all(models, valid, FEATS, keep=("user_pin", "label"))
+    return SC.ensemble(s, [f"p_{n}" for n in models], _auc_weights(models, aucs))
+
+
+@query("ensemble_target")
+def ensemble_target(spark, sf_dir):
+    models, aucs, _ = _trained(spark, sf_dir)
+    s = MO.score_all(models, FX.target_docs(spark, sf_dir), FEATS)
+    return SC.ensemble(s, [f"p_{n}" for n in models], _auc_weights(models, aucs))
+
+
+@query("model_result")
+def model_result(spark, sf_dir):
+    """One learner on the target table, banded among predicted positives."""
+    train, _ = _split(spark, sf_dir)
+    m = MO.fit_lr(train, FEATS)
+    s = MO.score(m, FX.target_docs(spark, sf_dir), FEATS, "pro")
+    return SC.score_bands(s.withColumnRenamed("pro_pred", "prediction"), "pro", "prediction")
+
+
+@query("output_users")
+def output_users(spark, sf_dir):
+    """Target users whose blended probability exceeds .59."""
+    e = ensemble_target(spark, sf_dir)
+    return SC.select_above(e, "ensemble", 0.59).select("user_pin", "ensemble")
+
+
+@query("oof_scores")
+def oof_scores(spark, sf_dir):
+    oof, _ = MO.oof_scores(FX.labelled_docs(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
+    return oof
+
+
+@query("oof_target")
+def oof_target(spark, sf_dir):
+    _, tgt = MO.oof_scores(FX.labelled_docs(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
+    return tgt
+
+
+@query("remove_mislabelled")
+def remove_mislabelled(spark, sf_dir):
+    kept, _ = MO.remove_mislabelled_models(FX.labelled_docs(spark, sf_dir), FEATS)
+    return kept.select("user_pin", "label", "p_lr", "p_mlp", "p_mean")
+
+
+# ------------------------------------------------------------------ topics --
+
+def _en_vectors(spark, sf_dir):
+    docs = FX.table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+    toks = T.tokenize(docs, "doc_id", "text", stopwords=FX.STOP_WORDS)
+    vec, cv = TP.count_vectors(toks, "doc_id", "word", min_df=5)
+    return toks, vec, TP.vocabulary_frame(spark, cv)
+
+
+@query("topic_terms")
+def topic_terms(spark, sf_dir):
+    _, vec, vocab = _en_vectors(spark, sf_dir)
+    return TP.topic_terms(TP.fit_topics(vec, 3, seed=0), vocab, 200)
+
+
+@query("topic_separation")
+def topic_separation(spark, sf_dir):
+    _, vec, vocab = _en_vectors(spark, sf_dir)
+    return TP.topic_separation(vec.cache(), vocab, range(2, 11), 50, seed=0)
+
+
+@query("topic_share")
+def topic_share(spark, sf_dir):
+    toks, vec, vocab = _en_vectors(spark, sf_dir)
+    terms = TP.topic_terms(TP.fit_topics(vec, 3, seed=0), vocab, 200)
+    return TP.topic_share(terms, T.term_frequency(toks))
