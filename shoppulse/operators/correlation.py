@@ -14,40 +14,54 @@ from __future__ import annotations
 from itertools import combinations
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _pair_corr(a: Column, b: Column) -> Column:
+def sql_str(s: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _q(c: str) -> str:
+    return "`" + c.replace("`", "``") + "`"
+
+
+def _pair_corr_sql(a: str, b: str) -> str:
     """Pearson r over rows where both are non-null (pairwise complete);
     null when either side has zero variance.  covar/(sd*sd): the (n-1)
     factors cancel, and all three are Welford-stable built-ins."""
-    a_b = F.when(b.isNotNull(), a)
-    b_a = F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a_b) * F.stddev_samp(b_a))
+    a, b = f"CAST({_q(a)} AS DOUBLE)", f"CAST({_q(b)} AS DOUBLE)"
+    return (f"try_divide(covar_samp({a}, {b}), stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * "
+            f"stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END))")
+
+
+def _explode_pairs(row: DataFrame, entries: list[str], names: tuple[str, str, str]) -> DataFrame:
+    a, b, v = names
+    arr = "explode(array(" + ", ".join(entries) + ")) AS e"
+    return row.selectExpr(arr).select("e.*").filter(F.col(v).isNotNull() & ~F.isnan(v))
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
                names: tuple[str, str, str] = ("level_0", "level_1", "corr_value"),
                both_directions: bool = True) -> DataFrame:
     """Long table of column-pair correlations: no self pairs, undefined
-    pairs dropped, both directions, sorted descending by value then names."""
+    pairs dropped, both directions, sorted descending by value then names.
+    Expressions are passed as SQL text (one call per expression, parsed in
+    the JVM) to keep planning cheap for many pairs."""
     cols = list(cols)
     pairs = list(combinations(range(len(cols)), 2))
-    xs = [F.col(c).cast("double") for c in cols]
-    row = df.agg(*[_pair_corr(xs[i], xs[j]).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
     a, b, v = names
+    if not pairs:
+        return df.sparkSession.createDataFrame([], f"{a} string, {b} string, {v} double")
+    row = df.agg(*[F.expr(_pair_corr_sql(cols[i], cols[j])).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
     entries = []
     for k, (i, j) in enumerate(pairs):
-        val = F.abs(F.col(f"p{k}")) if absolute else F.col(f"p{k}")
-        entries.append(F.struct(F.lit(cols[i]).alias(a), F.lit(cols[j]).alias(b), val.alias(v)))
+        val = f"abs(p{k})" if absolute else f"p{k}"
+        entries.append(f"named_struct('{a}', {sql_str(cols[i])}, '{b}', {sql_str(cols[j])}, '{v}', {val})")
         if both_directions:
-            entries.append(F.struct(F.lit(cols[j]).alias(a), F.lit(cols[i]).alias(b), val.alias(v)))
-    if not entries:
-        return df.sparkSession.createDataFrame([], f"{a} string, {b} string, {v} double")
-    out = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    out = out.filter(F.col(v).isNotNull() & ~F.isnan(v))
-    return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
+            entries.append(f"named_struct('{a}', {sql_str(cols[j])}, '{b}', {sql_str(cols[i])}, '{v}', {val})")
+    return _explode_pairs(row, entries, names).orderBy(F.col(v).desc(), F.col(a), F.col(b))
 
 
 def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
@@ -71,26 +85,21 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     a, b, v = names
     if d < 2:
         return counts.sparkSession.createDataFrame([], f"{a} string, {b} string, {v} double")
-    safe = [f"i{k}" for k in range(d)]
+    it = _q(item)
     wide = agg.groupBy(term).agg(*[
-        F.sum(F.when(F.col(item) == F.lit(it), F.col("_n")).otherwise(F.lit(0))).alias(s)
-        for it, s in zip(items, safe)])
+        F.expr(f"sum(CASE WHEN {it} = {sql_str(x)} THEN _n ELSE 0 END)").alias(f"i{k}") for k, x in enumerate(items)])
     pairs = list(combinations(range(d), 2))
-    mom = wide.agg(F.count(F.lit(1)).cast("double").alias("V"),
-                   *[F.sum(s).cast("double").alias(f"sx{k}") for k, s in enumerate(safe)],
-                   *[F.sum(F.col(s) * F.col(s)).cast("double").alias(f"sq{k}") for k, s in enumerate(safe)],
-                   *[F.sum(F.col(safe[i]) * F.col(safe[j])).cast("double").alias(f"sp{i}_{j}") for i, j in pairs])
-    V = F.col("V")
+    mom = wide.agg(F.expr("CAST(count(1) AS DOUBLE)").alias("V"),
+                   *[F.expr(f"CAST(sum(i{k}) AS DOUBLE)").alias(f"sx{k}") for k in range(d)],
+                   *[F.expr(f"CAST(sum(i{k} * i{k}) AS DOUBLE)").alias(f"sq{k}") for k in range(d)],
+                   *[F.expr(f"CAST(sum(i{i} * i{j}) AS DOUBLE)").alias(f"sp{i}_{j}") for i, j in pairs])
     entries = []
     for i, j in pairs:
-        sx, sy, sxx, syy, sxy = (F.col(f"sx{i}"), F.col(f"sx{j}"), F.col(f"sq{i}"), F.col(f"sq{j}"),
-                                 F.col(f"sp{i}_{j}"))
-        den = F.sqrt((V * sxx - sx * sx) * (V * syy - sy * sy))
-        r = F.try_divide(V * sxy - sx * sy, den)
-        entries.append(F.struct(F.lit(items[i]).alias(a), F.lit(items[j]).alias(b), r.alias(v)))
-        entries.append(F.struct(F.lit(items[j]).alias(a), F.lit(items[i]).alias(b), r.alias(v)))
-    out = mom.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    return out.filter(F.col(v).isNotNull()).orderBy(F.col(v).desc(), F.col(a), F.col(b))
+        r = (f"try_divide(V * sp{i}_{j} - sx{i} * sx{j}, "
+             f"sqrt((V * sq{i} - sx{i} * sx{i}) * (V * sq{j} - sx{j} * sx{j})))")
+        entries.append(f"named_struct('{a}', {sql_str(items[i])}, '{b}', {sql_str(items[j])}, '{v}', {r})")
+        entries.append(f"named_struct('{a}', {sql_str(items[j])}, '{b}', {sql_str(items[i])}, '{v}', {r})")
+    return _explode_pairs(mom, entries, names).orderBy(F.col(v).desc(), F.col(a), F.col(b))
 
 
 # ------------------------------------------------------------ signed weights --
