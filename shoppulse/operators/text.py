@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoppulse.functions.text import WORD_PATTERN, words as word_array, char_runs
-from shoppulse.session import broadcast_if_small
+from shoppulse.session import broadcast_if_small, spread
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's for equal results).
@@ -63,7 +63,7 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATT
     if stopwords:
         stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
         arr = F.filter(arr, lambda w: ~F.array_contains(stop, w))
-    base = df.select(F.col(id_col), arr.alias("_w"))
+    base = spread(df, id_col).select(F.col(id_col), arr.alias("_w"))
     # explode_outer + null filter: a plain explode makes the optimizer infer
     # ``size(regex result) > 0`` below the projection, evaluating the regex
     # twice per document
@@ -104,18 +104,27 @@ def doc_term_counts_from_text(df: DataFrame, id_col: str, text_col: str,
     the document) is ``size`` of the word array, carried through the explode,
     so TF needs no per-document aggregate or join."""
     arr = word_array(text_col, pattern)
-    return (df.select(F.col(id_col), arr.alias("_w"))
+    return (spread(df, id_col).select(F.col(id_col), arr.alias("_w"))
               .select(id_col, F.size("_w").cast("bigint").alias("doc_n"), F.explode_outer("_w").alias("word"))
               .filter(F.col("word").isNotNull())
               .groupBy(id_col, "word", "doc_n").agg(F.count(F.lit(1)).alias("n")))
 
 
+def docs_with_tokens(df: DataFrame, text_col: str, pattern: str = WORD_PATTERN) -> DataFrame:
+    """One-row ``_N``: documents holding at least one token.  A ``rlike``
+    stops at the first match, so this pass is far cheaper than re-running
+    the tokenizer in a second branch of the plan."""
+    return df.filter(F.lower(F.col(text_col)).rlike(pattern)).agg(F.count(F.lit(1)).alias("_N"))
+
+
 def tf_idf(counts: DataFrame, doc_col: str, term_col: str = "word", n_col: str = "n",
-           doc_total_col: str | None = None) -> DataFrame:
+           doc_total_col: str | None = None, n_docs: DataFrame | None = None) -> DataFrame:
     """TF-IDF as tidy text defines it: ``tf = n / sum(n) per document``,
     ``idf = ln(N_docs / documents containing the term)`` (natural log, no
     smoothing), ``tf_idf = tf * idf``.
 
+    ``n_docs`` is an optional one-row DataFrame with the document count
+    ``_N`` (see :func:`docs_with_tokens`); by default it is counted here.
     ``doc_total_col`` names a precomputed per-document token total (see
     :func:`doc_term_counts_from_text`); otherwise it is aggregated here.
     """
@@ -124,7 +133,7 @@ def tf_idf(counts: DataFrame, doc_col: str, term_col: str = "word", n_col: str =
         counts = counts.join(totals, on=doc_col)
         doc_total_col = "_doc_n"
     term_docs = counts.groupBy(term_col).agg(F.count(F.lit(1)).alias("_df"))
-    n_docs_col = counts.agg(F.countDistinct(doc_col).alias("_N"))
+    n_docs_col = n_docs if n_docs is not None else counts.agg(F.countDistinct(doc_col).alias("_N"))
     out = (counts.join(term_docs, on=term_col)
                  .crossJoin(F.broadcast(n_docs_col))  # one row by construction
                  .withColumn("tf", F.col(n_col) / F.col(doc_total_col))
@@ -188,8 +197,8 @@ def extract_reviews(df: DataFrame, id_col: str, body_col: str, pattern: str = RE
     """Review texts out of raw response bodies: every ``pattern`` match,
     reduced to its ``run_pattern`` runs joined by a space (or the raw match
     when ``run_pattern`` is None), de-duplicated per body id."""
-    m = df.select(F.col(id_col), F.explode(F.regexp_extract_all(F.col(body_col), _arr(pattern), F.lit(0)))
-                  .alias("_m"))
+    m = spread(df, id_col).select(F.col(id_col), F.explode(
+        F.regexp_extract_all(F.col(body_col), _arr(pattern), F.lit(0))).alias("_m"))
     text = char_runs("_m", run_pattern) if run_pattern else F.col("_m")
     out = m.select(id_col, text.alias("comments"))
     return out.distinct() if distinct else out
@@ -199,7 +208,7 @@ def extract_matches(df: DataFrame, id_col: str, body_col: str, pattern: str, gro
                     out_col: str = "match", distinct: bool = True) -> DataFrame:
     """Capture group ``group`` of every ``pattern`` match (e.g. paragraph
     bodies of a web page), one row per match."""
-    out = df.select(F.col(id_col), F.explode(
+    out = spread(df, id_col).select(F.col(id_col), F.explode(
         F.regexp_extract_all(F.col(body_col), _arr(pattern), F.lit(group))).alias(out_col))
     return out.distinct() if distinct else out
 
@@ -213,7 +222,7 @@ def extract_tags(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """``(id, name, count)`` per comment tag in the body.  ``name`` is the text
     after the second ``:`` up to the next comma, quotes removed; ``count`` the
     digits after the third ``:``."""
-    m = df.select(F.col(id_col), F.posexplode(
+    m = spread(df, id_col).select(F.col(id_col), F.posexplode(
         F.regexp_extract_all(F.col(body_col), _arr(TAG_ITEM), F.lit(0))).alias("tag_pos", "_m"))
     parts = F.split(F.col("_m"), ":")
     name = F.regexp_replace(F.split(parts.getItem(2), ",").getItem(0), '"', "")
@@ -231,7 +240,7 @@ def extract_tag_summary(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     packed = F.transform(tags, lambda m: F.regexp_replace(
         F.concat(F.split(F.split(m, ":").getItem(2), ",").getItem(0), F.lit(":"),
                  F.split(m, ":").getItem(3), F.lit(" ")), '"', ""))
-    out = df.select(
+    out = spread(df, id_col).select(
         F.col(id_col),
         F.regexp_extract(body, f"({AVERAGE_SCORE})", 1).alias("_avg"),
         F.regexp_extract(body, f"({COMMENT_COUNT})", 1).alias("_cnt"),
@@ -253,7 +262,7 @@ def extract_qa(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     their first ASCII colon.  Reply times are the block's position-matched
     created/modified pair of the whole body."""
     body = F.col(body_col)
-    blocks = df.select(
+    blocks = spread(df, id_col).select(
         F.col(id_col),
         F.regexp_extract_all(body, _arr(QA_DATES), F.lit(0)).alias("_dates"),
         F.posexplode(F.regexp_extract_all(body, _arr(QA_BLOCK), F.lit(0))).alias("block", "_b"))

@@ -106,6 +106,8 @@ def _doc_features(docs: DataFrame) -> DataFrame:
 
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` joined with ``labels``: ``user_pin, label, f_*``."""
+    # no spread here: the labelled set feeds iterative learners, which pass
+    # over it many times; extra partitions only add per-iteration task cost
     docs = _doc_features(table(spark, sf_dir, "documents"))
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     return docs.join(lab, "doc_id").select("user_pin", "label", *FEATURES)

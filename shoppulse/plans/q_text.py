@@ -8,6 +8,7 @@ from shoppulse.functions.text import WORD_PATTERN, clean_text, char_runs
 from shoppulse.operators import text as T
 from shoppulse.plans import fixtures as FX
 from shoppulse.plans.catalog import query
+from shoppulse.session import spread
 
 W = WORD_PATTERN
 STOP_SQL = ", ".join(f"'{w}'" for w in FX.STOP_WORDS)
@@ -28,7 +29,8 @@ _COUNTS_SQL = f"""
 def _tfidf(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents")
     counts = T.doc_term_counts_from_text(docs, "doc_id", "text")
-    return T.tf_idf(counts, "doc_id", "word", "n", doc_total_col="doc_n")
+    return T.tf_idf(counts, "doc_id", "word", "n", doc_total_col="doc_n",
+                    n_docs=T.docs_with_tokens(docs, "text"))
 
 
 @query("best_terms", f"""WITH {_COUNTS_SQL},
@@ -114,7 +116,7 @@ _CLEAN_SQL = ("regexp_replace(regexp_replace(" +
 
 @query("clean_reviews", f"SELECT doc_id, {_CLEAN_SQL} AS cleaned FROM documents")
 def clean_reviews(spark, sf_dir):
-    docs = FX.table(spark, sf_dir, "documents")
+    docs = spread(FX.table(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", clean_text("text", CLEAN_WORDS, strip_ascii=True).alias("cleaned"))
 
 
@@ -125,7 +127,7 @@ LATIN_RUN = "[a-zà-ÿ,:]+"
 @query("script_runs", f"""SELECT doc_id, array_to_string(regexp_extract_all(text, '{LATIN_RUN}'), ' ') AS runs
 FROM documents""")
 def script_runs(spark, sf_dir):
-    docs = FX.table(spark, sf_dir, "documents")
+    docs = spread(FX.table(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", char_runs("text", LATIN_RUN, " ").alias("runs"))
 
 

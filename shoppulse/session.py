@@ -82,3 +82,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 def one_row(df: DataFrame) -> DataFrame:
     """Mark a global aggregate (exactly one row by construction) for broadcast."""
     return F.broadcast(df)
+
+
+def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
+    """Make sure CPU-heavy row work (regexes over long texts) runs on every
+    core: when the input has fewer partitions than the cluster's default
+    parallelism (e.g. one large file with a single row group), hash-spread the
+    rows on ``key`` (deterministic on retry) before the heavy projection.
+    Inputs that already have enough splits -- the normal case on a cluster --
+    are returned unchanged, so no shuffle is added there."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
