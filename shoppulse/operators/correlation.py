@@ -183,3 +183,14 @@ def apply_weights(df: DataFrame, weights: dict[str, float], keep: Sequence[str]
             continue
         cols.append((F.col(f).cast("double") * F.lit(float(w))).alias(f))
     return df.select(*cols)
+
+
+def weighted_label(df: DataFrame, weights: dict[str, float], alpha: float = 0.5,
+                   keep: Sequence[str] = ("user_pin",), score_col: str = "score",
+                   label_col: str = "label_int") -> DataFrame:
+    """Weights x features -> row total -> min-max over the table -> ``>= alpha``
+    -> 0/1 label.  Weight-0 features drop out; evaluate the result with
+    :func:`shoppulse.operators.metrics.classification_report`."""
+    from shoppulse.operators.scoring import label_by_threshold, min_max, weighted_score
+    scored = min_max(weighted_score(df, weights, score_col), score_col)
+    return label_by_threshold(scored, score_col, alpha, label_col).select(*keep, score_col, label_col)

@@ -232,3 +232,18 @@ def remove_mislabelled_models(train: DataFrame, cols: Sequence[str], label: str
 def selected_width(alpha: float, d: int) -> int:
     """Input width of the perceptron after selecting ``int(alpha d)`` features."""
     return top_feature_count(alpha, d)
+
+
+def prepare_target(target: DataFrame, train_cols: Sequence[str], skip_first: int = 1,
+                   skip_last: int = 0) -> DataFrame:
+    """Give the target table the training schema's names by position (guarded
+    by the column count) so the fitted feature pipeline applies unchanged."""
+    from shoppulse.operators.schema import rename_positional
+    names = list(train_cols)[skip_first:len(train_cols) - skip_last]
+    return rename_positional(target, names, skip_first=skip_first, skip_last=skip_last)
+
+
+def output(scored: DataFrame, prob_col: str = "ensemble", users_only: bool = False,
+           key: str = "user_pin") -> DataFrame:
+    """Users with (or without) their blended probability."""
+    return scored.select(key) if users_only else scored.select(key, prob_col)

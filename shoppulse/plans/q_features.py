@@ -294,11 +294,9 @@ SELECT user_pin, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.0
   CASE WHEN (CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.0 END) >= 0.5 THEN 1 ELSE 0 END AS label_int
 FROM s, mm""")
 def weighted_label(spark, sf_dir):
-    from shoppulse.operators.scoring import label_by_threshold, min_max, weighted_score
     w = FX.wide_behaviour(spark, sf_dir)
     wmap = C.weights_to_map(_weights(spark, sf_dir, "multiply"))  # one number per feature column
-    sc = min_max(weighted_score(w, wmap, "score"), "score")
-    out = label_by_threshold(sc, "score", 0.5, "label_int")
+    out = C.weighted_label(w, wmap, 0.5)
     return out.select("user_pin", F.round("score", 6).alias("score"), "label_int")
 
 

@@ -91,7 +91,10 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     rows on ``key`` (deterministic on retry) before the heavy projection.
     Inputs that already have enough splits -- the normal case on a cluster --
     are returned unchanged, so no shuffle is added there."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 -- e.g. a Spark Connect session: no RDD view
         return df
     return df.repartition(target, key) if key else df.repartition(target)
