@@ -157,7 +157,10 @@ def train_all(train: DataFrame, valid: DataFrame, cols: Sequence[str], mode: str
     """Fit every learner's search on ``train`` and report validation AUC.
     Returns ``(models: dict, auc table DataFrame(model, auc))``."""
     from shoppulse.operators.metrics import auc_roc
+    # both sets are read many times (every grid point, every score and AUC
+    # pass); keep them materialised for the duration of the searches
     train = train.persist()
+    valid = valid.persist()
     models, aucs = {}, None
     try:
         for spec in search_specs(len(cols), mode, label, seed, with_rf):
@@ -170,6 +173,7 @@ def train_all(train: DataFrame, valid: DataFrame, cols: Sequence[str], mode: str
         aucs.count()
     finally:
         train.unpersist()
+        valid.unpersist()
     return models, aucs
 
 

@@ -41,7 +41,15 @@ def fit_topics(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 10, op
     if optimizer == "em":
         checkpoint_dir(vectors.sparkSession)
     lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="tf")
-    return lda.fit(vectors)
+    # every iteration samples the corpus again: keep the vectors materialised
+    # during the fit instead of re-tokenising per iteration
+    cached = vectors.storageLevel.useMemory or vectors.storageLevel.useDisk
+    data = vectors if cached else vectors.persist()
+    try:
+        return lda.fit(data)
+    finally:
+        if not cached:
+            data.unpersist()
 
 
 def vocabulary_frame(spark, cv_model) -> DataFrame:
