@@ -104,7 +104,7 @@ def doc_term_counts_from_text(df: DataFrame, id_col: str, text_col: str,
     the document) is ``size`` of the word array, carried through the explode,
     so TF needs no per-document aggregate or join."""
     arr = word_array(text_col, pattern)
-    return (spread(df, id_col).select(F.col(id_col), arr.alias("_w"))
+    return (spread(df).select(F.col(id_col), arr.alias("_w"))
               .select(id_col, F.size("_w").cast("bigint").alias("doc_n"), F.explode_outer("_w").alias("word"))
               .filter(F.col("word").isNotNull())
               .groupBy(id_col, "word", "doc_n").agg(F.count(F.lit(1)).alias("n")))
@@ -132,7 +132,10 @@ def tf_idf(counts: DataFrame, doc_col: str, term_col: str = "word", n_col: str =
         totals = counts.groupBy(doc_col).agg(F.sum(n_col).alias("_doc_n"))
         counts = counts.join(totals, on=doc_col)
         doc_total_col = "_doc_n"
-    term_docs = counts.groupBy(term_col).agg(F.count(F.lit(1)).alias("_df"))
+    # count(n) (not count(*)) keeps the counts aggregation of this branch
+    # identical to the main one, so the exchange under it is reused and the
+    # tokens are produced once
+    term_docs = counts.groupBy(term_col).agg(F.count(n_col).alias("_df"))
     n_docs_col = n_docs if n_docs is not None else counts.agg(F.countDistinct(doc_col).alias("_N"))
     out = (counts.join(term_docs, on=term_col)
                  .crossJoin(F.broadcast(n_docs_col))  # one row by construction

@@ -90,7 +90,13 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     parallelism (e.g. one large file with a single row group), hash-spread the
     rows on ``key`` (deterministic on retry) before the heavy projection.
     Inputs that already have enough splits -- the normal case on a cluster --
-    are returned unchanged, so no shuffle is added there."""
+    are returned unchanged, so no shuffle is added there.
+
+    Without ``key`` the rows are spread round-robin (Spark sorts each input
+    partition first, so a retried task sends the same rows to the same
+    place).  Round-robin does not satisfy a later ``groupBy``'s distribution,
+    so that aggregation keeps its own exchange, which AQE can reuse when two
+    branches of a plan aggregate the same tokens."""
     try:
         target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() >= target:
