@@ -63,7 +63,7 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATT
     if stopwords:
         stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
         arr = F.filter(arr, lambda w: ~F.array_contains(stop, w))
-    base = spread(df, id_col).select(F.col(id_col), arr.alias("_w"))
+    base = spread(df).select(F.col(id_col), arr.alias("_w"))
     # explode_outer + null filter: a plain explode makes the optimizer infer
     # ``size(regex result) > 0`` below the projection, evaluating the regex
     # twice per document
@@ -200,7 +200,7 @@ def extract_reviews(df: DataFrame, id_col: str, body_col: str, pattern: str = RE
     """Review texts out of raw response bodies: every ``pattern`` match,
     reduced to its ``run_pattern`` runs joined by a space (or the raw match
     when ``run_pattern`` is None), de-duplicated per body id."""
-    m = spread(df, id_col).select(F.col(id_col), F.explode(
+    m = spread(df).select(F.col(id_col), F.explode(
         F.regexp_extract_all(F.col(body_col), _arr(pattern), F.lit(0))).alias("_m"))
     text = char_runs("_m", run_pattern) if run_pattern else F.col("_m")
     out = m.select(id_col, text.alias("comments"))
@@ -211,7 +211,7 @@ def extract_matches(df: DataFrame, id_col: str, body_col: str, pattern: str, gro
                     out_col: str = "match", distinct: bool = True) -> DataFrame:
     """Capture group ``group`` of every ``pattern`` match (e.g. paragraph
     bodies of a web page), one row per match."""
-    out = spread(df, id_col).select(F.col(id_col), F.explode(
+    out = spread(df).select(F.col(id_col), F.explode(
         F.regexp_extract_all(F.col(body_col), _arr(pattern), F.lit(group))).alias(out_col))
     return out.distinct() if distinct else out
 
@@ -225,7 +225,7 @@ def extract_tags(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """``(id, name, count)`` per comment tag in the body.  ``name`` is the text
     after the second ``:`` up to the next comma, quotes removed; ``count`` the
     digits after the third ``:``."""
-    m = spread(df, id_col).select(F.col(id_col), F.posexplode(
+    m = spread(df).select(F.col(id_col), F.posexplode(
         F.regexp_extract_all(F.col(body_col), _arr(TAG_ITEM), F.lit(0))).alias("tag_pos", "_m"))
     parts = F.split(F.col("_m"), ":")
     name = F.regexp_replace(F.split(parts.getItem(2), ",").getItem(0), '"', "")
@@ -243,7 +243,7 @@ def extract_tag_summary(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     packed = F.transform(tags, lambda m: F.regexp_replace(
         F.concat(F.split(F.split(m, ":").getItem(2), ",").getItem(0), F.lit(":"),
                  F.split(m, ":").getItem(3), F.lit(" ")), '"', ""))
-    out = spread(df, id_col).select(
+    out = spread(df).select(
         F.col(id_col),
         F.regexp_extract(body, f"({AVERAGE_SCORE})", 1).alias("_avg"),
         F.regexp_extract(body, f"({COMMENT_COUNT})", 1).alias("_cnt"),
@@ -265,7 +265,7 @@ def extract_qa(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     their first ASCII colon.  Reply times are the block's position-matched
     created/modified pair of the whole body."""
     body = F.col(body_col)
-    blocks = spread(df, id_col).select(
+    blocks = spread(df).select(
         F.col(id_col),
         F.regexp_extract_all(body, _arr(QA_DATES), F.lit(0)).alias("_dates"),
         F.posexplode(F.regexp_extract_all(body, _arr(QA_BLOCK), F.lit(0))).alias("block", "_b"))

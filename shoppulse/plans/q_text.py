@@ -116,7 +116,7 @@ _CLEAN_SQL = ("regexp_replace(regexp_replace(" +
 
 @query("clean_reviews", f"SELECT doc_id, {_CLEAN_SQL} AS cleaned FROM documents")
 def clean_reviews(spark, sf_dir):
-    docs = spread(FX.table(spark, sf_dir, "documents"), "doc_id")
+    docs = spread(FX.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", clean_text("text", CLEAN_WORDS, strip_ascii=True).alias("cleaned"))
 
 
@@ -127,7 +127,7 @@ LATIN_RUN = "[a-zà-ÿ,:]+"
 @query("script_runs", f"""SELECT doc_id, array_to_string(regexp_extract_all(text, '{LATIN_RUN}'), ' ') AS runs
 FROM documents""")
 def script_runs(spark, sf_dir):
-    docs = spread(FX.table(spark, sf_dir, "documents"), "doc_id")
+    docs = spread(FX.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", char_runs("text", LATIN_RUN, " ").alias("runs"))
 
 

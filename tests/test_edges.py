@@ -294,3 +294,16 @@ def test_classification_report_zero_division(spark):
     rep = {r.cls: r for r in M.classification_report(df).collect()}
     assert rep["0"].precision == 0.0 and rep["0"].support == 1
     assert math.isclose(rep["1"].precision, 2 / 3) and rep["accuracy"].precision == 2 / 3
+
+
+def test_cjk_bigrams(spark):
+    from shoppulse.functions import cjk_bigrams
+    df = spark.createDataFrame([("很好用 a 好",)], "t string")
+    assert df.select(cjk_bigrams("t").alias("b")).first().b == ["很好", "好用", "好"]
+
+
+def test_spread_keeps_rows(spark):
+    from shoppulse.session import spread
+    df = spark.range(100).coalesce(1)
+    out = spread(df, min_partitions=4)
+    assert out.rdd.getNumPartitions() == 4 and out.count() == 100
