@@ -44,24 +44,131 @@ def _explode_pairs(row: DataFrame, entries: list[str], names: tuple[str, str, st
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
                names: tuple[str, str, str] = ("level_0", "level_1", "corr_value"),
-               both_directions: bool = True) -> DataFrame:
+               both_directions: bool = True, pairs_per_pass: int = 256,
+               gram_min_cols: int = 17) -> DataFrame:
     """Long table of column-pair correlations: no self pairs, undefined
     pairs dropped, both directions, sorted descending by value then names.
-    Expressions are passed as SQL text (one call per expression, parsed in
-    the JVM) to keep planning cheap for many pairs."""
+
+    * Few columns: one aggregation pass with a pairwise-complete Pearson
+      expression per pair (rows where both values are non-null).
+    * Many columns (``>= gram_min_cols``) without nulls: Spark ML
+      ``Correlation.corr`` -- one tree-aggregated Gram matrix (BLAS), whose
+      d x d result is schema-sized.
+    * Many columns with nulls: a null-masked Gram matrix -- each task sums
+      ``Z'Z`` for ``Z = [x, x^2, notnull]`` (means removed) with numpy over its
+      Arrow batches and emits one row; Spark adds the per-task matrices.  All
+      pairwise-complete moments are blocks of that one 3d x 3d matrix.
+    * ``pairs_per_pass`` bounds the expressions of one aggregation pass on
+      the expression path (used for few columns).
+    Expressions are passed as SQL text (parsed in the JVM) to keep planning
+    cheap."""
     cols = list(cols)
     pairs = list(combinations(range(len(cols)), 2))
     a, b, v = names
+    spark = df.sparkSession
     if not pairs:
-        return df.sparkSession.createDataFrame([], f"{a} string, {b} string, {v} double")
-    row = df.agg(*[F.expr(_pair_corr_sql(cols[i], cols[j])).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
-    entries = []
-    for k, (i, j) in enumerate(pairs):
-        val = f"abs(p{k})" if absolute else f"p{k}"
-        entries.append(f"named_struct('{a}', {sql_str(cols[i])}, '{b}', {sql_str(cols[j])}, '{v}', {val})")
-        if both_directions:
-            entries.append(f"named_struct('{a}', {sql_str(cols[j])}, '{b}', {sql_str(cols[i])}, '{v}', {val})")
-    return _explode_pairs(row, entries, names).orderBy(F.col(v).desc(), F.col(a), F.col(b))
+        return spark.createDataFrame([], f"{a} string, {b} string, {v} double")
+    if len(cols) >= gram_min_cols:
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{k}") for k, c in enumerate(cols)]).first()
+        if not any(nulls):
+            return _corr_pairs_gram(df, cols, absolute, names, both_directions)
+        return _corr_pairs_masked_gram(df, cols, absolute, names, both_directions)
+    parts = []
+    for start in range(0, len(pairs), pairs_per_pass):
+        chunk = pairs[start:start + pairs_per_pass]
+        row = df.agg(*[F.expr(_pair_corr_sql(cols[i], cols[j])).alias(f"p{k}") for k, (i, j) in enumerate(chunk)])
+        entries = []
+        for k, (i, j) in enumerate(chunk):
+            val = f"abs(p{k})" if absolute else f"p{k}"
+            entries.append(f"named_struct('{a}', {sql_str(cols[i])}, '{b}', {sql_str(cols[j])}, '{v}', {val})")
+            if both_directions:
+                entries.append(f"named_struct('{a}', {sql_str(cols[j])}, '{b}', {sql_str(cols[i])}, '{v}', {val})")
+        parts.append(_explode_pairs(row, entries, names))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
+
+
+def _corr_pairs_gram(df: DataFrame, cols: list[str], absolute: bool, names: tuple[str, str, str],
+                     both_directions: bool) -> DataFrame:
+    """Null-free wide input: Spark ML's Pearson matrix (one distributed Gram
+    aggregation); the d x d matrix -- one value per column pair -- becomes the
+    long table."""
+    import math
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    a, b, v = names
+    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
+    rows = []
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            r = float(m[i, j])
+            if math.isnan(r):
+                continue
+            r = abs(r) if absolute else r
+            rows.append((cols[i], cols[j], r))
+            if both_directions:
+                rows.append((cols[j], cols[i], r))
+    out = df.sparkSession.createDataFrame(rows, f"{a} string, {b} string, {v} double")
+    return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
+
+
+def _pairs_frame(spark, cols, r, absolute, names, both_directions) -> DataFrame:
+    import math
+    a, b, v = names
+    rows = []
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            x = float(r[i][j])
+            if math.isnan(x) or math.isinf(x):
+                continue
+            x = abs(x) if absolute else x
+            rows.append((cols[i], cols[j], x))
+            if both_directions:
+                rows.append((cols[j], cols[i], x))
+    out = spark.createDataFrame(rows, f"{a} string, {b} string, {v} double")
+    return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
+
+
+def _corr_pairs_masked_gram(df: DataFrame, cols: list[str], absolute: bool, names: tuple[str, str, str],
+                            both_directions: bool) -> DataFrame:
+    """Pairwise-complete Pearson for many nullable columns from one masked
+    Gram matrix (see :func:`corr_pairs`)."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+    d = len(cols)
+    # centre by the column means first (one cheap pass): keeps the moment
+    # sums small so the closed form below does not cancel catastrophically
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{k}") for k, c in enumerate(cols)]).first()
+    mu = np.array([0.0 if means[k] is None else float(means[k]) for k in range(d)])
+    safe = [f"c{k}" for k in range(d)]
+
+    def task_gram(batches):
+        g = np.zeros((3 * d, 3 * d))
+        for pdf in batches:
+            x = pdf[safe].to_numpy(dtype=float) - mu
+            m = ~np.isnan(x)
+            x0 = np.where(m, x, 0.0)
+            z = np.hstack([x0, x0 * x0, m.astype(float)])
+            g += z.T @ z
+        yield pd.DataFrame({"g": [g.ravel()]})
+
+    src = df.select(*[F.col(c).cast("double").alias(safe[k]) for k, c in enumerate(cols)])
+    parts = src.mapInPandas(task_gram, "g array<double>")
+    total = parts.select(Summarizer.sum(array_to_vector("g")).alias("s")).head()["s"].toArray()
+    g = total.reshape(3 * d, 3 * d)
+    xx, x2m, xm, mm = g[:d, :d], g[d:2 * d, 2 * d:], g[:d, 2 * d:], g[2 * d:, 2 * d:]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        n = mm
+        num = n * xx - xm * xm.T
+        den = np.sqrt((n * x2m - xm * xm) * (n * x2m.T - xm.T * xm.T))
+        r = np.where((den > 0) & (n >= 2), num / den, np.nan)
+    return _pairs_frame(df.sparkSession, cols, r, absolute, names, both_directions)
 
 
 def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",

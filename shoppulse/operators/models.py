@@ -196,24 +196,29 @@ def oof_scores(train: DataFrame, target: DataFrame, cols: Sequence[str], key: st
     scored by the model that did not see it; target rows get the mean over
     the k fold models.  Folds come from the key hash, so every training row
     lands in exactly one fold.  Returns ``(oof DataFrame(key, label, fold,
-    oof), target DataFrame(key, oof))``."""
+    oof), target DataFrame(key, oof))``.
+
+    The k fold models are applied to the target by chaining ``transform``s
+    (each adds one probability column), so the target is never re-joined on
+    its key: no shuffle of the target table at all."""
     tagged = train.withColumn("fold", fold_column(key, k, seed, "fold")).persist()
-    oof_parts, tgt = [], None
+    models = []
     try:
         for f in range(k):
-            m = fit_gbt(tagged.filter(F.col("fold") != f), cols, label, depth, seed, max_iter)
-            held = m.transform(tagged.filter(F.col("fold") == f))
-            oof_parts.append(held.select(key, label, "fold", p1("probability").alias("oof")))
-            t = m.transform(target).select(key, p1("probability").alias(f"p{f}"))
-            tgt = t if tgt is None else tgt.join(t, key)
-        oof = oof_parts[0]
-        for p in oof_parts[1:]:
-            oof = oof.unionByName(p)
-        mean = sum((F.col(f"p{f}") for f in range(1, k)), F.col("p0")) / F.lit(float(k))
-        target_scores = tgt.select(key, mean.alias("oof"))
-        return oof, target_scores
+            models.append(fit_gbt(tagged.filter(F.col("fold") != f), cols, label, depth, seed, max_iter))
     finally:
         tagged.unpersist(blocking=False)
+    oof = None
+    for f, m in enumerate(models):
+        held = m.transform(tagged.filter(F.col("fold") == f))
+        part = held.select(key, label, "fold", p1("probability").alias("oof"))
+        oof = part if oof is None else oof.unionByName(part)
+    out = target
+    for f, m in enumerate(models):
+        t = m.transform(out)
+        out = t.select(*out.columns, p1("probability").alias(f"_p{f}"))
+    mean = sum((F.col(f"_p{f}") for f in range(1, k)), F.col("_p0")) / F.lit(float(k))
+    return oof, out.select(key, mean.alias("oof"))
 
 
 def remove_mislabelled_models(train: DataFrame, cols: Sequence[str], label: str = "label",

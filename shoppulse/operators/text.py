@@ -183,8 +183,15 @@ def drop_terms(df: DataFrame, words: Iterable[str] | DataFrame, col: str = "word
 def join_frequency(tokens: DataFrame, freq: DataFrame, word_col: str = "word",
                    order_col: str | None = "id") -> DataFrame:
     """Full outer join of tokens with the term-frequency table on ``word``,
-    ordered by document id when ``order_col`` is given."""
-    out = tokens.join(freq, on=word_col, how="full")
+    ordered by document id when ``order_col`` is given.
+
+    Written as a left join plus the frequency rows no token matches: AQE can
+    split a hot word's partition in a left join (not in a full outer one),
+    and the unmatched side is an anti join against the distinct words."""
+    matched = tokens.join(freq, on=word_col, how="left")
+    words = tokens.select(word_col).distinct()
+    unmatched = freq.join(words, on=word_col, how="left_anti")
+    out = matched.unionByName(unmatched, allowMissingColumns=True)
     return out.orderBy(order_col) if order_col else out
 
 
