@@ -173,7 +173,8 @@ def _corr_pairs_masked_gram(df: DataFrame, cols: list[str], absolute: bool, name
 
 def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
                      items: Sequence[str] | None = None,
-                     names: tuple[str, str, str] = ("SKU1", "SKU2", "correlation")) -> DataFrame:
+                     names: tuple[str, str, str] = ("SKU1", "SKU2", "correlation"),
+                     gram_min_items: int = 33) -> DataFrame:
     """Pearson correlation of every item pair over their term-count vectors
     (0 for a term an item never uses; one observation per distinct term):
     ``r = (V*Sxy - Sx*Sy) / sqrt((V*Sxx - Sx^2) * (V*Syy - Sy^2))``.
@@ -182,7 +183,12 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     counts with one conditional sum per item, so a term shared by every item
     stays one row and no item pairs are generated per term.  The moments are
     exact integer sums in one aggregation pass (partial per task), and the
-    pair formula is evaluated on that single row inside Spark."""
+    pair formula is evaluated on that single row inside Spark.
+
+    With ``gram_min_items`` items or more, each term row becomes a dense
+    count vector (built from its bounded list of (item, count) entries) and
+    Spark ML's Pearson matrix (one tree-aggregated Gram) replaces the pair
+    expressions."""
     agg = counts.groupBy(item, term).agg(F.sum(n).cast("bigint").alias("_n"))
     if items is None:
         # the matrix's column set: one name per item (bounded by the item count)
@@ -192,6 +198,8 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     a, b, v = names
     if d < 2:
         return counts.sparkSession.createDataFrame([], f"{a} string, {b} string, {v} double")
+    if d >= gram_min_items:
+        return _item_correlation_gram(agg, item, term, items, names)
     it = _q(item)
     wide = agg.groupBy(term).agg(*[
         F.expr(f"sum(CASE WHEN {it} = {sql_str(x)} THEN _n ELSE 0 END)").alias(f"i{k}") for k, x in enumerate(items)])
@@ -209,6 +217,20 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     return _explode_pairs(mom, entries, names).orderBy(F.col(v).desc(), F.col(a), F.col(b))
 
 
+def _item_correlation_gram(agg: DataFrame, item: str, term: str, items: list, names) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation
+    d = len(items)
+    idx = agg.join(F.broadcast(agg.sparkSession.createDataFrame(
+        [(x, k) for k, x in enumerate(items)], f"{item} string, _i int")), item)  # one row per item
+    per_term = idx.groupBy(term).agg(F.map_from_entries(F.collect_list(
+        F.struct("_i", F.col("_n").cast("double")))).alias("_m"))  # at most d entries per term
+    dense = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
+    vec = per_term.select(array_to_vector(dense).alias("_v"))
+    r = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
+    return _pairs_frame(agg.sparkSession, [str(x) for x in items], r, False, names, True)
+
+
 # ------------------------------------------------------------ signed weights --
 
 def signed_weights(pairs: DataFrame, features: Sequence[str], pos_token: str, neg_token: str,

@@ -340,3 +340,16 @@ def test_corr_pairs_masked_gram_matches_exact(spark):
     assert set(got) == set(exact)
     for k, val in exact.items():
         assert math.isclose(got[k], val, rel_tol=1e-7, abs_tol=1e-9), k
+
+
+def test_item_correlation_gram_matches_exact(spark):
+    import random as _r
+    rnd = _r.Random(5)
+    rows = [(f"s{i}", f"w{j}", rnd.randint(1, 9)) for i in range(6) for j in range(40) if rnd.random() < 0.6]
+    df = spark.createDataFrame(rows, "item string, term string, n long")
+    exact = {(r.SKU1, r.SKU2): r.correlation for r in C.item_correlation(df, "item", "term").collect()}
+    gram = {(r.SKU1, r.SKU2): r.correlation
+            for r in C.item_correlation(df, "item", "term", gram_min_items=2).collect()}
+    assert set(exact) == set(gram) and len(exact) == 30
+    for k, v in exact.items():
+        assert math.isclose(gram[k], v, rel_tol=1e-9, abs_tol=1e-12), k
