@@ -256,3 +256,26 @@ def output(scored: DataFrame, prob_col: str = "ensemble", users_only: bool = Fal
            key: str = "user_pin") -> DataFrame:
     """Users with (or without) their blended probability."""
     return scored.select(key) if users_only else scored.select(key, prob_col)
+
+
+# The 3 x 3 logistic-regression grid searched after chi-square
+# selection.
+LR_GRID_MAX_ITER = [2, 10, 20]
+LR_GRID_REG = [0.01, 0.05, 0.08]
+
+
+def search_lr_selected(train: DataFrame, cols: Sequence[str], alpha: float = 0.9, label: str = "label",
+                       parallelism: int = 2, seed: int = 0):
+    """Chi-square selection of ``int(alpha d)`` features, then a 3 x 3
+    (maxIter x regParam) logistic-regression grid with a 75/25
+    train-validation split.  Returns ``(fitted pipeline, selected names)``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.tuning import ParamGridBuilder
+    from shoppulse.operators.features import select_features
+    _, selected = select_features(train, cols, alpha, label)
+    lr = LogisticRegression(featuresCol=FEATURES, labelCol=label)
+    grid = (ParamGridBuilder().addGrid(lr.maxIter, LR_GRID_MAX_ITER)
+            .addGrid(lr.regParam, LR_GRID_REG).build())
+    model = Pipeline(stages=[_assembler(selected), _tvs(lr, grid, label, parallelism, seed)]).fit(train)
+    return model, selected

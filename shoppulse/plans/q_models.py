@@ -119,6 +119,25 @@ query("lr_search_scores")(_spec_scores("lr"))
 query("dt_search_scores")(_spec_scores("dt"))
 
 
+@query("lr_grid_selected_scores")
+def lr_grid_selected_scores(spark, sf_dir):
+    """Chi-square selection (alpha .9) + 3 x 3 LR grid, scored on the
+    held-out split."""
+    train, valid = _split(spark, sf_dir)
+    m, _ = MO.search_lr_selected(train.persist(), FEATS, 0.9)
+    return MO.score(m, valid, FEATS, "p", keep=("user_pin", "label"))
+
+
+@query("model_auc")
+def model_auc(spark, sf_dir):
+    """Held-out ROC and PR areas of the selected-feature LR grid (exact ROC
+    from the distributed rank form, PR from Spark ML's evaluator)."""
+    from shoppulse.operators.metrics import auc_evaluator, auc_roc
+    s = lr_grid_selected_scores(spark, sf_dir).persist()
+    pr = auc_evaluator(s, "p", "label", "areaUnderPR")  # one number
+    return auc_roc(s, "p", "label").select("auc", F.lit(pr).alias("auc_pr"))
+
+
 @query("chi2_selected")
 def chi2_selected(spark, sf_dir):
     """Names of the int(.9 d) features kept by chi-square selection."""
