@@ -19,17 +19,29 @@ def doc_term_matrix(tokens: DataFrame, doc_col: str, term_col: str = "word", min
     return counts.join(keep.select(term_col), on=term_col, how="left_semi").select(doc_col, term_col, "n")
 
 
-def count_vectors(tokens: DataFrame, doc_col: str, term_col: str = "word", min_df: int = 5,
+def count_vectors(docs: DataFrame, doc_col: str, terms_col: str, min_df: int = 5,
                   vocab_size: int = 1 << 18):
     """Sparse count vectors per document with Spark ML ``CountVectorizer``
-    (``minDF`` documents per term).  Returns ``(vectors DataFrame(doc, tf),
-    fitted CountVectorizerModel)``."""
+    (``minDF`` documents per term) from a per-document term array -- the
+    tokenizer's own output row, so no shuffle regroups tokens by document.
+    Returns ``(vectors DataFrame(doc, tf), fitted CountVectorizerModel)``."""
     from pyspark.ml.feature import CountVectorizer
-    docs = tokens.groupBy(doc_col).agg(F.collect_list(term_col).alias("_terms"))
-    cv = CountVectorizer(inputCol="_terms", outputCol="tf", minDF=float(min_df), vocabSize=vocab_size).fit(docs)
+    cv = CountVectorizer(inputCol=terms_col, outputCol="tf", minDF=float(min_df), vocabSize=vocab_size).fit(docs)
     return cv.transform(docs).select(doc_col, "tf"), cv
 
 
+def term_arrays(df: DataFrame, doc_col: str, text_col: str, stopwords=None) -> DataFrame:
+    """``(doc, terms)``: the word array of each document (stop words removed),
+    computed in a narrow projection."""
+    from shoppulse.functions.text import words
+    from shoppulse.session import spread
+    arr = words(text_col)
+    if stopwords:
+        stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
+        arr = F.filter(arr, lambda w: ~F.array_contains(stop, w))
+    return spread(df).select(F.col(doc_col), arr.alias("terms"))
+
+
 def fit_topics(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 10, optimizer: str = "online"):
     """Spark ML LDA (``k >= 2``); the online optimiser scales with documents
     streamed in mini-batches, the EM one checkpoints its graph into the

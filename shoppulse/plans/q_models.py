@@ -216,7 +216,7 @@ def remove_mislabelled(spark, sf_dir):
 def _en_vectors(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
     toks = T.tokenize(docs, "doc_id", "text", stopwords=FX.STOP_WORDS)
-    vec, cv = TP.count_vectors(toks, "doc_id", "word", min_df=5)
+    vec, cv = TP.count_vectors(TP.term_arrays(docs, "doc_id", "text", FX.STOP_WORDS), "doc_id", "terms", min_df=5)
     return toks, vec, TP.vocabulary_frame(spark, cv)
 
 

@@ -47,8 +47,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) a fresh scratch folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local-mode
+    session (tests) without that setting gets a fresh scratch folder; on a
+    cluster a missing setting is an error, because a machine-local folder is
+    not visible to other executors and does not survive their loss.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,6 +59,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3) for checkpoints")
         configured = tempfile.mkdtemp(prefix="shoppulse-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
