@@ -313,3 +313,12 @@ SELECT doc_id, CAST(least(floor(i / len), 2) + 1 AS INTEGER) AS part FROM r, n""
 def split_parts(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents").select("doc_id")
     return L.split_parts(docs, "doc_id", 3)
+
+
+@query("part_sizes", """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents),
+  n AS (SELECT greatest(1, CAST(round_even(count(*) / 3.0, 0) AS BIGINT)) AS len FROM documents)
+SELECT CAST(least(floor(i / len), 2) + 1 AS INTEGER) AS part, count(*) AS n FROM r, n GROUP BY 1""")
+def part_sizes(spark, sf_dir):
+    """Rows per contiguous part (what the part writer puts in each folder)."""
+    docs = FX.table(spark, sf_dir, "documents").select("doc_id")
+    return L.split_parts(docs, "doc_id", 3).groupBy("part").agg(F.count(F.lit(1)).alias("n"))

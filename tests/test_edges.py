@@ -353,3 +353,24 @@ def test_item_correlation_gram_matches_exact(spark):
     assert set(exact) == set(gram) and len(exact) == 30
     for k, v in exact.items():
         assert math.isclose(gram[k], v, rel_tol=1e-9, abs_tol=1e-12), k
+
+
+def test_topic_overlap_and_share(spark):
+    from shoppulse.operators import topics as TP
+    rows = [(1, 1, "a", 0.1), (1, 2, "b", 0.1), (2, 1, "b", 0.1), (2, 2, "c", 0.1),
+            (3, 1, "d", 0.1), (3, 2, "e", 0.1)]
+    terms = spark.createDataFrame(rows, "topic int, rank int, term string, weight double")
+    ov = TP.topic_overlap(terms, 3, 2).first()
+    # pairs (1,2): |{b}|/2 = .5, (1,3): 0, (2,3): 0 -> mean 1/6
+    assert ov.k == 3 and math.isclose(ov.mean_cosine, 0.5 / 3)
+    freq = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 0), ("e", 0)], "word string, frequency long")
+    share = {r.topic: (r.share, r.label) for r in TP.topic_share(terms, freq).collect()}
+    assert share[1] == (0.4, "topic:1(40%)") and share[2] == (0.6, "topic:2(60%)")
+    assert share[3] == (0.0, "topic:3(0%)")
+
+
+def test_share_label_format(spark):
+    from shoppulse.functions import share_label
+    df = spark.createDataFrame([(1, 33.3333), (2, 12.5), (3, 50.0)], "t int, p double")
+    assert [r.l for r in df.select(share_label("t", "p").alias("l")).collect()] == \
+        ["topic:1(33.33%)", "topic:2(12.5%)", "topic:3(50%)"]
