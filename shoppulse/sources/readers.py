@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Fixed value: review files are named <sku><sentiment>.csv, sentiment po / ne.
 REVIEW_FILE = r"([0-9]+)(po|ne)\.csv$"
@@ -19,17 +19,18 @@ def read_cohort(spark: SparkSession, path: str | list[str], schema: StructType |
     r = spark.read.option("header", True).option("encoding", "UTF-8")
     if schema is not None:
         return r.schema(schema).csv(path)
-    df = r.option("inferSchema", True).csv(path)
-    if id_col in df.columns:
-        df = df.withColumn(id_col, F.col(id_col).cast("string"))
-    return df
+    inferred = r.option("inferSchema", True).csv(path).schema
+    # the id must stay text: inference would turn "007" into 7
+    fields = [StructField(f.name, StringType(), True) if f.name == id_col else f for f in inferred.fields]
+    return r.schema(StructType(fields)).csv(path)
 
 
 def read_reviews(spark: SparkSession, path: str | list[str], header: bool = True,
-                 col: str = "comments") -> DataFrame:
+                 col: str = "V1") -> DataFrame:
     """One-column review CSV, UTF-8 (a byte-order mark before the header is
-    dropped by Spark's reader).  A headerless file gets the column ``col``.
-    Empty strings read as null, as in the reference's readers."""
+    dropped by Spark's reader).  A headerless file gets the column ``col``
+    (``V1``, as R names it).  Empty strings read as null, as in the
+    reference's readers."""
     r = spark.read.option("header", header).option("encoding", "UTF-8").option("multiLine", True)
     df = r.schema(f"`{col}` string").csv(path) if not header else r.csv(path)
     if header and df.columns:

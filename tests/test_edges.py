@@ -374,3 +374,23 @@ def test_share_label_format(spark):
     df = spark.createDataFrame([(1, 33.3333), (2, 12.5), (3, 50.0)], "t int, p double")
     assert [r.l for r in df.select(share_label("t", "p").alias("l")).collect()] == \
         ["topic:1(33.33%)", "topic:2(12.5%)", "topic:3(50%)"]
+
+
+def test_read_cohort_and_headerless(spark, tmpdir_path):
+    from shoppulse.sources import read_cohort, read_lines, read_reviews
+    from shoppulse.sources.sinks import save_table
+    p = os.path.join(tmpdir_path, "cohort.csv")
+    with open(p, "w") as f:
+        f.write("user_pin,pchs_a,clk_b\n007,1,2.5\n008,0,1.0\n")
+    df = read_cohort(spark, p)
+    assert dict(df.dtypes) == {"user_pin": "string", "pchs_a": "int", "clk_b": "double"}
+    assert sorted(r.user_pin for r in df.collect()) == ["007", "008"]
+    typed = read_cohort(spark, p, "user_pin string, pchs_a double, clk_b double")
+    assert typed.first().pchs_a in (1.0, 0.0)
+    h = os.path.join(tmpdir_path, "nohead.csv")
+    with open(h, "w", encoding="utf-8") as f:
+        f.write("好评\n不错\n")
+    assert read_reviews(spark, h, header=False).columns == ["V1"]
+    assert read_lines(spark, h).count() == 2
+    save_table(df, os.path.join(tmpdir_path, "t_csv"), fmt="csv")
+    assert spark.read.option("header", True).csv(os.path.join(tmpdir_path, "t_csv")).count() == 2
