@@ -55,12 +55,16 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     the per-class table has one row per class."""
     y, p = F.col(label).cast("string"), F.col(pred).cast("string")
     cells = df.select(y.alias("t"), p.alias("q")).groupBy("t", "q").agg(F.count(F.lit(1)).alias("c"))
-    by_t = cells.groupBy(F.col("t").alias("cls")).agg(
-        F.sum("c").alias("support"), F.sum(F.when(F.col("t") == F.col("q"), F.col("c")).otherwise(0)).alias("tp"))
-    by_q = cells.groupBy(F.col("q").alias("cls")).agg(F.sum("c").alias("predicted"))
-    per = (by_t.join(by_q, "cls", "full")
-               .select("cls", F.coalesce("support", F.lit(0)).alias("support"),
-                       F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("predicted", F.lit(0)).alias("predicted")))
+    # each cell counts once for its true class (support, tp) and once for its
+    # predicted class: two rows per cell and one groupBy, no join
+    c, hit = F.col("c"), F.col("t") == F.col("q")
+    per = cells.select(F.explode(F.array(
+        F.struct(F.col("t").alias("cls"), c.alias("support"), F.when(hit, c).otherwise(0).alias("tp"),
+                 F.lit(0).cast("bigint").alias("predicted")),
+        F.struct(F.col("q").alias("cls"), F.lit(0).cast("bigint").alias("support"),
+                 F.lit(0).cast("bigint").alias("tp"), c.alias("predicted")))).alias("e")).select("e.*") \
+        .groupBy("cls").agg(F.sum("support").alias("support"), F.sum("tp").alias("tp"),
+                            F.sum("predicted").alias("predicted"))
     per = per.select("cls", "support", "tp",
                      _safe(F.col("tp"), F.col("predicted")).alias("precision"),
                      _safe(F.col("tp"), F.col("support")).alias("recall"))
