@@ -236,7 +236,11 @@ def item_correlation(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents")
     toks = tokenize(docs.select("source", "text"), "source", "text")
     counts = toks.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
-    out = C.item_correlation(counts, "source", "word", "n")
+    # the item list (one name per source) from a cheap pass -- sources with at
+    # least one token -- instead of a second run of the tokenizer
+    has_token = F.lower(F.col("text")).rlike(FX.WORD_PATTERN)
+    items = sorted(r[0] for r in docs.filter(has_token).select("source").distinct().collect())
+    out = C.item_correlation(counts, "source", "word", "n", items=items)
     return out.select("SKU1", "SKU2", F.round("correlation", 6).alias("correlation"))
 
 

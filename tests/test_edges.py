@@ -177,7 +177,7 @@ def _sequential_weights(pairs, feats, pos, neg, mode):
 
 @pytest.mark.parametrize("mode", ["multiply", "add"])
 def test_signed_weights_closed_form(spark, mode):
-    feats = ["m_a", "m_b", "f_a", "f_b", "x", "mf_both"]
+    feats = ["m_a", "m_b", "f_a", "f_b", "x", "m_f_both"]
     rnd = random.Random(7)
     pairs = []
     for i, a in enumerate(feats):
