@@ -48,18 +48,16 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
                gram_min_cols: int = 17) -> DataFrame:
     """Long table of column-pair correlations: no self pairs, undefined
     pairs dropped, both directions, sorted descending by value then names.
-
-    * Few columns: one aggregation pass with a pairwise-complete Pearson
-      expression per pair (rows where both values are non-null).
-    * Many columns (``>= gram_min_cols``) without nulls: Spark ML
-      ``Correlation.corr`` -- one tree-aggregated Gram matrix (BLAS), whose
-      d x d result is schema-sized.
-    * Many columns with nulls: a null-masked Gram matrix -- each task sums
-      ``Z'Z`` for ``Z = [x, x^2, notnull]`` (means removed) with numpy over its
-      Arrow batches and emits one row; Spark adds the per-task matrices.  All
-      pairwise-complete moments are blocks of that one 3d x 3d matrix.
-    * ``pairs_per_pass`` bounds the expressions of one aggregation pass on
-      the expression path (used for few columns).
+    Always pairwise complete (a pair uses the rows where both are non-null).
+
+    * Few columns: one aggregation pass with a Pearson expression per pair
+      (``pairs_per_pass`` bounds the expressions of one pass).
+    * Many columns (``>= gram_min_cols``): a null-masked Gram matrix -- each
+      task sums ``Z'Z`` for ``Z = [x, x^2, notnull]`` (x centred, nulls as 0)
+      with numpy over its Arrow batches and emits one row, Spark adds the
+      per-task matrices, and every pair's moments are read from blocks of
+      that single row by a Spark expression.  No aggregation grows with d^2
+      expressions and no matrix passes through the driver.
     Expressions are passed as SQL text (parsed in the JVM) to keep planning
     cheap."""
     cols = list(cols)
@@ -69,10 +67,7 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
     if not pairs:
         return spark.createDataFrame([], f"{a} string, {b} string, {v} double")
     if len(cols) >= gram_min_cols:
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{k}") for k, c in enumerate(cols)]).first()
-        if not any(nulls):
-            return _corr_pairs_gram(df, cols, absolute, names, both_directions)
-        return _corr_pairs_masked_gram(df, cols, absolute, names, both_directions)
+        return gram_corr_pairs(df, cols, absolute, names, both_directions)
     parts = []
     for start in range(0, len(pairs), pairs_per_pass):
         chunk = pairs[start:start + pairs_per_pass]
@@ -90,59 +85,21 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
     return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
 
 
-def _corr_pairs_gram(df: DataFrame, cols: list[str], absolute: bool, names: tuple[str, str, str],
-                     both_directions: bool) -> DataFrame:
-    """Null-free wide input: Spark ML's Pearson matrix (one distributed Gram
-    aggregation); the d x d matrix -- one value per column pair -- becomes the
-    long table."""
-    import math
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    a, b, v = names
-    vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
-    rows = []
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            r = float(m[i, j])
-            if math.isnan(r):
-                continue
-            r = abs(r) if absolute else r
-            rows.append((cols[i], cols[j], r))
-            if both_directions:
-                rows.append((cols[j], cols[i], r))
-    out = df.sparkSession.createDataFrame(rows, f"{a} string, {b} string, {v} double")
-    return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
-
-
-def _pairs_frame(spark, cols, r, absolute, names, both_directions) -> DataFrame:
-    import math
-    a, b, v = names
-    rows = []
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            x = float(r[i][j])
-            if math.isnan(x) or math.isinf(x):
-                continue
-            x = abs(x) if absolute else x
-            rows.append((cols[i], cols[j], x))
-            if both_directions:
-                rows.append((cols[j], cols[i], x))
-    out = spark.createDataFrame(rows, f"{a} string, {b} string, {v} double")
-    return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
-
-
-def _corr_pairs_masked_gram(df: DataFrame, cols: list[str], absolute: bool, names: tuple[str, str, str],
-                            both_directions: bool) -> DataFrame:
-    """Pairwise-complete Pearson for many nullable columns from one masked
-    Gram matrix (see :func:`corr_pairs`)."""
+def gram_corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
+                    names: tuple[str, str, str] = ("level_0", "level_1", "corr_value"),
+                    both_directions: bool = True, labels: Sequence[str] | None = None) -> DataFrame:
+    """Pairwise-complete Pearson correlations of many columns from one
+    null-masked Gram matrix (see :func:`corr_pairs`).  ``labels`` renames the
+    columns in the output (e.g. item names)."""
     import numpy as np
     import pandas as pd
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
+    cols = list(cols)
+    labels = list(labels) if labels is not None else cols
     d = len(cols)
-    # centre by the column means first (one cheap pass): keeps the moment
+    a, b, v = names
+    # centre by the column means (one cheap pass, d numbers): keeps the moment
     # sums small so the closed form below does not cancel catastrophically
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{k}") for k, c in enumerate(cols)]).first()
     mu = np.array([0.0 if means[k] is None else float(means[k]) for k in range(d)])
@@ -159,16 +116,31 @@ def _corr_pairs_masked_gram(df: DataFrame, cols: list[str], absolute: bool, name
         yield pd.DataFrame({"g": [g.ravel()]})
 
     src = df.select(*[F.col(c).cast("double").alias(safe[k]) for k, c in enumerate(cols)])
-    parts = src.mapInPandas(task_gram, "g array<double>")
-    total = parts.select(Summarizer.sum(array_to_vector("g")).alias("s")).head()["s"].toArray()
-    g = total.reshape(3 * d, 3 * d)
-    xx, x2m, xm, mm = g[:d, :d], g[d:2 * d, 2 * d:], g[:d, 2 * d:], g[2 * d:, 2 * d:]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        n = mm
-        num = n * xx - xm * xm.T
-        den = np.sqrt((n * x2m - xm * xm) * (n * x2m.T - xm.T * xm.T))
-        r = np.where((den > 0) & (n >= 2), num / den, np.nan)
-    return _pairs_frame(df.sparkSession, cols, r, absolute, names, both_directions)
+    total = (src.mapInPandas(task_gram, "g array<double>")
+                .select(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")))
+    w = 3 * d
+    g = F.col("g")
+
+    def at(r, c):  # element (r, c) of the row-major 3d x 3d matrix
+        return g[r * w + c]
+
+    def pair(k):
+        i, j = (k / d).cast("int"), (k % d).cast("int")
+        n = at(2 * d + i, 2 * d + j)
+        sx, sy = at(i, 2 * d + j), at(j, 2 * d + i)
+        sxx, syy = at(d + i, 2 * d + j), at(d + j, 2 * d + i)
+        sxy = at(i, j)
+        den = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+        r = F.when((n >= 2) & (den > 0), (n * sxy - sx * sy) / den)
+        return F.struct(i.alias("_i"), j.alias("_j"), (F.abs(r) if absolute else r).alias(v))
+
+    lab = F.array(*[F.lit(x) for x in labels])
+    out = (total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(d * d - 1)), pair)).alias("e"))
+                .select("e.*").filter((F.col("_i") != F.col("_j")) & F.col(v).isNotNull() & ~F.isnan(v)))
+    if not both_directions:
+        out = out.filter(F.col("_i") < F.col("_j"))
+    out = out.select(lab[F.col("_i")].alias(a), lab[F.col("_j")].alias(b), F.col(v))
+    return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
 
 
 def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
@@ -218,17 +190,14 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
 
 
 def _item_correlation_gram(agg: DataFrame, item: str, term: str, items: list, names) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation
     d = len(items)
     idx = agg.join(F.broadcast(agg.sparkSession.createDataFrame(
         [(x, k) for k, x in enumerate(items)], f"{item} string, _i int")), item)  # one row per item
     per_term = idx.groupBy(term).agg(F.map_from_entries(F.collect_list(
         F.struct("_i", F.col("_n").cast("double")))).alias("_m"))  # at most d entries per term
-    dense = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
-    vec = per_term.select(array_to_vector(dense).alias("_v"))
-    r = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
-    return _pairs_frame(agg.sparkSession, [str(x) for x in items], r, False, names, True)
+    dense = per_term.select(*[F.coalesce(F.col("_m")[k], F.lit(0.0)).alias(f"x{k}") for k in range(d)])
+    return gram_corr_pairs(dense, [f"x{k}" for k in range(d)], absolute=False, names=names,
+                           labels=[str(x) for x in items])
 
 
 # ------------------------------------------------------------ signed weights --
