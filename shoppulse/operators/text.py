@@ -132,10 +132,10 @@ def tf_idf(counts: DataFrame, doc_col: str, term_col: str = "word", n_col: str =
         totals = counts.groupBy(doc_col).agg(F.sum(n_col).alias("_doc_n"))
         counts = counts.join(totals, on=doc_col)
         doc_total_col = "_doc_n"
-    # count(n) (not count(*)) keeps the counts aggregation of this branch
-    # identical to the main one, so the exchange under it is reused and the
-    # tokens are produced once
-    term_docs = counts.groupBy(term_col).agg(F.count(n_col).alias("_df"))
+    # count_if(n > 0) (not count(*)) uses the count column, so the optimizer
+    # keeps this branch's counts aggregation identical to the main one: the
+    # exchange under it is reused and the tokens are produced once
+    term_docs = counts.groupBy(term_col).agg(F.count_if(F.col(n_col) > 0).alias("_df"))
     n_docs_col = n_docs if n_docs is not None else counts.agg(F.countDistinct(doc_col).alias("_N"))
     out = (counts.join(term_docs, on=term_col)
                  .crossJoin(F.broadcast(n_docs_col))  # one row by construction

@@ -15,8 +15,15 @@ def doc_term_matrix(tokens: DataFrame, doc_col: str, term_col: str = "word", min
     if drop_digits:
         toks = toks.filter(~F.col(term_col).rlike("^[0-9]+$"))
     counts = toks.groupBy(doc_col, term_col).agg(F.count(F.lit(1)).alias("n"))
-    keep = counts.groupBy(term_col).agg(F.count(F.lit(1)).alias("_df")).filter(F.col("_df") >= min_df)
-    return counts.join(keep.select(term_col), on=term_col, how="left_semi").select(doc_col, term_col, "n")
+    # document frequency read off the counts (count_if(n > 0) uses the count
+    # column, so this branch's token aggregation stays identical to the main
+    # one: its shuffle is reused and the text is tokenised once)
+    keep = counts.groupBy(term_col).agg(F.count_if(F.col("n") > 0).alias("_df")).filter(F.col("_df") >= min_df)
+    # inner join with the (unique) kept terms rather than a semi join: the
+    # optimizer pushes a semi join below the count aggregation, which would
+    # shuffle raw tokens by term (a hot term's tokens into one task, with no
+    # map-side combine); the inner join keeps the counts aggregated first
+    return counts.join(keep.select(term_col), on=term_col, how="inner").select(doc_col, term_col, "n")
 
 
 def count_vectors(docs: DataFrame, doc_col: str, terms_col: str, min_df: int = 5,
