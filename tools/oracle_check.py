@@ -6,6 +6,7 @@ usage: python tools/oracle_check.py [sf_dir] [name ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -19,13 +20,16 @@ from shoppulse.plans.fixtures import TABLES  # noqa: E402
 from shoppulse.session import get_session  # noqa: E402
 
 
+STRICT = os.environ.get("STRICT") == "1"  # compare floats bit for bit
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     if hasattr(v, "item") and not isinstance(v, (str, bytes)):
         try:
             return norm(v.item())
