@@ -279,3 +279,46 @@ def search_lr_selected(train: DataFrame, cols: Sequence[str], alpha: float = 0.9
             .addGrid(lr.regParam, LR_GRID_REG).build())
     model = Pipeline(stages=[_assembler(selected), _tvs(lr, grid, label, parallelism, seed)]).fit(train)
     return model, selected
+
+
+# ------------------------------------------------- named searches (M4-M8) --
+
+def _search(name):
+    def run(train: DataFrame, cols: Sequence[str], mode: str = "fast", label: str = "label",
+            parallelism: int = 2, seed: int = 0, n_selected: int | None = None):
+        spec = {s.name: s for s in search_specs(len(cols), mode, label, seed, with_rf=True,
+                                                n_selected=n_selected)}[name]
+        return train_search(train, cols, spec, label, parallelism, seed)
+    run.__name__ = f"search_{name}"
+    run.__doc__ = f"Train-validation search of the ``{name}`` grid (see :func:`search_specs`)."
+    return run
+
+
+search_lr = _search("lr")
+search_dt = _search("dt")
+search_nb = _search("nb")
+search_mlp = _search("mlp")
+search_rf = _search("rf")
+
+
+def attach_scores(users: DataFrame, scores: DataFrame, key: str = "user_pin") -> DataFrame:
+    """Left join of users to their scores on the user key (never on
+    separately generated row ids, which depend on partitioning)."""
+    return users.join(scores, on=key, how="left")
+
+
+def ensemble_target(models: dict, target: DataFrame, cols: Sequence[str], weights: Sequence[float],
+                    key: str = "user_pin", rescale: bool = False) -> DataFrame:
+    """Blend every model's P(1) on the unlabelled target table."""
+    from shoppulse.operators.scoring import ensemble
+    scored = score_all(models, target, cols, keep=(key,))
+    return ensemble(scored, [f"p_{n}" for n in models], weights, rescale=rescale)
+
+
+def model_result(model, target: DataFrame, cols: Sequence[str], key: str = "user_pin",
+                 nb: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One learner on the target: ``(scores(key, pro, prediction), band
+    counts among predicted positives)``."""
+    from shoppulse.operators.scoring import score_bands
+    s = score(model, target, cols, "pro", keep=(key,), nb=nb).withColumnRenamed("pro_pred", "prediction")
+    return s, score_bands(s, "pro", "prediction")

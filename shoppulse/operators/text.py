@@ -74,6 +74,12 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATT
     return base.select(id_col, F.explode_outer("_w").alias(word_col)).filter(F.col(word_col).isNotNull())
 
 
+def token_positions(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATTERN,
+                    stopwords: Iterable[str] | None = None) -> DataFrame:
+    """``(id, word, index_word)``: tokens with their 1-based position."""
+    return tokenize(df, id_col, text_col, pattern, stopwords, positions=True)
+
+
 def tag_words(tokens: DataFrame, lexicon: DataFrame, word_col: str = "word",
               nature_col: str = "nature", max_broadcast_rows: int = 2_000_000) -> DataFrame:
     """Attach a part-of-speech-like tag from a lexicon ``(word, nature)``;

@@ -173,17 +173,15 @@ def ensemble_trained(spark, sf_dir):
 @query("ensemble_target")
 def ensemble_target(spark, sf_dir):
     models, aucs, _ = _trained(spark, sf_dir)
-    s = MO.score_all(models, FX.target_docs(spark, sf_dir), FEATS)
-    return SC.ensemble(s, [f"p_{n}" for n in models], _auc_weights(models, aucs))
+    return MO.ensemble_target(models, FX.target_docs(spark, sf_dir), FEATS, _auc_weights(models, aucs))
 
 
 @query("model_result")
 def model_result(spark, sf_dir):
     """One learner on the target table, banded among predicted positives."""
     train, _ = _split(spark, sf_dir)
-    m = MO.fit_lr(train, FEATS)
-    s = MO.score(m, FX.target_docs(spark, sf_dir), FEATS, "pro")
-    return SC.score_bands(s.withColumnRenamed("pro_pred", "prediction"), "pro", "prediction")
+    _, bands = MO.model_result(MO.fit_lr(train, FEATS), FX.target_docs(spark, sf_dir), FEATS)
+    return bands
 
 
 @query("output_users")

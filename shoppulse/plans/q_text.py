@@ -79,7 +79,7 @@ _POS_SQL = f"""SELECT id, word, CAST(index_word AS BIGINT) AS index_word FROM (
 
 @query("token_positions", _POS_SQL)
 def token_positions(spark, sf_dir):
-    return T.tokenize(FX.conversation_docs(spark, sf_dir), "id", "text", positions=True)
+    return T.token_positions(FX.conversation_docs(spark, sf_dir), "id", "text")
 
 
 def _tagged(spark, sf_dir):

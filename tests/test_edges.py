@@ -394,3 +394,11 @@ def test_read_cohort_and_headerless(spark, tmpdir_path):
     assert read_lines(spark, h).count() == 2
     save_table(df, os.path.join(tmpdir_path, "t_csv"), fmt="csv")
     assert spark.read.option("header", True).csv(os.path.join(tmpdir_path, "t_csv")).count() == 2
+
+
+def test_attach_scores_by_key(spark):
+    from shoppulse.operators.models import attach_scores
+    users = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "user_pin string").repartition(3)
+    scores = spark.createDataFrame([("u3", 0.9), ("u1", 0.2)], "user_pin string, p double").repartition(2)
+    got = {r.user_pin: r.p for r in attach_scores(users, scores).collect()}
+    assert got == {"u1": 0.2, "u2": None, "u3": 0.9}
