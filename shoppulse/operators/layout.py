@@ -40,19 +40,48 @@ def _default_ranges(df: DataFrame) -> int:
 
 def with_row_index(df: DataFrame, order_col: str, out_col: str = "row_idx",
                    ranges: int | None = None) -> DataFrame:
-    """0-based global position along ``order_col`` (ties broken by the whole
-    row order inside a range, so give a unique key for a total order)."""
+    """0-based global position along ``order_col`` (rows with equal keys get
+    consecutive positions in an arbitrary but deterministic order).
+
+    The key is cut into ranges at approximate quantiles.  A key value holding
+    more than one range's share of the rows (a hot key: e.g. a third of the
+    table) becomes a cut of its own and its rows are salted over several
+    sub-ranges by a hash of the row, so no task numbers more than about two
+    ranges' worth of rows.  Range sizes (one number per range) are the only
+    values brought to the driver."""
     ranges = ranges or _default_ranges(df)
     cuts = _range_cuts(df, order_col, ranges)
     b = df.withColumn("_rb", range_bucket(order_col, cuts))
-    sizes = b.groupBy("_rb").agg(F.count(F.lit(1)).alias("_sz"))
-    offs = sizes.withColumn(
-        "_off", F.coalesce(F.sum("_sz").over(Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))  # one row per range: tiny
-    w = Window.partitionBy("_rb").orderBy(order_col)
-    return (b.join(F.broadcast(offs.select("_rb", "_off")), "_rb")
+    sizes = {r["_rb"]: r["_sz"] for r in b.groupBy("_rb").agg(F.count(F.lit(1)).alias("_sz")).collect()}
+    total = sum(sizes.values())
+    target = max(1, -(-total // ranges))
+    big = [k for k, n in sizes.items() if n > 2 * target]
+    salt = F.lit(0)
+    if big:
+        hot = (b.filter(F.col("_rb").isin(big)).groupBy(order_col)
+                .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target).collect())
+        if hot:
+            # each hot value becomes a cut (so it opens its own range) and is
+            # split into ceil(n / target) salted sub-ranges placed before the
+            # rest of that range
+            cuts = sorted(set(cuts) | {r[order_col] for r in hot})
+            b = df.withColumn("_rb", range_bucket(order_col, cuts))
+            h = F.xxhash64(*[F.col(c) for c in df.columns])
+            expr = F.lit(1 << 30)
+            for r in hot:
+                parts = -(-r["_n"] // target)
+                expr = F.when(F.col(order_col) == F.lit(r[order_col]), F.pmod(h, F.lit(parts))).otherwise(expr)
+            salt = expr
+    b = b.withColumn("_sub", salt.cast("int")).withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
+    keys = ["_rb", "_sub"]
+    sz = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sz"))
+    offs = sz.withColumn(
+        "_off", F.coalesce(F.sum("_sz").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)),
+                           F.lit(0)))  # one row per (range, sub-range): tiny
+    w = Window.partitionBy(*keys).orderBy(order_col, "_tb")
+    return (b.join(F.broadcast(offs.select(*keys, "_off")), keys)
              .withColumn(out_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-             .drop("_rb", "_off"))
+             .drop("_rb", "_sub", "_tb", "_off"))
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], inclusive: bool = False,

@@ -402,3 +402,22 @@ def test_attach_scores_by_key(spark):
     scores = spark.createDataFrame([("u3", 0.9), ("u1", 0.2)], "user_pin string, p double").repartition(2)
     got = {r.user_pin: r.p for r in attach_scores(users, scores).collect()}
     assert got == {"u1": 0.2, "u2": None, "u3": 0.9}
+
+
+def test_row_index_hot_key_is_split(spark):
+    # key 5 holds a third of the rows
+    rows = [(5 if i % 3 == 0 else i, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    out = L.with_row_index(df, "k", ranges=8).collect()
+    idx = sorted(r.row_idx for r in out)
+    assert idx == list(range(3000))
+    by_idx = sorted(out, key=lambda r: r.row_idx)
+    keys = [r.k for r in by_idx]
+    assert keys == sorted(keys)  # positions follow the key order
+
+
+def test_split_parts_with_ties_sizes(spark):
+    rows = [(1 if i < 400 else i, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    sizes = {r.part: r["count"] for r in L.split_parts(df, "k", 3).groupBy("part").count().collect()}
+    assert sizes == {1: 333, 2: 333, 3: 334}
