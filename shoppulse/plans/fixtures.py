@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoppulse.functions.text import WORD_PATTERN, words
+from shoppulse.session import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -104,11 +105,15 @@ def _doc_features(docs: DataFrame) -> DataFrame:
     )
 
 
-def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` joined with ``labels``: ``user_pin, label, f_*``."""
-    # no spread here: the labelled set feeds iterative learners, which pass
-    # over it many times; extra partitions only add per-iteration task cost
-    docs = _doc_features(table(spark, sf_dir, "documents"))
+def labelled_docs(spark: SparkSession, sf_dir: str, parallel: bool = False) -> DataFrame:
+    """``documents`` joined with ``labels``: ``user_pin, label, f_*``.
+
+    ``parallel`` spreads single-split inputs before the regex features (for
+    one-pass reports); iterative learners leave it off, since they pass over
+    the (small) labelled set many times and extra partitions only add
+    per-iteration task cost."""
+    src = table(spark, sf_dir, "documents")
+    docs = _doc_features(spread(src) if parallel else src)
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label"))
     return docs.join(lab, "doc_id").select("user_pin", "label", *FEATURES)
 

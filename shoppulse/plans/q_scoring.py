@@ -17,7 +17,7 @@ SCORED = FX.SQL["scored"]
 
 def _scored(spark, sf_dir):
     """Labelled documents with rule scores and their rounded classes."""
-    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir))
+    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir, parallel=True))
     return df.withColumns({"prediction": round_class("s2"), "pred_s1": round_class("s1")})
 
 
@@ -88,7 +88,7 @@ SELECT round((rs - P * (P + 1) / 2.0) / (P * N), 6) AS auc FROM c"""
 
 @query("auc_roc", _auc_sql("s2", "label", SCORED))
 def auc_roc(spark, sf_dir):
-    r = M.auc_roc(FX.rule_scores(FX.labelled_docs(spark, sf_dir)), "s2", "label")
+    r = M.auc_roc(FX.rule_scores(FX.labelled_docs(spark, sf_dir, parallel=True)), "s2", "label")
     return r.select(F.round("auc", 6).alias("auc"))
 
 
@@ -133,7 +133,7 @@ def attr_share(spark, sf_dir):
 
 @query("select_above", f"SELECT user_pin, round(s2, 6) AS pro FROM {SCORED} WHERE s2 > 0.59")
 def select_above(spark, sf_dir):
-    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir))
+    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir, parallel=True))
     return SC.select_above(df, "s2", 0.59).select("user_pin", F.round("s2", 6).alias("pro"))
 
 
@@ -155,14 +155,14 @@ def _ens_sql(rescale: bool) -> str:
 
 @query("ensemble_fixed", _ens_sql(False))
 def ensemble_fixed(spark, sf_dir):
-    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir))
+    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir, parallel=True))
     e = SC.ensemble(df, ["s1", "s2", "s3"], ENSEMBLE_WEIGHTS)
     return e.select("user_pin", "label", F.round("ensemble", 6).alias("ensemble"))
 
 
 @query("ensemble_rescaled", _ens_sql(True))
 def ensemble_rescaled(spark, sf_dir):
-    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir))
+    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir, parallel=True))
     e = SC.ensemble(df, ["s1", "s2", "s3"], ENSEMBLE_WEIGHTS, rescale=True)
     return e.select("user_pin", "label", F.round("ensemble", 6).alias("ensemble"))
 
@@ -170,7 +170,7 @@ def ensemble_rescaled(spark, sf_dir):
 @query("blend_pick", f"""SELECT user_pin, round(b, 6) AS blend FROM (SELECT user_pin, 0.99 * s2 + {1 - 0.99!r} * s1 AS b
   FROM {SCORED}) WHERE CAST(round_even(b, 0) AS INTEGER) = 0""")
 def blend_pick(spark, sf_dir):
-    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir))
+    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir, parallel=True))
     out = SC.blend_and_pick(df, "s2", "s1", 0.99, cls=0)
     return out.select("user_pin", F.round("blend", 6).alias("blend"))
 
@@ -181,14 +181,14 @@ _BAD = "((p_mean < 0.35 AND label = 1) OR (p_mean > 0.65 AND label = 0))"
 
 @query("remove_mislabelled_rule", f"SELECT user_pin, label, round(p_mean, 6) AS p_mean FROM {_PMEAN} WHERE NOT {_BAD}")
 def remove_mislabelled_rule(spark, sf_dir):
-    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir)).withColumn("p_mean", (F.col("s1") + F.col("s2")) / 2)
+    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir, parallel=True)).withColumn("p_mean", (F.col("s1") + F.col("s2")) / 2)
     return SC.remove_mislabelled(df).select("user_pin", "label", F.round("p_mean", 6).alias("p_mean"))
 
 
 @query("mislabel_ratio", f"""SELECT count(*) AS before, count(*) FILTER (WHERE NOT {_BAD}) AS after,
   round((count(*) - count(*) FILTER (WHERE NOT {_BAD})) / count(*), 6) AS ratio FROM {_PMEAN}""")
 def mislabel_ratio(spark, sf_dir):
-    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir)).withColumn("p_mean", (F.col("s1") + F.col("s2")) / 2)
+    df = FX.rule_scores(FX.labelled_docs(spark, sf_dir, parallel=True)).withColumn("p_mean", (F.col("s1") + F.col("s2")) / 2)
     return SC.mislabel_ratio(df).withColumn("ratio", F.round("ratio", 6))
 
 
@@ -205,5 +205,5 @@ SELECT feature, round(sum(o * o / (r * c / t)) - any_value(t), 6) AS statistic,
   CAST((any_value(nb) - 1) * (any_value(nl) - 1) AS BIGINT) AS dof
 FROM cell JOIN r USING (feature, bin) JOIN c USING (feature, label) JOIN t USING (feature) GROUP BY feature""")
 def chi2_statistic(spark, sf_dir):
-    t = FE.chi2_table(FX.labelled_docs(spark, sf_dir), FX.FEATURES, "label", 10)
+    t = FE.chi2_table(FX.labelled_docs(spark, sf_dir, parallel=True), FX.FEATURES, "label", 10)
     return t.select("feature", F.round("statistic", 6).alias("statistic"), "dof")
