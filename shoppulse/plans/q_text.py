@@ -170,7 +170,6 @@ def extract_tag_summary(spark, sf_dir):
     return T.extract_tag_summary(FX.tag_bodies(spark, sf_dir), "sku", "body")
 
 
-_TS = T.TS
 @query("extract_qa", f"""WITH b AS (
   SELECT sku, regexp_extract_all(body, '{T.QA_DATES}') AS dates, unnest(bl) AS blk,
          generate_subscripts(bl, 1) - 1 AS block
