@@ -16,6 +16,7 @@ from shoppulse.operators import text as T
 from shoppulse.operators import topics as TP
 from shoppulse.plans import fixtures as FX
 from shoppulse.plans.catalog import query
+from shoppulse.session import cut_lineage
 
 # The reference's rule thresholds.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.003, 0.005
@@ -227,7 +228,9 @@ def topic_terms(spark, sf_dir):
 @query("topic_separation")
 def topic_separation(spark, sf_dir):
     _, vec, vocab = _en_vectors(spark, sf_dir)
-    return TP.topic_separation(vec.cache(), vocab, range(2, 11), 50, seed=0)
+    # nine fits read the same vectors: cut the lineage once into the shared
+    # checkpoint folder, so a lost executor does not re-tokenise the corpus
+    return TP.topic_separation(cut_lineage(vec), vocab, range(2, 11), 50, seed=0)
 
 
 @query("topic_share")
