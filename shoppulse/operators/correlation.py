@@ -154,7 +154,7 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     The term x item matrix is one ``groupBy(term)`` of the pre-aggregated
     counts with one conditional sum per item, so a term shared by every item
     stays one row and no item pairs are generated per term.  The moments are
-    exact integer sums in one aggregation pass (partial per task), and the
+    integer sums (products in double, exact below 2^53, never overflowing) in one aggregation pass (partial per task), and the
     pair formula is evaluated on that single row inside Spark.
 
     With ``gram_min_items`` items or more, each term row becomes a dense
@@ -178,8 +178,11 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     pairs = list(combinations(range(d), 2))
     mom = wide.agg(F.expr("CAST(count(1) AS DOUBLE)").alias("V"),
                    *[F.expr(f"CAST(sum(i{k}) AS DOUBLE)").alias(f"sx{k}") for k in range(d)],
-                   *[F.expr(f"CAST(sum(i{k} * i{k}) AS DOUBLE)").alias(f"sq{k}") for k in range(d)],
-                   *[F.expr(f"CAST(sum(i{i} * i{j}) AS DOUBLE)").alias(f"sp{i}_{j}") for i, j in pairs])
+                   # products in double: a hot term's count squared overflows a
+                   # bigint long before its count does (exact while < 2^53)
+                   *[F.expr(f"sum(CAST(i{k} AS DOUBLE) * CAST(i{k} AS DOUBLE))").alias(f"sq{k}") for k in range(d)],
+                   *[F.expr(f"sum(CAST(i{i} AS DOUBLE) * CAST(i{j} AS DOUBLE))").alias(f"sp{i}_{j}")
+                     for i, j in pairs])
     entries = []
     for i, j in pairs:
         r = (f"try_divide(V * sp{i}_{j} - sx{i} * sx{j}, "

@@ -154,7 +154,7 @@ def chi2_from_binned(binned: DataFrame, label: str = "label") -> DataFrame:
     j = cell.join(rowm, ["feature", "bin"]).join(colm, ["feature", label]).join(tot, "feature")
     e = F.col("r") * F.col("c") / F.col("t")
     return j.groupBy("feature").agg(
-        (F.sum(F.col("o") * F.col("o") / e) - F.first("t")).alias("statistic"),
+        (F.sum(F.col("o").cast("double") * F.col("o").cast("double") / e) - F.first("t")).alias("statistic"),
         ((F.first("nb") - 1) * (F.first("nl") - 1)).cast("bigint").alias("dof"))
 
 

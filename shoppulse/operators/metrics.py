@@ -113,7 +113,7 @@ def auc_roc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
     ps = prefix_sums(g, "_s", ["_neg"], inclusive=False)
     return ps.agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"),
                   F.sum(F.col("_pos") * (F.col("_neg_before") + 0.5 * F.col("_neg"))).alias("_u")) \
-             .select(F.try_divide(F.col("_u"), F.col("P") * F.col("N")).alias("auc"))
+             .select(F.try_divide(F.col("_u"), F.col("P").cast("double") * F.col("N").cast("double")).alias("auc"))
 
 
 def auc_evaluator(df: DataFrame, score: str, label: str = "label", metric: str = "areaUnderROC") -> float:
