@@ -154,8 +154,9 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     The term x item matrix is one ``groupBy(term)`` of the pre-aggregated
     counts with one conditional sum per item, so a term shared by every item
     stays one row and no item pairs are generated per term.  The moments are
-    integer sums (products in double, exact below 2^53, never overflowing) in one aggregation pass (partial per task), and the
-    pair formula is evaluated on that single row inside Spark.
+    one ``X'X`` per task (numpy over Arrow batches, exact for integer counts
+    below 2^53, never overflowing) added up by Spark, and the pair formula is
+    evaluated on that single row inside Spark.
 
     With ``gram_min_items`` items or more, each term row becomes a dense
     count vector (built from its bounded list of (item, count) entries) and
@@ -175,21 +176,49 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     it = _q(item)
     wide = agg.groupBy(term).agg(*[
         F.expr(f"sum(CASE WHEN {it} = {sql_str(x)} THEN _n ELSE 0 END)").alias(f"i{k}") for k, x in enumerate(items)])
-    pairs = list(combinations(range(d), 2))
-    mom = wide.agg(F.expr("CAST(count(1) AS DOUBLE)").alias("V"),
-                   *[F.expr(f"CAST(sum(i{k}) AS DOUBLE)").alias(f"sx{k}") for k in range(d)],
-                   # products in double: a hot term's count squared overflows a
-                   # bigint long before its count does (exact while < 2^53)
-                   *[F.expr(f"sum(CAST(i{k} AS DOUBLE) * CAST(i{k} AS DOUBLE))").alias(f"sq{k}") for k in range(d)],
-                   *[F.expr(f"sum(CAST(i{i} AS DOUBLE) * CAST(i{j} AS DOUBLE))").alias(f"sp{i}_{j}")
-                     for i, j in pairs])
-    entries = []
-    for i, j in pairs:
-        r = (f"try_divide(V * sp{i}_{j} - sx{i} * sx{j}, "
-             f"sqrt((V * sq{i} - sx{i} * sx{i}) * (V * sq{j} - sx{j} * sx{j})))")
-        entries.append(f"named_struct('{a}', {sql_str(items[i])}, '{b}', {sql_str(items[j])}, '{v}', {r})")
-        entries.append(f"named_struct('{a}', {sql_str(items[j])}, '{b}', {sql_str(items[i])}, '{v}', {r})")
-    return _explode_pairs(mom, entries, names).orderBy(F.col(v).desc(), F.col(a), F.col(b))
+    mom = _raw_moments(wide, [f"i{k}" for k in range(d)])
+    V, g = F.col("V"), F.col("g")
+
+    def pair(k):
+        i, j = (k / d).cast("int"), (k % d).cast("int")
+        sx, sy = g[d * d + i], g[d * d + j]
+        sxx, syy, sxy = g[i * d + i], g[j * d + j], g[i * d + j]
+        den = F.sqrt((V * sxx - sx * sx) * (V * syy - sy * sy))
+        r = F.try_divide(V * sxy - sx * sy, den)
+        return F.struct(i.alias("_i"), j.alias("_j"), r.alias(v))
+
+    lab = F.array(*[F.lit(str(x)) for x in items])
+    out = (mom.select("V", F.explode(F.transform(F.sequence(F.lit(0), F.lit(d * d - 1)), pair)).alias("e"))
+              .select("e.*").filter((F.col("_i") != F.col("_j")) & F.col(v).isNotNull()))
+    return out.select(lab[F.col("_i")].alias(a), lab[F.col("_j")].alias(b), F.col(v)) \
+              .orderBy(F.col(v).desc(), F.col(a), F.col(b))
+
+
+def _raw_moments(wide: DataFrame, cols: list[str]) -> DataFrame:
+    """One row ``(V, g)``: row count and the raw moments of the count
+    columns -- ``g[i*d + j] = sum x_i x_j`` followed by ``sum x_i`` -- summed
+    per task with numpy (``X'X``) over Arrow batches and added up by Spark.
+    The counts are integers, so every product and partial sum is exact in
+    double while below 2^53 (the order of additions does not matter), and
+    nothing overflows beyond that."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    d = len(cols)
+
+    def task_moments(batches):
+        g = np.zeros(d * d + d + 1)
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float)
+            g[:d * d] += (x.T @ x).ravel()
+            g[d * d:d * d + d] += x.sum(axis=0)
+            g[-1] += len(x)
+        yield pd.DataFrame({"g": [g]})
+
+    parts = wide.select(*cols).mapInPandas(task_moments, "g array<double>")
+    return (parts.select(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
+                 .select(F.col("g")[d * d + d].alias("V"), "g"))
 
 
 def _item_correlation_gram(agg: DataFrame, item: str, term: str, items: list, names) -> DataFrame:
