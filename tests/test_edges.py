@@ -421,3 +421,17 @@ def test_split_parts_with_ties_sizes(spark):
     df = spark.createDataFrame(rows, "k long, v long")
     sizes = {r.part: r["count"] for r in L.split_parts(df, "k", 3).groupBy("part").count().collect()}
     assert sizes == {1: 333, 2: 333, 3: 334}
+
+
+def test_broadcast_only_under_bound(spark):
+    from shoppulse.session import broadcast_if_small
+    small = spark.range(5)
+    big = spark.range(50)
+    assert "broadcast" in broadcast_if_small(small, 10)._jdf.queryExecution().logical().toString().lower()
+    assert broadcast_if_small(big, 10) is big
+
+
+def test_spread_no_op_with_enough_splits(spark):
+    from shoppulse.session import spread
+    df = spark.range(100).repartition(16)
+    assert spread(df, min_partitions=8) is df
