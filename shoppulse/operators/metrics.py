@@ -121,3 +121,27 @@ def auc_evaluator(df: DataFrame, score: str, label: str = "label", metric: str =
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     ev = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, metricName=metric, numBins=0)
     return ev.evaluate(df.select(F.col(score).cast("double").alias(score), F.col(label).cast("double").alias(label)))
+
+
+def auc_pr(df: DataFrame, score: str, label: str = "label") -> DataFrame:
+    """Exact area under the precision-recall curve, as Spark ML computes it
+    without binning: one curve point per distinct score (descending), a first
+    point (recall 0, precision of the top point), trapezoids in between.  One
+    row ``auc_pr``.
+
+    The previous point of each score is recovered from its own row (the
+    cumulative counts minus its own counts), so after the per-score
+    aggregation and range-partitioned prefix sums the area is a single
+    ``sum`` -- no ordered pass through one task."""
+    g = df.groupBy((-F.col(score).cast("double")).alias("_s")).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
+    ps = prefix_sums(g, "_s", ["_pos", "_neg"], inclusive=True, suffix="_cum")
+    tot = g.agg(F.sum("_pos").cast("double").alias("_P"))  # one row
+    tp, fp = F.col("_pos_cum").cast("double"), F.col("_neg_cum").cast("double")
+    tp0, fp0 = tp - F.col("_pos"), fp - F.col("_neg")
+    prec = tp / (tp + fp)
+    prec0 = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(prec)
+    rec, rec0 = tp / F.col("_P"), tp0 / F.col("_P")
+    area = (rec - rec0) * (prec + prec0) / 2
+    return (ps.crossJoin(F.broadcast(tot)).filter(F.col("_P") > 0)
+              .agg(F.sum(area).alias("auc_pr")))

@@ -131,12 +131,11 @@ def lr_grid_selected_scores(spark, sf_dir):
 
 @query("model_auc")
 def model_auc(spark, sf_dir):
-    """Held-out ROC and PR areas of the selected-feature LR grid (exact ROC
-    from the distributed rank form, PR from Spark ML's evaluator)."""
-    from shoppulse.operators.metrics import auc_evaluator, auc_roc
+    """Held-out ROC and PR areas of the selected-feature LR grid (both exact
+    and distributed: rank form for ROC, per-score trapezoids for PR)."""
+    from shoppulse.operators.metrics import auc_pr, auc_roc
     s = lr_grid_selected_scores(spark, sf_dir).persist()
-    pr = auc_evaluator(s, "p", "label", "areaUnderPR")  # one number
-    return auc_roc(s, "p", "label").select("auc", F.lit(pr).alias("auc_pr"))
+    return auc_roc(s, "p", "label").crossJoin(auc_pr(s, "p", "label"))  # one row each
 
 
 @query("chi2_selected")

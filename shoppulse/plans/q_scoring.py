@@ -92,6 +92,19 @@ def auc_roc(spark, sf_dir):
     return r.select(F.round("auc", 6).alias("auc"))
 
 
+@query("auc_pr", f"""WITH g AS (SELECT -s2 AS s, count(*) FILTER (WHERE label = 1) AS pos,
+      count(*) FILTER (WHERE label <> 1) AS neg FROM {SCORED} GROUP BY 1),
+  c AS (SELECT *, sum(pos) OVER (ORDER BY s) AS tp, sum(neg) OVER (ORDER BY s) AS fp,
+      sum(pos) OVER () AS P FROM g),
+  pts AS (SELECT tp / P AS r, (tp - pos) / P AS r0, tp / (tp + fp) AS pr,
+      CASE WHEN tp - pos + fp - neg > 0 THEN (tp - pos) / (tp - pos + fp - neg) ELSE tp / (tp + fp) END AS pr0
+    FROM c WHERE P > 0)
+SELECT round(sum((r - r0) * (pr + pr0) / 2), 6) AS auc_pr FROM pts""")
+def auc_pr(spark, sf_dir):
+    r = M.auc_pr(FX.rule_scores(FX.labelled_docs(spark, sf_dir, parallel=True)), "s2", "label")
+    return r.select(F.round("auc_pr", 6).alias("auc_pr"))
+
+
 # customers: account balance min-max scaled is the score, class by rounding
 def _customers(spark, sf_dir):
     c = FX.table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")

@@ -435,3 +435,11 @@ def test_spread_no_op_with_enough_splits(spark):
     from shoppulse.session import spread
     df = spark.range(100).repartition(16)
     assert spread(df, min_partitions=8) is df
+
+
+def test_auc_pr_matches_evaluator(spark):
+    rnd = random.Random(9)
+    rows = [(round(rnd.random(), 2), rnd.randint(0, 1)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "s double, label int")
+    got = M.auc_pr(df, "s", "label").first().auc_pr
+    assert math.isclose(got, M.auc_evaluator(df, "s", "label", "areaUnderPR"), rel_tol=1e-9)
