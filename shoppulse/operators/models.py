@@ -201,13 +201,11 @@ def oof_scores(train: DataFrame, target: DataFrame, cols: Sequence[str], key: st
     The k fold models are applied to the target by chaining ``transform``s
     (each adds one probability column), so the target is never re-joined on
     its key: no shuffle of the target table at all."""
-    tagged = train.withColumn("fold", fold_column(key, k, seed, "fold")).persist()
-    models = []
-    try:
-        for f in range(k):
-            models.append(fit_gbt(tagged.filter(F.col("fold") != f), cols, label, depth, seed, max_iter))
-    finally:
-        tagged.unpersist(blocking=False)
+    from shoppulse.session import cut_lineage
+    # k fits and the held-out scoring read the same folds: cut the lineage
+    # once into the shared checkpoint folder (survives executor loss)
+    tagged = cut_lineage(train.withColumn("fold", fold_column(key, k, seed, "fold")))
+    models = [fit_gbt(tagged.filter(F.col("fold") != f), cols, label, depth, seed, max_iter) for f in range(k)]
     oof = None
     for f, m in enumerate(models):
         held = m.transform(tagged.filter(F.col("fold") == f))
