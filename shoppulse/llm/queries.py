@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing
-from ._spark import table
+from . import mixing, sentencepiece
+from ._spark import spread_rows, table
 
 REGISTRY: dict = {}
 
@@ -60,3 +60,8 @@ SELECT doc_id, size, source, source_size, target, repeats, (size * repeats)::BIG
 @query("op10_mix", op10_sql())
 def op10_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark, sf_dir):
+    return sentencepiece.encode(spread_rows(table(spark, sf_dir, "documents").select("doc_id", "text")))
