@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -13,6 +16,16 @@ from shoppulse.session import checkpoint_dir
 NULL_ID = -(1 << 63)
 
 
+def ship(spark) -> None:
+    """Give the executors this library, as ``--py-files`` would; once a context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_shoppulse_shipped", False):
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="shoppulse-"), "shoppulse")
+        sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+        sc._shoppulse_shipped = True
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import functools
 
-from . import mixing, sentencepiece
-from ._spark import spread_rows, table
+from . import mixing, quality_cnn, sentencepiece
+from ._spark import ship, spread_rows, table
 
 REGISTRY: dict = {}
 
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        REGISTRY[name] = (fn, sql)
-        return fn
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = (run, sql)
+        return run
     return deco
 
 
@@ -65,3 +70,8 @@ def op10_mix(spark, sf_dir):
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark, sf_dir):
     return sentencepiece.encode(spread_rows(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    return quality_cnn.classify(spread_rows(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
