@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import mixing, quality_cnn, sentencepiece
+from . import mixing, quality_cnn, sentencepiece, toxicity
 from ._spark import ship, spread_rows, table
 
 REGISTRY: dict = {}
@@ -75,3 +75,8 @@ def op6_sentencepiece(spark, sf_dir):
 @query("op4_quality")
 def op4_quality(spark, sf_dir):
     return quality_cnn.classify(spread_rows(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    return toxicity.classify(spread_rows(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
