@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import mixing, quality_cnn, sentencepiece, toxicity
+from . import fingerprint, mixing, quality_cnn, sentencepiece, toxicity
 from ._spark import ship, spread_rows, table
 
 REGISTRY: dict = {}
@@ -80,3 +80,8 @@ def op4_quality(spark, sf_dir):
 @query("op2_toxicity")
 def op2_toxicity(spark, sf_dir):
     return toxicity.classify(spread_rows(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+@query("op9_fingerprint")
+def op9_fingerprint(spark, sf_dir):
+    return fingerprint.with_next(table(spark, sf_dir, "documents"))
