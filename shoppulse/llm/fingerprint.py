@@ -36,7 +36,7 @@ from ._text import U64, mix64, prefix, span, text_slices, utf8, word_bounds
 
 PIECE_WORDS = 4
 CELLS = 24
-GROWTH = 4
+GROWTH = 8
 ROUNDS = 400
 SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xABF7A5E1D9C3B24F, 0x5851F42D4C957F2D], U64)
 CHECK = U64(0xD6E8FEB86659FD93)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import fingerprint, mixing, quality_cnn, sentencepiece, toxicity
+from . import fingerprint, line_dedup, mixing, quality_cnn, sentencepiece, toxicity
 from ._spark import ship, spread_rows, table
 
 REGISTRY: dict = {}
@@ -85,3 +85,9 @@ def op2_toxicity(spark, sf_dir):
 @query("op9_fingerprint")
 def op9_fingerprint(spark, sf_dir):
     return fingerprint.with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
