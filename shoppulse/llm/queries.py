@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import fingerprint, line_dedup, mixing, quality_cnn, sentencepiece, toxicity
+from . import fingerprint, line_dedup, mixing, ngram_join, quality_cnn, sentencepiece, toxicity
 from ._spark import ship, spread_rows, table
 
 REGISTRY: dict = {}
@@ -91,3 +91,33 @@ def op9_fingerprint(spark, sf_dir):
 def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
+
+
+def op8_sql(docs: str = "documents") -> str:
+    """SQL of the n-gram join over the table or subquery ``docs`` (doc_id, text), all pairs compared exactly."""
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+           ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM {docs}
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT d.doc_id, coalesce(l.n, 0)::BIGINT AS n_links, r.c AS component_id
+FROM {docs} d
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = d.doc_id
+JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id"""
+
+
+@query("op8_ngram_join", op8_sql())
+def op8_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
