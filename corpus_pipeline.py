@@ -1,21 +1,55 @@
 """Corpus preparation: the stages are applied to ``documents`` in order.
 
-Each stage gets what its predecessor kept (written as Parquet and read again by
-the caller) and returns the columns of ``documents``; the last one returns the
-encoded documents.
+Documents that the quality classifier rejects go; lines within one edit of an
+earlier line go; of each group of near-duplicates (five-word shingles, Jaccard
+similarity 0.8 or more) the first document stays; sources are mixed to their
+target weights, so a document then stands in as many rows as it is taken; the
+rest is encoded as SentencePiece ids.
+
+Each stage gets what its predecessor kept, written as Parquet and read again,
+and returns the columns of ``documents``; the last one returns the encoded
+documents.  ``n_chars`` follows a text that a stage changes.
+
+``run`` has no SQL form: a trained network and an encoder take part.
 """
 
 from __future__ import annotations
 
-from shoppulse.llm import mixing
-from shoppulse.llm._spark import materialise, table
+from pyspark.sql import functions as F
+
+from shoppulse.llm import line_dedup, mixing, ngram_join, quality_cnn, sentencepiece
+from shoppulse.llm._spark import materialise, ship, spread_rows, table
+
+
+def quality(spark, docs, sf_dir):
+    ship(spark)
+    return quality_cnn.keep_good(spread_rows(docs), table(spark, sf_dir, "labels"))
+
+
+def lines(spark, docs, sf_dir):
+    ship(spark)
+    out = line_dedup.dedup_lines(docs).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return out
+
+
+def near_duplicates(spark, docs, sf_dir):
+    ship(spark)
+    return ngram_join.first_of_each(docs)
 
 
 def mix(spark, docs, sf_dir):
     return mixing.mixed_rows(docs)
 
 
-STAGES = [("mix", mix)]
+def encode(spark, docs, sf_dir):
+    ship(spark)
+    return sentencepiece.encode(spread_rows(docs))
+
+
+STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("mix", mix),
+          ("sentencepiece", encode)]
 
 ORACLE_SQL = None
 

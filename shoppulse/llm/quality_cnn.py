@@ -13,7 +13,7 @@ shares among all labels given.
 Defined cases: null and empty texts are one chunk of padding and get the score
 that the network gives that; labels without document or value are not used; a
 table without labels of both classes gives every document the share of label 1
-(0.5 without labels); repeated rows are scored alike; extra columns are not
+(0.5 without labels; ``keep_good`` then keeps all); repeated rows are scored alike; extra columns are not
 read.
 """
 
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._labels import class_counts, fold, sampled_texts
 from ._text import mix64, text_slices
@@ -228,6 +229,25 @@ def score(docs: DataFrame, model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2,
+              per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, scored in the task that reads them."""
+    model = fit(docs, labels.filter(fold(F.col("doc_id"), folds) != held), label, per_class)
+    if not isinstance(model, Network):
+        return docs  # nothing was learned: nothing is rejected
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for i, j, off, data in text_slices(batch, "row_text"):
+                part = batch.column("row").slice(i, j - i)
+                good = pa.array(shared.value.score(data, off) >= threshold)
+                yield pa.RecordBatch.from_arrays([part.filter(good)], names=["row"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("row_text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"]])).select("row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2,
              per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted; labels of the held-out fold are not used."""
