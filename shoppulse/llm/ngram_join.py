@@ -18,7 +18,7 @@ doc_id reachable).
 Defined cases: null, empty and blank texts have no shingle and link with
 nothing, not even each other; equal texts link whatever their length; repeated
 rows of one id are copies that link, and the id is listed once for each; a null
-doc_id stands for the smallest id in component_id; extra columns are not read;
+doc_id counts as the smallest id, and component_id is then null; extra columns are not read;
 an empty table gives an empty result.
 """
 
@@ -288,7 +288,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
 def join(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_links, component_id of every document."""
-    return classes(docs, **options).select("doc_id", "n_links", "component_id")
+    component = F.when(F.col("component_id") != NULL_ID, F.col("component_id"))
+    return classes(docs, **options).select("doc_id", "n_links", component.alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import fingerprint, line_dedup, mixing, ngram_join, quality_cnn, sentencepiece, toxicity
+from . import embedding_dedup, fingerprint, line_dedup, mixing, ngram_join, quality_cnn, sentencepiece, toxicity
 from ._spark import ship, spread_rows, table
 
 REGISTRY: dict = {}
@@ -121,3 +121,29 @@ JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = d.doc_id"""
 @query("op8_ngram_join", op8_sql())
 def op8_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH RECURSIVE parts AS (
+  SELECT vec_id, embedding, unnest(embedding)::DOUBLE AS x FROM embeddings),
+norms AS (
+  SELECT vec_id, sqrt(sum(x * x)) AS n FROM parts GROUP BY vec_id),
+units AS (
+  SELECT e.vec_id, list_transform(embedding, lambda x: x::DOUBLE / n) AS u
+  FROM embeddings e JOIN norms USING (vec_id)
+  WHERE n > 0 AND isfinite(n) AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM units a JOIN units b ON a.vec_id <> b.vec_id
+  WHERE len(a.u) = len(b.u) AND list_dot_product(a.u, b.u) >= 0.95),
+reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT e.vec_id, coalesce(l.n, 0)::BIGINT AS n_links, r.c AS component_id, e.vec_id = r.c AS kept
+FROM embeddings e
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = e.vec_id
+JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = e.vec_id"""
+
+
+@query("op1_embedding_dedup", OP1_SQL)
+def op1_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -344,7 +345,7 @@ def encode(docs: DataFrame, path: str = MODEL, keep=None) -> DataFrame:
                 same = [b == whole[s:e] for b, s, e in zip(back, part, part[1:])]
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32()))
                 if null[i:j].any():
-                    lists = pa.compute.if_else(pa.array(null[i:j]), pa.scalar(None, lists.type), lists)
+                    lists = pc.if_else(pa.array(null[i:j]), pa.scalar(None, lists.type), lists)
                 cols = [batch.column(c).slice(i, j - i) for c in keep]
                 cols += [lists, pa.array(np.diff(at)), pa.array(same, pa.bool_()),
                          pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string())]
@@ -363,7 +364,7 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
         for batch in batches:
             lists = batch.column("token_ids")
             null = lists.is_null().to_numpy(zero_copy_only=False)
-            at = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+            at = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
             ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             back = decode_ids(ids, at, vocab)
             text = pa.array([None if x else b.decode("utf-8", "replace") for x, b in zip(null, back)], pa.string())
