@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import embedding_dedup, fingerprint, line_dedup, mixing, ngram_join, quality_cnn, sentencepiece, toxicity
+from . import embedding_dedup, fingerprint, line_dedup, lm_score, mixing, ngram_join, quality_cnn, sentencepiece, toxicity
 from ._spark import ship, spread_rows, table
 
 REGISTRY: dict = {}
@@ -147,3 +147,8 @@ JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON r.x = e.vec_id"""
 @query("op1_embedding_dedup", OP1_SQL)
 def op1_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark, sf_dir):
+    return lm_score.score_corpus(spread_rows(table(spark, sf_dir, "documents")))
