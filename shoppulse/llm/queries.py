@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import embedding_dedup, fingerprint, line_dedup, lm_score, mixing, ngram_join, quality_cnn, sentencepiece, toxicity
+from . import embedding_dedup, fingerprint, line_dedup, lm_score, mixing, ngram_join, quality_cnn, sentencepiece, suffix_dedup, toxicity
 from ._spark import ship, spread_rows, table
 
 REGISTRY: dict = {}
@@ -152,3 +152,8 @@ def op1_embedding_dedup(spark, sf_dir):
 @query("op7_lm_score")
 def op7_lm_score(spark, sf_dir):
     return lm_score.score_corpus(spread_rows(table(spark, sf_dir, "documents")))
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
