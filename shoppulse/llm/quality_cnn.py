@@ -107,12 +107,16 @@ class Network:
 
 
 def padded(data, offsets):
-    """Symbols of every row followed by padding, the reach of the last tap at least: (symbols, first block)."""
+    """Symbols of every row in whole blocks: (symbols, first block).
+
+    A row begins with as much padding as the taps reach, so the last positions of
+    the row before look at padding only.
+    """
     size = np.diff(offsets)
     blocks = np.maximum(1, -(-(size + REACH) // BLOCK))
     first = np.concatenate(([0], np.cumsum(blocks)))
     out = np.full(first[-1] * BLOCK + REACH, PAD, np.int16)
-    shift = np.repeat(first[:-1] * BLOCK - offsets[:-1], size)
+    shift = np.repeat(first[:-1] * BLOCK + REACH - offsets[:-1], size)
     out[np.arange(len(data)) + shift] = symbols(data, offsets)
     return out, first
 
