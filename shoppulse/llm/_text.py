@@ -128,12 +128,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5):
     count = np.bincount(row, minlength=n)
     begin = np.cumsum(count) - count
     total = np.zeros(len(h), U64)
-    ok = np.zeros(len(h), bool)
     step = powers(width + 1)
-    for k in range(width):
-        total[:len(h) - k or None] += h[k:] * step[k] if k else h * step[0]
+    for k in range(min(width, len(h))):
+        total[:len(h) - k] += h[k:] * step[k]
     at = np.arange(len(h))
-    ok = at + width <= (begin + count)[row] if len(h) else ok
+    ok = at + width <= (begin + count)[row]
     for r in np.flatnonzero((count > 0) & (count < width)):
         i, c = begin[r], count[r]
         total[i] = (h[i:i + c] * step[:c]).sum(dtype=U64) + U64(c)
