@@ -32,8 +32,10 @@ def _pair_corr_sql(a: str, b: str) -> str:
     null when either side has zero variance.  covar/(sd*sd): the (n-1)
     factors cancel, and all three are Welford-stable built-ins."""
     a, b = f"CAST({_q(a)} AS DOUBLE)", f"CAST({_q(b)} AS DOUBLE)"
-    return (f"try_divide(covar_samp({a}, {b}), stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) * "
-            f"stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END))")
+    x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
+    # the computed deviation of equal values need not be exactly 0
+    return (f"CASE WHEN min({x}) < max({x}) AND min({y}) < max({y}) THEN "
+            f"try_divide(covar_samp({a}, {b}), stddev_samp({x}) * stddev_samp({y})) END")
 
 
 def _explode_pairs(row: DataFrame, entries: list[str], names: tuple[str, str, str]) -> DataFrame:

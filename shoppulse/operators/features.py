@@ -59,8 +59,9 @@ class BehaviourFeatures:
     """Five family sums + ten conversion ratios.
 
     ``fit`` drops ratio columns that are undefined (0/0) on every row and
-    checks that at least one row is defined on all surviving ratios; when
-    none is, nothing is appended and nothing is filled.  ``transform``
+    checks that at least one row is defined on all surviving ratios (any row
+    is, if none survives: the sums are then appended alone); when none is,
+    nothing is appended and nothing is filled.  ``transform``
     appends the sums and surviving ratios (x/0 -> -1) and turns null/NaN
     into 0 on every column."""
 
@@ -80,7 +81,7 @@ class BehaviourFeatures:
             F.bit_or("m").alias("any"), F.max(F.bit_count("m")).alias("best")).first()
         any_mask = row["any"] or 0
         survivors = [n for i, n in enumerate(names) if any_mask >> i & 1]
-        complete = bool(survivors) and row["best"] == bin(any_mask).count("1")
+        complete = row["any"] is not None and row["best"] == bin(any_mask).count("1")
         self.families, self.ratios, self.appended = fam, survivors, complete
         return self
 

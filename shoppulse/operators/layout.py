@@ -2,8 +2,8 @@
 prefix sums along a sort order, contiguous parts.
 
 A global ``row_number()`` without ``partitionBy`` moves every row into one
-task.  Instead the sort key is cut into ranges at approximate quantiles
-(computed once; the cut points are a handful of literals, so a retried task
+task.  Instead the sort key, of any orderable type, is cut into ranges of about
+equal size (computed once; the cut points are a handful of literals, so a retried task
 recomputes the same range for every row), each range is numbered / summed
 locally by a partitioned window, and ranges are shifted by the cumulative
 totals of the ranges before them (a tiny table, one row per range).
@@ -18,20 +18,34 @@ from pyspark.sql import functions as F
 
 
 def _range_cuts(df: DataFrame, order_col: str, ranges: int) -> list:
+    """Smallest values of about ``ranges`` key ranges of equal size, for any
+    orderable type: the keys alone are range-partitioned, and one value a
+    range comes to the driver."""
     if ranges <= 1:
         return []
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.approxQuantile(order_col, probs, 0.001)
-    return sorted(set(c for c in cuts if c is not None))
+    keys = df.select(F.col(order_col).alias("k")).filter("k is not null")
+    lows = keys.repartitionByRange(ranges, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k")).collect()
+    return sorted(r["k"] for r in lows)[1:]
 
 
-def range_bucket(order_col: str, cuts: Sequence) -> Column:
-    """Index of the range holding the value: number of cut points <= value.
-    Equal values always share a range."""
-    expr = F.lit(0)
-    for c in cuts:
-        expr = expr + F.when(F.col(order_col) >= F.lit(c), 1).otherwise(0)
-    return expr
+def range_bucket(order_col: str, cuts: Sequence, kind: str = "double") -> Column:
+    """Index of the range holding the value: number of cut points <= value
+    (null: 0).  Equal values always share a range.  ``kind`` is the SQL type
+    of the key.  The cuts are searched by halves, so neither the depth of the
+    expression nor the work per row grows with more than their logarithm."""
+    key = "`" + order_col.replace("`", "``") + "`"
+
+    def literal(c) -> str:
+        text = str(c).replace("\\", "\\\\").replace("'", "\\'")
+        return f"CAST('{text}' AS {kind})"
+
+    def search(lo: int, hi: int) -> str:  # cuts[lo:hi] are still open
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN {key} >= {literal(cuts[mid])} THEN {search(mid + 1, hi)} ELSE {search(lo, mid)} END"
+
+    return F.expr(search(0, len(cuts)))
 
 
 def _default_ranges(df: DataFrame) -> int:
@@ -51,7 +65,7 @@ def with_row_index(df: DataFrame, order_col: str, out_col: str = "row_idx",
     values brought to the driver."""
     ranges = ranges or _default_ranges(df)
     cuts = _range_cuts(df, order_col, ranges)
-    b = df.withColumn("_rb", range_bucket(order_col, cuts))
+    b = df.withColumn("_rb", range_bucket(order_col, cuts, df.schema[order_col].dataType.simpleString()))
     sizes = {r["_rb"]: r["_sz"] for r in b.groupBy("_rb").agg(F.count(F.lit(1)).alias("_sz")).collect()}
     total = sum(sizes.values())
     target = max(1, -(-total // ranges))
@@ -65,7 +79,7 @@ def with_row_index(df: DataFrame, order_col: str, out_col: str = "row_idx",
             # split into ceil(n / target) salted sub-ranges placed before the
             # rest of that range
             cuts = sorted(set(cuts) | {r[order_col] for r in hot})
-            b = df.withColumn("_rb", range_bucket(order_col, cuts))
+            b = df.withColumn("_rb", range_bucket(order_col, cuts, df.schema[order_col].dataType.simpleString()))
             h = F.xxhash64(*[F.col(c) for c in df.columns])
             expr = F.lit(1 << 30)
             for r in hot:
@@ -91,7 +105,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], inclusiv
     be unique (aggregate ties first)."""
     ranges = ranges or _default_ranges(df)
     cuts = _range_cuts(df, order_col, ranges)
-    b = df.withColumn("_rb", range_bucket(order_col, cuts))
+    b = df.withColumn("_rb", range_bucket(order_col, cuts, df.schema[order_col].dataType.simpleString()))
     tot = b.groupBy("_rb").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
     wr = Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_rb", *[F.coalesce(F.sum(f"_t_{c}").over(wr), F.lit(0)).alias(f"_o_{c}")

@@ -80,7 +80,7 @@ def _tvs(est, grid, label, parallelism, seed):
 
 
 def search_specs(d: int, mode: str = "fast", label: str = "label", seed: int = 0,
-                 with_rf: bool = False, n_selected: int | None = None) -> list[SearchSpec]:
+                 with_rf: bool = False) -> list[SearchSpec]:
     """Learners and grids.  ``fast``: LR maxIter 20, reg {.11,.21}; tree depth
     round(.07 d); NB smoothing {.5}; MLP hidden {30x4}.  ``full``: LR maxIter
     round(.3 d), reg {.01,.05,.1,.15,.3,.4}; depths round({.03,.04,.05} d);
@@ -91,7 +91,6 @@ def search_specs(d: int, mode: str = "fast", label: str = "label", seed: int = 0
                                            RandomForestClassifier)
     from pyspark.ml.tuning import ParamGridBuilder
     full = mode == "full"
-    width = n_selected or d
     lr = LogisticRegression(featuresCol=FEATURES, labelCol=label,
                             maxIter=max(1, round(0.3 * d)) if full else 20)
     dt = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=label, seed=seed)
@@ -109,12 +108,12 @@ def search_specs(d: int, mode: str = "fast", label: str = "label", seed: int = 0
                    .addGrid(nb.modelType, ["multinomial", "bernoulli"])
                    .addGrid(nb.smoothing, [.2, 1.1, 1.7] if full else [.5]).build()),
         SearchSpec("mlp", mlp, ParamGridBuilder().addGrid(mlp.layers, [
-            [width, *h, 2] for h in ([[30] * 4, [50] * 3, [80] * 2] if full else [[30] * 4])]).build()),
+            [d, *h, 2] for h in ([[30] * 4, [50] * 3, [80] * 2] if full else [[30] * 4])]).build()),
     ]
-    if full and with_rf:
+    if with_rf:
         specs.append(SearchSpec("rf", rf, ParamGridBuilder()
-                                .addGrid(rf.numTrees, sorted({max(1, round(f * d)) for f in (2, 3)}))
-                                .addGrid(rf.maxDepth, sorted({clamp_depth(f * d) for f in (.05, .07)})).build()))
+                                .addGrid(rf.numTrees, sorted({max(1, round(f * d)) for f in ((2, 3) if full else (2,))}))
+                                .addGrid(rf.maxDepth, sorted({clamp_depth(f * d) for f in ((.05, .07) if full else (.07,))})).build()))
     return specs
 
 
@@ -132,22 +131,32 @@ def train_search(train: DataFrame, cols: Sequence[str], spec: SearchSpec, label:
                  parallelism: int = 2, seed: int = 0):
     """Fit one learner's grid with a 75/25 train-validation split."""
     from pyspark.ml import Pipeline
-    data = train
-    if spec.name == "nb":
-        # the two model types need different inputs: search multinomial on
-        # clipped features (bernoulli entries are dropped from this grid)
-        data = nb_ready(train, cols)
-        nb = spec.estimator
-        grid = [m for m in spec.grid if m.get(nb.modelType, "multinomial") == "multinomial"]
-        spec = SearchSpec(spec.name, nb, grid)
-    tvs = _tvs(spec.estimator, spec.grid, label, parallelism, seed)
-    return Pipeline(stages=[_assembler(cols), tvs]).fit(data)
+
+    def search(data, grid):
+        return Pipeline(stages=[_assembler(cols), _tvs(spec.estimator, grid, label, parallelism, seed)]).fit(data)
+
+    if spec.name != "nb":
+        return search(train, spec.grid)
+    # the two model types need different inputs: each part of the grid is
+    # searched on its own (on the same split), and the better one stands
+    kind = spec.estimator.modelType
+    parts = [(binary, [m for m in spec.grid if (m.get(kind, "multinomial") == "bernoulli") == binary])
+             for binary in (False, True)]
+    found = [search(nb_ready(train, cols, binary), grid) for binary, grid in parts if grid]
+    return max(found, key=lambda m: max(m.stages[-1].validationMetrics))
+
+
+def nb_binary(model) -> bool:
+    """Whether a fitted Naive Bayes pipeline takes 0/1 features."""
+    last = model.stages[-1]
+    best = getattr(last, "bestModel", last)
+    return best.getOrDefault("modelType") == "bernoulli"
 
 
 def score(model, df: DataFrame, cols: Sequence[str] | None = None, name: str = "p",
           keep: Sequence[str] = ("user_pin",), nb: bool = False) -> DataFrame:
     """``keep`` columns + ``name`` = P(class 1) + ``name_pred``."""
-    data = nb_ready(df, cols) if nb and cols else df
+    data = nb_ready(df, cols, nb_binary(model)) if nb and cols else df
     out = model.transform(data)
     return out.select(*keep, p1("probability").alias(name), F.col("prediction").cast("int").alias(f"{name}_pred"))
 
@@ -182,9 +191,12 @@ def score_all(models: dict, df: DataFrame, cols: Sequence[str], keep: Sequence[s
     chaining transforms (no re-join on synthetic ids)."""
     out = df
     for name, m in models.items():
-        data = nb_ready(out, cols) if name == "nb" else out
-        t = m.transform(data).withColumn(f"p_{name}", p1("probability"))
-        out = t.select(*out.columns, f"p_{name}")
+        # only the new column is kept: Naive Bayes sees prepared copies, and the
+        # features of the learners after it stay as they are
+        row = F.struct(*[F.col(c) for c in out.columns]).alias("_row")
+        data = out.withColumn("_row", row)
+        t = m.transform(nb_ready(data, cols, nb_binary(m)) if name == "nb" else data)
+        out = t.withColumn(f"p_{name}", p1("probability")).select("_row.*", f"p_{name}")
     return out.select(*keep, *[f"p_{n}" for n in models])
 
 
@@ -236,11 +248,6 @@ def remove_mislabelled_models(train: DataFrame, cols: Sequence[str], label: str
     return remove_mislabelled(s, "p_mean", label, lo, hi), s
 
 
-def selected_width(alpha: float, d: int) -> int:
-    """Input width of the perceptron after selecting ``int(alpha d)`` features."""
-    return top_feature_count(alpha, d)
-
-
 def prepare_target(target: DataFrame, train_cols: Sequence[str], skip_first: int = 1,
                    skip_last: int = 0) -> DataFrame:
     """Give the target table the training schema's names by position (guarded
@@ -283,9 +290,8 @@ def search_lr_selected(train: DataFrame, cols: Sequence[str], alpha: float = 0.9
 
 def _search(name):
     def run(train: DataFrame, cols: Sequence[str], mode: str = "fast", label: str = "label",
-            parallelism: int = 2, seed: int = 0, n_selected: int | None = None):
-        spec = {s.name: s for s in search_specs(len(cols), mode, label, seed, with_rf=True,
-                                                n_selected=n_selected)}[name]
+            parallelism: int = 2, seed: int = 0):
+        spec = {s.name: s for s in search_specs(len(cols), mode, label, seed, with_rf=True)}[name]
         return train_search(train, cols, spec, label, parallelism, seed)
     run.__name__ = f"search_{name}"
     run.__doc__ = f"Train-validation search of the ``{name}`` grid (see :func:`search_specs`)."

@@ -43,32 +43,36 @@ def filter_extra_zero(target: DataFrame, reference_cols: Iterable[str]) -> DataF
 
 
 # ---------------------------------------------------------------- families --
-# Family tokens looked for in column names.
+# Tokens looked for in column names, the levels a token is summed
+# at, and the names of the resulting lists.
 PCHS, FLW, BRS, CLK, ATTR, CART, SECOND = "pchs", "flw", "brs", "clk", "attr", "cart", "secondcate"
+LEVEL_NAMES = {"all": "{}_columns", "first": "{}_firstcate_columns", "second": "{}_secondcate_columns"}
+FAMILY_LEVELS = {PCHS: ("all", "first", "second"), BRS: ("all", "first", "second"), CLK: ("all", "first", "second"),
+                 CART: ("all", "first", "second"), FLW: ("second",), ATTR: ("all",)}
+
+
+def in_family(column: str, token: str, level: str) -> bool:
+    """Whether a column belongs to a token's family at a level.
+
+    A column carries its token; at the first level it carries no second-level
+    token, at the second level it does.  Followed shops exist at the second
+    level only and do not spell it out; purchased attributes are no first-level
+    purchases.
+    """
+    if token not in column:
+        return False
+    if level == "all" or FAMILY_LEVELS[token] == (level,):
+        return True
+    if level == "second":
+        return SECOND in column
+    return SECOND not in column and not (token == PCHS and ATTR in column)
 
 
 def column_families(cols: Sequence[str]) -> dict[str, list[str]]:
-    """Fourteen behaviour families chosen by substring tests on the names
-    (lists overlap: ``pchs_columns`` also keeps names containing ``attr``)."""
-    def pick(pred):
-        return [c for c in cols if pred(c)]
-    fam = {
-        "pchs_firstcate_columns": pick(lambda c: PCHS in c and SECOND not in c and ATTR not in c),
-        "pchs_secondcate_columns": pick(lambda c: PCHS in c and SECOND in c),
-        "pchs_columns": pick(lambda c: PCHS in c),
-        "flw_secondcate_columns": pick(lambda c: FLW in c),
-        "brs_secondcate_columns": pick(lambda c: BRS in c and SECOND in c),
-        "brs_firstcate_columns": pick(lambda c: BRS in c and SECOND not in c),
-        "brs_columns": pick(lambda c: BRS in c),
-        "clk_firstcate_columns": pick(lambda c: CLK in c and SECOND not in c),
-        "clk_secondcate_columns": pick(lambda c: CLK in c and SECOND in c),
-        "clk_columns": pick(lambda c: CLK in c),
-        "attr_columns": pick(lambda c: ATTR in c),
-        "cart_secondcate_columns": pick(lambda c: CART in c and SECOND in c),
-        "cart_firstcate_columns": pick(lambda c: CART in c and SECOND not in c),
-        "cart_columns": pick(lambda c: CART in c),
-    }
-    return fam
+    """Columns of every family; families overlap (a purchase column is in one
+    list for all purchases and in one for its level)."""
+    return {LEVEL_NAMES[level].format(token): [c for c in cols if in_family(c, token, level)]
+            for token, levels in FAMILY_LEVELS.items() for level in levels}
 
 
 def leftover_columns(cols: Sequence[str], families: dict[str, list[str]]) -> list[str]:
@@ -119,24 +123,31 @@ def dedup_columns(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------- column checks --
 
+def _stddev(c: str):
+    """Sample standard deviation; exactly 0 for equal values, whose computed
+    one need not be; null for fewer than two values."""
+    x = F.col(c).cast("double")
+    return F.when((F.count(x) > 1) & (F.min(x) == F.max(x)), F.lit(0.0)).otherwise(F.stddev_samp(x))
+
+
 def column_stddevs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Long table ``(column, stddev)``: sample standard deviation per column,
     nulls skipped (null when fewer than two values).  One aggregation pass,
     unpivoted inside Spark."""
-    row = df.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cols])
+    row = df.agg(*[_stddev(c).alias(c) for c in cols])
     return row.unpivot([], list(cols), "column", "stddev")
 
 
 def fit_zero_variance(df: DataFrame, cols: Sequence[str], fraction: float | None = None,
                       key: str | None = None, seed: int = 2019) -> list[str]:
-    """Names of columns whose sample std is exactly 0 (null std is kept).
+    """Names of columns with at least two values, all equal (a column of fewer is kept).
     Full data by default; ``fraction`` with ``key`` uses a stable hash sample."""
     data = df
     if fraction is not None:
         from shoppulse.operators.sampling import hash_sample
         data = hash_sample(df, key, fraction, seed)
-    row = data.agg(*[F.stddev_samp(F.col(c).cast("double")).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] is not None and row[c] == 0.0]
+    row = data.agg(*[_stddev(c).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c] == 0.0]
 
 
 def drop_zero_variance(dfs: Sequence[DataFrame], cols: Sequence[str]) -> tuple[list[DataFrame], list[str]]:

@@ -172,7 +172,8 @@ def drop_terms(df: DataFrame, words: Iterable[str] | DataFrame, col: str = "word
 
     A literal list becomes ``NOT IN`` (pushed into the scan side's filter);
     a DataFrame of words, or a very long list, becomes a ``left_anti`` join
-    whose small side is broadcast only after a bounded count."""
+    whose small side is broadcast only after a bounded count.  Either way null
+    terms go only with ``drop_na``."""
     out = df
     if drop_na:
         out = out.filter(F.col(col).isNotNull() & (F.col(col) != F.lit("NA")))
@@ -183,7 +184,7 @@ def drop_terms(df: DataFrame, words: Iterable[str] | DataFrame, col: str = "word
     if len(words) > max_list:
         stop = out.sparkSession.createDataFrame([(w,) for w in words], [col])
         return out.join(broadcast_if_small(stop), on=col, how="left_anti")
-    return out.filter(~F.col(col).isin(words)) if words else out
+    return out.filter(F.col(col).isNull() | ~F.col(col).isin(words)) if words else out
 
 
 def join_frequency(tokens: DataFrame, freq: DataFrame, word_col: str = "word",
@@ -237,14 +238,15 @@ def _field(col: Column, key: str) -> Column:
 def extract_tags(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     """``(id, name, count)`` per comment tag in the body.  ``name`` is the text
     after the second ``:`` up to the next comma, quotes removed; ``count`` the
-    digits after the third ``:``."""
+    digits after the third ``:``, null if that is no number (a name that holds a
+    ``:`` itself shifts the fields)."""
     m = spread(df).select(F.col(id_col), F.posexplode(
         F.regexp_extract_all(F.col(body_col), _arr(TAG_ITEM), F.lit(0))).alias("tag_pos", "_m"))
     parts = F.split(F.col("_m"), ":")
     name = F.regexp_replace(F.split(parts.getItem(2), ",").getItem(0), '"', "")
     cnt = F.regexp_replace(parts.getItem(3), '"', "")
     return m.select(id_col, F.col("tag_pos").cast("bigint").alias("tag_pos"),
-                    name.alias("name"), cnt.cast("bigint").alias("count"))
+                    name.alias("name"), cnt.try_cast("bigint").alias("count"))
 
 
 def extract_tag_summary(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
@@ -276,7 +278,8 @@ def extract_qa(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     Per block: the ask part must match, the reply part must hold a second
     ``"content"`` field, otherwise the block is skipped.  Contents are cut at
     their first ASCII colon.  Reply times are the block's position-matched
-    created/modified pair of the whole body."""
+    created/modified pair of the whole body; a time that is no date (such as
+    ``0000-00-00 00:00:00``) is null and its row stays."""
     body = F.col(body_col)
     blocks = spread(df).select(
         F.col(id_col),
@@ -298,7 +301,7 @@ def extract_qa(df: DataFrame, id_col: str, body_col: str) -> DataFrame:
     fmt = "yyyy-MM-dd HH:mm:ss"
     return b.select(id_col, F.col("block").cast("bigint").alias("block"),
                     ask_content.alias("ask_content"),
-                    F.to_timestamp(last_answer, fmt).alias("lastAnswerTime"),
+                    F.try_to_timestamp(last_answer, F.lit(fmt)).alias("lastAnswerTime"),
                     reply_content.alias("reply_content"),
-                    F.to_timestamp(created, fmt).alias("replycreatedTime"),
-                    F.to_timestamp(modified, fmt).alias("replymodifiedTime"))
+                    F.try_to_timestamp(created, F.lit(fmt)).alias("replycreatedTime"),
+                    F.try_to_timestamp(modified, F.lit(fmt)).alias("replymodifiedTime"))

@@ -27,12 +27,17 @@ def doc_term_matrix(tokens: DataFrame, doc_col: str, term_col: str = "word", min
 
 
 def count_vectors(docs: DataFrame, doc_col: str, terms_col: str, min_df: int = 5,
-                  vocab_size: int = 1 << 18):
+                  vocab_size: int | None = None):
     """Sparse count vectors per document with Spark ML ``CountVectorizer``
     (``minDF`` documents per term) from a per-document term array -- the
     tokenizer's own output row, so no shuffle regroups tokens by document.
+    The vocabulary holds every term with ``min_df`` documents: they are counted
+    first, unless ``vocab_size`` bounds them on purpose.
     Returns ``(vectors DataFrame(doc, tf), fitted CountVectorizerModel)``."""
     from pyspark.ml.feature import CountVectorizer
+    if vocab_size is None:
+        terms = docs.select(F.explode(F.array_distinct(terms_col)).alias("t")).groupBy("t").count()
+        vocab_size = max(1, terms.filter(F.col("count") >= min_df).count())
     cv = CountVectorizer(inputCol=terms_col, outputCol="tf", minDF=float(min_df), vocabSize=vocab_size).fit(docs)
     return cv.transform(docs).select(doc_col, "tf"), cv
 
@@ -72,8 +77,7 @@ def fit_topics(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 10, op
 
 
 def vocabulary_frame(spark, cv_model) -> DataFrame:
-    """``(term_index, term)`` from the fitted vocabulary (a model parameter,
-    bounded by ``vocabSize``)."""
+    """``(term_index, term)`` from the fitted vocabulary (a model parameter)."""
     from pyspark.sql import Row
     return spark.createDataFrame([Row(term_index=i, term=t) for i, t in enumerate(cv_model.vocabulary)])
 
@@ -85,7 +89,7 @@ def topic_terms(lda_model, vocab: DataFrame, n: int = 200) -> DataFrame:
     ex = t.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "tw"))
     ex = ex.select((F.col("topic") + 1).alias("topic"), (F.col("pos") + 1).alias("rank"),
                    F.col("tw.termIndices").alias("term_index"), F.col("tw.termWeights").alias("weight"))
-    return ex.join(F.broadcast(vocab), "term_index").drop("term_index")
+    return ex.join(vocab, "term_index").drop("term_index")
 
 
 def topic_overlap(terms: DataFrame, k: int, n: int) -> DataFrame:

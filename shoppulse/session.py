@@ -86,28 +86,26 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Mark a global aggregate (exactly one row by construction) for broadcast."""
-    return F.broadcast(df)
-
-
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
     """Make sure CPU-heavy row work (regexes over long texts) runs on every
     core: when the input has fewer partitions than the cluster's default
     parallelism (e.g. one large file with a single row group), hash-spread the
     rows on ``key`` (deterministic on retry) before the heavy projection.
     Inputs that already have enough splits -- the normal case on a cluster --
-    are returned unchanged, so no shuffle is added there.
+    are returned unchanged, so no shuffle is added there, and so are plans that
+    read no files.
 
     Without ``key`` the rows are spread round-robin (Spark sorts each input
     partition first, so a retried task sends the same rows to the same
-    place).  Round-robin does not satisfy a later ``groupBy``'s distribution,
+    place).  The number of splits is estimated from the plan's file list and
+    size statistics, so no stage runs to find it out.  Round-robin does not satisfy a later ``groupBy``'s distribution,
     so that aggregation keeps its own exchange, which AQE can reuse when two
     branches of a plan aggregate the same tokens."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 -- e.g. a Spark Connect session: no RDD view
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    files = len(df.inputFiles())
+    if not files or max(files, size // split) >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)

@@ -16,10 +16,10 @@ def save_users(df: DataFrame, path: str, id_col: str = "user_pin") -> None:
 def save_single_csv(df: DataFrame, path: str, max_rows: int = 1_000_000) -> None:
     """One CSV part file for a small final result.  The row count is checked
     first (bounded action) so a large table is never funnelled into one
-    task; beyond ``max_rows`` the write stays parallel."""
-    n = df.limit(max_rows + 1).count()
-    out = df.coalesce(1) if n <= max_rows else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    task; more than ``max_rows`` rows are an error (use ``save_table``)."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows: not a single-file export")
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def save_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -39,5 +39,6 @@ def write_parts(df: DataFrame, order_col: str, n_parts: int, path: str, fmt: str
     (the tail left over by rounding joins the last part)."""
     # no repartition by part: with few parts that would put a whole part in
     # one task; each task writes its own rows into the part folders instead
-    parts = split_parts(df, order_col, n_parts, "part")
+    # in their order
+    parts = split_parts(df, order_col, n_parts, "part").sortWithinPartitions("part", order_col)
     save_table(parts, path, fmt, partition_by=["part"])
