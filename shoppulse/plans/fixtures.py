@@ -7,7 +7,7 @@ matching DuckDB text is in :data:`SQL` (used by the oracle queries).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shoppulse.functions.text import WORD_PATTERN, words
@@ -37,14 +37,13 @@ def wide_behaviour(spark: SparkSession, sf_dir: str, with_const: bool = False,
     before the shuffle on ``user_id``)."""
     ev = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    kept = F.col("value") >= 60
     first, second = k < 50, k >= 50
     aggs = []
     for fam, et in BEHAVIOUR_FAMILIES:
-        is_t = kept & (F.col("event_type") == et)
+        is_t = F.col("event_type") == et
         aggs.append(F.count_if(is_t & first).alias(f"{fam}_firstcate_n"))
         aggs.append(F.count_if(is_t & second).alias(f"{fam}_secondcate_n"))
-    aggs.append(F.count_if(kept & (F.col("event_type") == "error")).alias("flw_secondcate_n"))
+    aggs.append(F.count_if(F.col("event_type") == "error").alias("flw_secondcate_n"))
     aggs.append(F.floor(F.max("value")).cast("bigint").alias("attr_value_floor"))
     w = ev.groupBy("user_id").agg(*aggs)
     cols = [F.col("user_id").cast("string").alias("user_pin")]
@@ -66,9 +65,9 @@ def _wide_sql(with_const=False, with_extra=False, with_nulls=False) -> str:
     parts = []
     for fam, et in BEHAVIOUR_FAMILIES:
         for lvl, cond in (("firstcate", "k < 50"), ("secondcate", "k >= 50")):
-            parts.append(f"count(*) FILTER (WHERE value >= 60 AND event_type = '{et}' AND {cond})"
+            parts.append(f"count(*) FILTER (WHERE event_type = '{et}' AND {cond})"
                          f"::BIGINT AS {fam}_{lvl}_n")
-    flw = "count(*) FILTER (WHERE value >= 60 AND event_type = 'error')::BIGINT"
+    flw = "count(*) FILTER (WHERE event_type = 'error')::BIGINT"
     if with_nulls:
         flw = f"CASE WHEN user_id % 7 = 0 THEN NULL ELSE {flw} END"
     parts.append(f"{flw} AS flw_secondcate_n")
@@ -184,22 +183,23 @@ def _strip(c):
 
 
 def qa_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per conversation: the first user turn as the question and the first
-    assistant turn as the answer, laid out in the field order of a Q&A
-    response; the answer is left out for ``conv_id % 5 = 0``."""
-    conv = table(spark, sf_dir, "conversations")
-    firsts = conv.groupBy("conv_id").agg(
-        F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("ask"),
-        F.min_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("reply"))
-    ask = F.concat(F.lit('"content":"'), _strip(F.col("ask")), F.lit('","clientType":1,"productId":'),
+    """Per conversation, every user turn as a question and the assistant turn
+    right after it as its answer, laid out in the field order of a Q&A response;
+    a question that no answer follows has none."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    conv = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text",
+        F.when(F.lead("role").over(order) == "assistant", F.lead("text").over(order)).alias("reply"))
+    ask = F.concat(F.lit('"content":"'), _strip(F.col("text")), F.lit('","clientType":1,"productId":'),
                    F.col("conv_id").cast("string"),
                    F.lit(',"status":1,"lastAnswerTime":"2024-01-01 00:00:00","answerList":['))
     reply = F.concat(F.lit('{"content":"'), _strip(F.col("reply")), F.lit('","systemId":1,'))
     tail = F.lit('"created":"2024-01-01 00:00:00","modified":"2024-01-02 00:00:00"}]')
-    body = F.when((F.col("conv_id") % 5 == 0) | F.col("reply").isNull(), F.concat(ask, tail)) \
-            .otherwise(F.concat(ask, reply, tail))
-    return firsts.filter(F.col("ask").isNotNull()).select(
-        F.col("conv_id").alias("sku"), body.alias("body"))
+    block = F.concat(ask, F.coalesce(reply, F.lit("")), tail)
+    blocks = conv.filter((F.col("role") == "user") & F.col("text").isNotNull()).select("conv_id", "turn", block.alias("block"))
+    return (blocks.groupBy(F.col("conv_id").alias("sku"))
+            .agg(F.sort_array(F.collect_list(F.struct("turn", "block"))).alias("b"))
+            .select("sku", F.array_join("b.block", ",").alias("body")))
 
 
 SQL["tag_bodies"] = (
@@ -210,15 +210,14 @@ SQL["tag_bodies"] = (
 
 _STRIP_SQL = "regexp_replace({c}, '[' || chr(13) || chr(10) || '\"]', '', 'g')"
 SQL["qa_bodies"] = (
-    "(SELECT conv_id AS sku, '\"content\":\"' || " + _STRIP_SQL.format(c="ask") +
+    "(SELECT conv_id AS sku, string_agg('\"content\":\"' || " + _STRIP_SQL.format(c="text") +
     " || '\",\"clientType\":1,\"productId\":' || CAST(conv_id AS VARCHAR) || "
     "',\"status\":1,\"lastAnswerTime\":\"2024-01-01 00:00:00\",\"answerList\":[' || "
-    "CASE WHEN conv_id % 5 = 0 OR reply IS NULL THEN '' ELSE '{\"content\":\"' || " + _STRIP_SQL.format(c="reply") +
-    " || '\",\"systemId\":1,' END || "
-    "'\"created\":\"2024-01-01 00:00:00\",\"modified\":\"2024-01-02 00:00:00\"}]' AS body FROM ("
-    "SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS ask, "
-    "arg_min(text, turn) FILTER (WHERE role = 'assistant') AS reply FROM conversations GROUP BY conv_id) "
-    "WHERE ask IS NOT NULL)")
+    "coalesce('{\"content\":\"' || " + _STRIP_SQL.format(c="reply") + " || '\",\"systemId\":1,', '') || "
+    "'\"created\":\"2024-01-01 00:00:00\",\"modified\":\"2024-01-02 00:00:00\"}]', ',' ORDER BY turn, text) AS body FROM ("
+    "SELECT *, CASE WHEN lead(role) OVER o = 'assistant' THEN lead(text) OVER o END AS reply FROM conversations "
+    "WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)) "
+    "WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id)")
 
 
 # --------------------------------------------------------- token tables ---

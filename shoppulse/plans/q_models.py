@@ -211,8 +211,8 @@ def remove_mislabelled(spark, sf_dir):
 
 # ------------------------------------------------------------------ topics --
 
-def _en_vectors(spark, sf_dir):
-    docs = FX.table(spark, sf_dir, "documents").filter(F.col("lang") == "en")
+def _vectors(spark, sf_dir):
+    docs = FX.table(spark, sf_dir, "documents")
     toks = T.tokenize(docs, "doc_id", "text", stopwords=FX.STOP_WORDS)
     vec, cv = TP.count_vectors(TP.term_arrays(docs, "doc_id", "text", FX.STOP_WORDS), "doc_id", "terms", min_df=5)
     return toks, vec, TP.vocabulary_frame(spark, cv)
@@ -220,13 +220,13 @@ def _en_vectors(spark, sf_dir):
 
 @query("topic_terms")
 def topic_terms(spark, sf_dir):
-    _, vec, vocab = _en_vectors(spark, sf_dir)
+    _, vec, vocab = _vectors(spark, sf_dir)
     return TP.topic_terms(TP.fit_topics(vec, 3, seed=0), vocab, 200)
 
 
 @query("topic_separation")
 def topic_separation(spark, sf_dir):
-    _, vec, vocab = _en_vectors(spark, sf_dir)
+    _, vec, vocab = _vectors(spark, sf_dir)
     # nine fits read the same vectors: cut the lineage once into the shared
     # checkpoint folder, so a lost executor does not re-tokenise the corpus
     return TP.topic_separation(cut_lineage(vec), vocab, range(2, 11), 50, seed=0)
@@ -234,6 +234,6 @@ def topic_separation(spark, sf_dir):
 
 @query("topic_share")
 def topic_share(spark, sf_dir):
-    toks, vec, vocab = _en_vectors(spark, sf_dir)
+    toks, vec, vocab = _vectors(spark, sf_dir)
     terms = TP.topic_terms(TP.fit_topics(vec, 3, seed=0), vocab, 200)
     return TP.topic_share(terms, T.term_frequency(toks))
