@@ -92,20 +92,22 @@ def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = N
     parallelism (e.g. one large file with a single row group), hash-spread the
     rows on ``key`` (deterministic on retry) before the heavy projection.
     Inputs that already have enough splits -- the normal case on a cluster --
-    are returned unchanged, so no shuffle is added there, and so are plans that
-    read no files.
+    are returned unchanged, so no shuffle is added there.
 
     Without ``key`` the rows are spread round-robin (Spark sorts each input
     partition first, so a retried task sends the same rows to the same
-    place).  The number of splits is estimated from the plan's file list and
-    size statistics, so no stage runs to find it out.  Round-robin does not satisfy a later ``groupBy``'s distribution,
+    place).  The number of splits is read off the plan, or estimated from its
+    files and their sizes, so no stage runs to find it out.  Round-robin does not satisfy a later ``groupBy``'s distribution,
     so that aggregation keeps its own exchange, which AQE can reuse when two
     branches of a plan aggregate the same tokens."""
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    files = len(df.inputFiles())
-    if not files or max(files, size // split) >= target:
+    plan = df._jdf.queryExecution()
+    known = plan.sparkPlan().outputPartitioning().numPartitions()  # 0: a scan, not planned yet
+    if not known:
+        files = len(df.inputFiles())
+        split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+        known = max(files, int(str(plan.optimizedPlan().stats().sizeInBytes())) // split) if files else target
+    if known >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
