@@ -220,3 +220,14 @@ FROM cell JOIN r USING (feature, bin) JOIN c USING (feature, label) JOIN t USING
 def chi2_statistic(spark, sf_dir):
     t = FE.chi2_table(FX.labelled_docs(spark, sf_dir, parallel=True), FX.FEATURES, "label", 10)
     return t.select("feature", F.round("statistic", 6).alias("statistic"), "dof")
+
+
+@query("attached_scores", f"""SELECT u.user_pin, round(s1, 6) AS s1 FROM
+  (SELECT user_pin FROM {FX.SQL['labelled']} UNION ALL SELECT user_pin FROM {FX.SQL['target']}) u
+LEFT JOIN {SCORED} s ON s.user_pin = u.user_pin""")
+def attached_scores(spark, sf_dir):
+    """J2: scores joined to all users on their key; users without one get null."""
+    from shoppulse.operators.models import attach_scores
+    users = FX.labelled_docs(spark, sf_dir).select("user_pin").unionByName(FX.target_docs(spark, sf_dir).select("user_pin"))
+    scores = FX.rule_scores(FX.labelled_docs(spark, sf_dir)).select("user_pin", F.round("s1", 6).alias("s1"))
+    return attach_scores(users, scores)

@@ -202,3 +202,28 @@ def doc_term_matrix(spark, sf_dir):
     from shoppulse.operators.topics import doc_term_matrix as dtm
     toks = T.tokenize(FX.table(spark, sf_dir, "documents"), "doc_id", "text")
     return dtm(toks, "doc_id", "word", min_df=5)
+
+
+@query("terms_outside_lexicon", f"""SELECT word, count(*) AS frequency FROM
+  (SELECT unnest(regexp_extract_all(lower(text), '{W}')) AS word FROM documents)
+WHERE word NOT IN (SELECT word FROM {FX.SQL['lexicon']}) GROUP BY word""")
+def terms_outside_lexicon(spark, sf_dir):
+    """F15/J5: the lexicon as a stop table, an anti join on the aggregated terms."""
+    toks = T.tokenize(FX.table(spark, sf_dir, "documents"), "doc_id", "text")
+    counts = toks.groupBy("word").agg(F.count(F.lit(1)).alias("frequency"))
+    return T.drop_terms(counts, FX.lexicon(spark, sf_dir).select("word"))
+
+
+@query("topic_share_fixed", f"""WITH t AS (SELECT word AS term, length(word) % 3 + 1 AS topic FROM {FX.SQL['lexicon']}),
+ f AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{W}')) AS word FROM documents) GROUP BY word),
+ p AS (SELECT topic, coalesce(sum(n), 0)::BIGINT AS freq FROM t LEFT JOIN f ON word = term GROUP BY topic),
+ s AS (SELECT *, freq / sum(freq) OVER () AS share FROM p)
+SELECT topic::INT AS topic, freq, round(share, 6) AS share,
+  'topic:' || topic || '(' || regexp_replace(round(share * 100, 2)::VARCHAR, '\\.0$', '') || '%)' AS label FROM s""")
+def topic_share_fixed(spark, sf_dir):
+    """A17/J3/X14 on given topics: lexicon words by their length."""
+    from shoppulse.operators.topics import topic_share
+    terms = FX.lexicon(spark, sf_dir).select(F.col("word").alias("term"), (F.length("word") % 3 + 1).alias("topic"))
+    toks = T.tokenize(FX.table(spark, sf_dir, "documents"), "doc_id", "text")
+    out = topic_share(terms, toks.groupBy("word").agg(F.count(F.lit(1)).alias("frequency")))
+    return out.withColumn("share", F.round("share", 6))

@@ -26,12 +26,13 @@ def read_cohort(spark: SparkSession, path: str | list[str], schema: StructType |
 
 
 def read_reviews(spark: SparkSession, path: str | list[str], header: bool = True,
-                 col: str = "V1") -> DataFrame:
+                 col: str = "V1", multi_line: bool = False) -> DataFrame:
     """One-column review CSV, UTF-8 (a byte-order mark before the header is
     dropped by Spark's reader).  A headerless file gets the column ``col``
     (``V1``, as R names it).  Empty strings read as null, as in the
-    reference's readers."""
-    r = spark.read.option("header", header).option("encoding", "UTF-8").option("multiLine", True)
+    reference's readers.  ``multi_line`` reads quoted line breaks; a file is
+    then one task, so it is off unless asked for."""
+    r = spark.read.option("header", header).option("encoding", "UTF-8").option("multiLine", multi_line)
     df = r.schema(f"`{col}` string").csv(path) if not header else r.csv(path)
     if header and df.columns:
         first = df.columns[0]
@@ -39,10 +40,10 @@ def read_reviews(spark: SparkSession, path: str | list[str], header: bool = True
     return df
 
 
-def read_review_dir(spark: SparkSession, glob: str, header: bool = True) -> DataFrame:
+def read_review_dir(spark: SparkSession, glob: str, header: bool = True, multi_line: bool = False) -> DataFrame:
     """Many per-SKU review files as one table ``(sku, sentiment, comments)``;
     SKU and sentiment come from each row's file name."""
-    df = read_reviews(spark, glob, header)
+    df = read_reviews(spark, glob, header, multi_line=multi_line)
     text_col = df.columns[0]
     fname = F.input_file_name()
     return df.select(F.regexp_extract(fname, REVIEW_FILE, 1).alias("sku"),
