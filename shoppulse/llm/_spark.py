@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import os
 import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -22,7 +21,7 @@ def ship(spark) -> None:
     sc = spark.sparkContext
     if not getattr(sc, "_shoppulse_shipped", False):
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        base = os.path.join(tempfile.mkdtemp(prefix="shoppulse-"), "shoppulse")
+        base = os.path.join(sc._temp_dir, "shoppulse")  # the driver's own scratch; Spark serves the file to executors
         sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
         sc._shoppulse_shipped = True
 
