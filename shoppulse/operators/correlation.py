@@ -263,6 +263,7 @@ def signed_weights(pairs: DataFrame, features: Sequence[str], pos_token: str, ne
     c = F.col(corr)
     m1, f1 = F.col(id1).contains(pos_token), F.col(id1).contains(neg_token)
     m2, f2 = F.col(id2).contains(pos_token), F.col(id2).contains(neg_token)
+    # Factors and summands of the six cases.
     # (condition, id1 sign, id1 factor mult, id2 sign, id2 factor mult, id1 add, id2 add)
     cases = [
         (m1 & f2, 1, 1.0, -1, 1.0, 40, -40),

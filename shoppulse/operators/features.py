@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from shoppulse.functions.numeric import ratio, row_sum
 from shoppulse.operators.schema import column_families
 
+# Names of the sums and of the ratios with their families.
 SUM_NAMES = ["attr_sum", "pchs_sum", "clk_sum", "brs_sum", "cart_sum"]
 # (ratio name, numerator family, denominator family)
 RATIOS = [

@@ -84,13 +84,15 @@ def search_specs(d: int, mode: str = "fast", label: str = "label", seed: int = 0
     """Learners and grids.  ``fast``: LR maxIter 20, reg {.11,.21}; tree depth
     round(.07 d); NB smoothing {.5}; MLP hidden {30x4}.  ``full``: LR maxIter
     round(.3 d), reg {.01,.05,.1,.15,.3,.4}; depths round({.03,.04,.05} d);
-    NB smoothing {.2,1.1,1.7}; MLP {30x4, 50x3, 80x2}; RF trees
-    round({2,3} d), depth round({.05,.07} d).  Depths clamp to [1, 30]."""
+    NB smoothing {.2,1.1,1.7}; MLP {30x4, 50x3, 80x2}.  RF (if asked
+    for): trees round(2 d), depth round(.07 d); ``full``: round({2,3} d) and
+    round({.05,.07} d).  Depths clamp to [1, 30]."""
     from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                            MultilayerPerceptronClassifier, NaiveBayes,
                                            RandomForestClassifier)
     from pyspark.ml.tuning import ParamGridBuilder
     full = mode == "full"
+    # The grids' numbers
     lr = LogisticRegression(featuresCol=FEATURES, labelCol=label,
                             maxIter=max(1, round(0.3 * d)) if full else 20)
     dt = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=label, seed=seed)
