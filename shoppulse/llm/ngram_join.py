@@ -254,6 +254,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
 
     (component_id, component_digest) name the smallest (doc, digest) of the row's component.
     """
+    # the two large joins are sort-merge joins at every size: their small side grows with the copies
     bands = choose_bands(threshold, recall, rows)
     keyed = _rows(docs)
     who = materialise(keyed.select("doc_id", "doc", "digest", "t"))
@@ -263,13 +264,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     buckets = signed.select("t", F.explode("hashes").alias("key"))
     hubs = materialise(buckets.groupBy("key").agg(F.min("t").alias("hub"), F.max("t").alias("top"))
                        .filter("hub < top").select("key", "hub"))
-    edges = materialise(buckets.join(hubs, "key").filter("t <> hub").select(F.col("t").alias("src"), F.col("hub").alias("dst")).distinct())
+    edges = materialise(buckets.join(hubs.hint("merge"), "key").filter("t <> hub").select(F.col("t").alias("src"), F.col("hub").alias("dst")).distinct())
     groups = components(edges).select(F.col("id").alias("t"), F.col("component").alias("g"))
     members = materialise(groups.join(signed.select("t", "n"), "t"))
     seats = materialise(_seats(members, threshold).join(distinct, "t")
                         .select("t", "seats", "copies", F.col("first.doc").alias("at")))
     text = keyed.select("doc", F.col("t").alias("text_t"), "text")
-    chosen = text.join(seats, (text.text_t == seats.t) & (text.doc == seats["at"])).select("t", "copies", "seats", "text")
+    chosen = text.join(seats.hint("merge"), (text.text_t == seats.t) & (text.doc == seats["at"])).select("t", "copies", "seats", "text")
     found = materialise(_compare(chosen, threshold))
     links = found.filter("other is null").groupBy("t").agg(F.sum("links").alias("links"))
     joined = components(found.filter("other is not null").select(F.col("t").alias("src"), F.col("other").alias("dst")))
