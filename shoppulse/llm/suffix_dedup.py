@@ -46,7 +46,9 @@ LENGTH = 100
 PIECE = 50
 #: Anchor positions of one string.
 REACH = LENGTH - PIECE + 1
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
+#: Anchors whose strings are merged at once.
+MERGE_ROWS = 1 << 14
 HOT = 8
 NONE = np.uint32(0xFFFFFFFF)
 
@@ -460,6 +462,16 @@ def later(key, doc, dkey, pos) -> np.ndarray:
     return out
 
 
+def _key_blocks(key: np.ndarray, most: int):
+    """Ranges of about ``most`` sorted keys that tear no equal ones apart."""
+    a = 0
+    while a < len(key):
+        b = min(a + most, len(key))
+        b = int(np.searchsorted(key, key[b - 1], "right"))
+        yield a, b
+        a = b
+
+
 def _as_runs(dkey, pos):
     order = np.lexsort((pos, dkey))
     d, p = dkey[order], pos[order].astype(np.int64)
@@ -529,17 +541,17 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
             hot = np.isin(c["key"], c["key"][c["mask"] == 0])
             for chosen in (~hot, hot):
                 k = np.flatnonzero(chosen & (c["mask"] != 0))
-                if not len(k):
-                    continue
-                part = {x: v[k] for x, v in c.items()}
-                if chosen is hot:
-                    yield _both(packed=_strings(part, buckets))
-                    continue
-                key, row, j = _string_keys(part)
-                d, at = part["dkey"][row], part["pos"][row] + j.astype(np.int32)
-                again = later(key, part["doc"][row], d, at)
-                if again.any():
-                    yield _both(runs=_run_batch(*_as_runs(d[again], at[again])))
+                k = k[np.argsort(c["key"][k], kind="stable")]
+                for a, b in _key_blocks(c["key"][k], MERGE_ROWS):
+                    part = {x: v[k[a:b]] for x, v in c.items()}
+                    if chosen is hot:
+                        yield _both(packed=_strings(part, buckets))
+                        continue
+                    key, row, j = _string_keys(part)
+                    d, at = part["dkey"][row], part["pos"][row] + j.astype(np.int32)
+                    again = later(key, part["doc"][row], d, at)
+                    if again.any():
+                        yield _both(runs=_run_batch(*_as_runs(d[again], at[again])))
 
     def merge_strings(batches):
         for rows in _rows_by_bucket(batches):
