@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
             .select("doc_id", "size", "source", "source_size", "target", "repeats", "taken"))
 
 
-def mixed_rows(docs: DataFrame, key_columns=("doc_id",), **options) -> DataFrame:
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: every row repeated as often as it is taken, the others gone."""
     taken = mix(docs, **options).select("doc_id", "source", "size", "repeats").distinct()
     taken = taken.groupBy("doc_id", "source", "size").agg(F.max("repeats").alias("mix_repeats"))
