@@ -326,6 +326,14 @@ def test_lm_prefers_the_order_it_was_trained_on(sp):
     assert lm_score.score_corpus(empty(sp)).count() == 0
 
 
+def test_lm_every_word_is_a_training_target(sp):
+    """The words a stride of 12 with offsets 0, 4 and 8 would never predict are learnt too."""
+    cycle = ["f" if k % 4 == 0 else f"w{k}" for k in range(12)]
+    docs = frame(sp, [(k, " ".join(cycle * 10), "s") for k in range(100)]).coalesce(1)
+    got = lm_score.score_corpus(docs).collect()
+    assert min(r.per_word for r in got) > -0.3
+
+
 def test_lm_probabilities_equal_a_plain_softmax():
     rng = np.random.default_rng(0)
     vocab = lm_score.Vocabulary(rng.integers(0, 50, lm_score.BUCKETS))
