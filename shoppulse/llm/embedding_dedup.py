@@ -10,10 +10,8 @@ with its codes and its own quantisation error.
 Probes are sufficient rather than a fixed number: a vector x can have a neighbour
 in list b if for every other centroid c it is near enough to the half space that
 is nearer to b, (|x-b|^2 - |x-c|^2) / (2|b-c|) <= margin (tested for the ``NEAREST``
-centroids nearest to x).  With margin r no neighbour is lost, wherever it lies.
-In d dimensions a neighbour moves along one direction by r / sqrt(d) on average,
-and the margin is ``SIGMAS`` times that, at most r; measured at the threshold
-itself (random directions, 64 dimensions) more than 0.999 of the pairs are found.
+centroids nearest to x).  The margin is r, so no neighbour is lost, wherever it lies
+and however few directions the vectors differ in.
 Links are symmetric, so x probes only lists after its own.  In a probed list the
 asymmetric distance of x to the codes of y, summed from the lookup tables of x,
 keeps y if it is at most r plus y's quantisation error (the triangle inequality:
@@ -51,7 +49,6 @@ MOST_LISTS = 4096
 SUBSPACES = 8
 CODES = 256
 NEAREST = 8
-SIGMAS = 3.5
 BLOCK = 2048
 EPS = 1e-6
 OUT_BYTES = 8 << 20
@@ -180,7 +177,8 @@ def _vectors(rows: DataFrame, dtype) -> DataFrame:
 
 
 def probe_margin(dim: int, threshold: float) -> float:
-    return math.sqrt(2 - 2 * threshold) * min(1.0, SIGMAS / math.sqrt(dim))
+    """The distance at the threshold, in any number of dimensions."""
+    return math.sqrt(2 - 2 * threshold)
 
 
 def _assign(batch, index: Index, dtype, margin: float):

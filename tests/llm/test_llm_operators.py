@@ -208,6 +208,23 @@ def test_embedding_recall_at_the_threshold():
     assert np.mean(found) > 0.995
 
 
+def test_embedding_recall_of_low_rank_vectors():
+    """Neighbours that differ in 6 of 256 dimensions only: none is lost."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((4000, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    y = 0.951 * x + np.sqrt(1 - 0.951 ** 2) * side
+    x, y = (np.pad(v, ((0, 0), (0, 250))) for v in (x, y))
+    index = embedding_dedup.Index(x, 64)
+    margin = embedding_dedup.probe_margin(256, 0.95)
+    (a, (ra, la)), (b, (rb, lb)) = index.probes(x, margin), index.probes(y, margin)
+    p, q = set(zip(ra.tolist(), la.tolist())), set(zip(rb.tolist(), lb.tolist()))
+    assert all(a[k] == b[k] or (k, b[k]) in p or (k, a[k]) in q for k in range(len(x)))
+
+
 # -- mixing ------------------------------------------------------------------------
 
 def test_mix_equals_brute_force_and_sql(sp):
