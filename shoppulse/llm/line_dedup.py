@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join: lines within one edit of an earlier line go.
 
 A line is the text between newlines, compared without white space at its ends;
-lines of fewer than ``MIN_CHARS`` code points then left are kept as they are.
+lines of fewer than ``MIN_CHARS`` code points then left are compared for equality
+only, if ``short`` is set (the query sets it), and kept otherwise.
 Its order is (doc_id, line number).  A line is dropped if an earlier line is
 equal or at edit distance one (code points).
 
@@ -43,7 +44,7 @@ def tagged(h: np.ndarray, *tags) -> np.ndarray:
 
 
 def content_lines(off: np.ndarray, data: np.ndarray, least: int):
-    """row, line number, hash, length and half keys of every line of ``least`` code points."""
+    """row, line number, hash, length and half keys of every line of at least ``least`` code points."""
     start, end, row = word_bounds(data, off)
     newline = np.concatenate(([0], np.cumsum(data == 0x0A)))
     line = newline[start] - newline[off[row]]
@@ -82,14 +83,16 @@ def variants(text: str):
     return keys, np.concatenate(([0], np.full(len(deleted), 1), np.full(n, 2)))
 
 
-def _line_rows(docs: DataFrame, least: int) -> DataFrame:
+def _line_rows(docs: DataFrame, least: int, short: bool) -> DataFrame:
+    """Lines with their half keys, which are null for lines too short for one-edit matches."""
     def run(batches):
         for batch in batches:
             doc, tie = ints(batch.column("doc")), ints(batch.column("tie"))
             for i, j, off, data in text_slices(batch):
-                row, line, h, n, keys = content_lines(off, data, least)
-                cols = [h.view(np.int64), doc[i:j][row], tie[i:j][row], line.astype(np.int32), *(k.view(np.int64) for k in keys)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["h", "doc", "tie", "line", "k1", "k2", "k3", "k4"])
+                row, line, h, n, keys = content_lines(off, data, 1 if short else least)
+                cols = [h.view(np.int64), doc[i:j][row], tie[i:j][row], line.astype(np.int32)]
+                cols = [pa.array(c) for c in cols] + [pa.array(k.view(np.int64), mask=n < least) for k in keys]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "doc", "tie", "line", "k1", "k2", "k3", "k4"])
 
     return docs.mapInArrow(run, "h long, doc long, tie long, line int, k1 long, k2 long, k3 long, k4 long")
 
@@ -101,6 +104,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h) of the distinct lines that are one edit from an earlier one."""
+    distinct = distinct.filter("k1 is not null")
     halves = distinct.select("h", F.explode(F.array("k1", "k2", "k3", "k4")).alias("key"))
     shared = materialise(halves.groupBy("key").count().filter("count > 1").select("key"))
     some = materialise(halves.join(shared, "key").select("h").distinct())
@@ -146,10 +150,10 @@ def near_lines(keyed: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.filter(F.levenshtein("a", "b", 1) >= 0).select("h")
 
 
-def drops(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def drops(docs: DataFrame, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """(doc, tie, dropped): the line numbers that go, ascending, of every document that loses any."""
     keyed = _keyed(docs)
-    lines = materialise(_line_rows(keyed, least))
+    lines = materialise(_line_rows(keyed, least, short))
     place = F.struct("doc", "tie", "line")
     distinct = materialise(lines.groupBy("h").agg(
         F.min(place).alias("first"), F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("k1", "k2", "k3", "k4")]))
@@ -161,9 +165,9 @@ def drops(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     return rows.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """``docs`` with the kept lines as ``text``, and ``n_lines`` and ``n_dropped`` behind its columns."""
-    gone = materialise(drops(docs, least)).select(F.col("doc").alias("_ld_doc"), F.col("tie").alias("_ld_tie"),
+    gone = materialise(drops(docs, least, short)).select(F.col("doc").alias("_ld_doc"), F.col("tie").alias("_ld_tie"),
                                                   F.col("dropped").alias("_ld_dropped"))
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("_ld_row"),

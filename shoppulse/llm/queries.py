@@ -90,7 +90,7 @@ def op9_fingerprint(spark, sf_dir):
 @query("op5_line_dedup")
 def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, short=True)
 
 
 def op8_sql(docs: str = "documents") -> str:

@@ -124,6 +124,13 @@ def test_line_dedup_odd_rows(sp):
     assert line_dedup.dedup_lines(frame(sp, ODD)).count() == len(ODD)
 
 
+def test_line_dedup_short_lines(sp):
+    """Equal short lines go, those one edit apart stay; the query asks for it."""
+    rows = [(1, "Read more\n\n猫が好き。\nx", "s"), (2, " Read more\n\n猫が好き\n猫が好き。\ny", "s"), (3, "Read more\nx", "s")]
+    got = collect(line_dedup.dedup_lines(frame(sp, rows), short=True))
+    assert [got[k].text for k in (1, 2, 3)] == [rows[0][1], "\n猫が好き\ny", ""]
+
+
 # -- n-grams --------------------------------------------------------------------
 
 def _near_texts():
