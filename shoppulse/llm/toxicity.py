@@ -11,7 +11,7 @@ and clean texts: every word and word start of three letters or more is a
 candidate, counted by Spark over the training sample.
 
 A text's strength is the summed weight of the matches that lie in no exception
-phrase; the score is a logistic function, fitted on the sample, of the strength
+phrase, of those that start at one place the heaviest; the score is a logistic function, fitted on the sample, of the strength
 and of the strength for each hundred words.
 
 Defined cases: null and empty texts have no match and get the score of strength
@@ -153,16 +153,18 @@ def learn_lexicon(few: DataFrame) -> dict[str, float]:
             .orderBy(F.desc(F.col("toxic") * F.col("ratio")), F.desc(F.length("entry")), "entry").limit(ENTRIES).collect())
     counts.unpersist()
     out: dict[str, float] = {}
-    for r in best:  # a word start and its extensions say the same thing: the first stands
-        e = r.entry
-        stem = _stem(e)
-        if not any(stem.startswith(_stem(x)) or _stem(x).startswith(stem) for x in out):
-            out[e] = float(r.ratio)
+    for r in best:
+        if not any(covers(x, r.entry) for x in out):
+            out[r.entry] = float(r.ratio)
     return out
 
 
-def _stem(entry: str) -> str:
-    return folded(entry.strip(f" {LIGHT}")).strip()
+def covers(chosen: str, entry: str) -> bool:
+    """Whether ``chosen`` matches wherever ``entry`` does, in a text's folded view if not in the entry's own."""
+    if chosen[0] == entry[0]:
+        return entry.startswith(chosen)
+    plain = folded(entry.strip(LIGHT)).rstrip()
+    return chosen[0] == " " and (plain + " " if entry[-1] == LIGHT else plain).startswith(chosen)
 
 
 class Matcher:
@@ -196,8 +198,11 @@ class Matcher:
         for end, (entry, weight) in self.automaton.iter(plain if text.isascii() else plain + light(text)):
             span = (end - len(entry) + 1, end + 1)
             (free if weight is None else hits).append((*span, weight))
-        total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in free))
-        return total, plain.count(" ")
+        best: dict[int, float] = {}  # a word that several entries match counts once, with the heaviest
+        for a, b, w in hits:
+            if not any(x <= a and b <= y for x, y, _ in free):
+                best[a] = max(w, best.get(a, w))
+        return sum(best.values()), plain.count(" ")
 
 
 def features(total: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -324,6 +324,17 @@ def test_toxic_folding_and_exceptions():
     assert toxicity.folded("ｆｕｌｌ $$$ c@t $cum").split() == ["fuii", "cat", "scum"]
 
 
+def test_toxicity_keeps_the_forms_of_a_word(sp):
+    """A whole word before its inflected form: both stay, and a longer form hides no shorter one."""
+    rows = [(f"you moron {k % 7}", 1) for k in range(60)] + [("the morons", 1)] * 30 + [("a morose morocco moroni", 0)] * 90
+    got = toxicity.learn_lexicon(sp.createDataFrame(rows, "text string, label int"))
+    m = toxicity.Matcher(got)
+    assert m.strength("moron")[0] > 0 and m.strength("morons")[0] > 0 and m.strength("morocco")[0] == 0
+    assert toxicity.covers(" mor", " moron ") and not toxicity.covers(" moron ", " morons ")
+    assert not toxicity.covers(" morons", " moron ") and not toxicity.covers("\x01é", " é")
+    assert toxicity.Matcher({" moro": 2.0, " moron ": 3.0}).strength("moron moros")[0] == 5.0
+
+
 def test_toxicity_odd_rows(sp):
     docs = frame(sp, ODD + [(k, f"plain words {k} here", "s") for k in range(20, 60)] + [(k, f"you {k} utter grobian", "s") for k in range(60, 100)])
     labels = _labels(sp, [(k, 1, int(k >= 60)) for k in range(20, 100)] + [(None, 1, 1), (21, 1, None)])
