@@ -55,8 +55,8 @@ def term_arrays(df: DataFrame, doc_col: str, text_col: str, stopwords=None) -> D
 
 
 def fit_topics(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 10, optimizer: str = "online"):
-    """Spark ML LDA (``k >= 2``); the online optimiser scales with documents
-    streamed in mini-batches, the EM one checkpoints its graph into the
+    """Spark ML LDA (``k >= 2``); every iteration of the online optimiser reads
+    all documents (its default would sample 5 % of them), the EM one checkpoints its graph into the
     session's checkpoint folder."""
     from pyspark.ml.clustering import LDA
     from shoppulse.session import checkpoint_dir
@@ -64,7 +64,8 @@ def fit_topics(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 10, op
         raise ValueError("k must be >= 2")
     if optimizer == "em":
         checkpoint_dir(vectors.sparkSession)
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="tf")
+    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="tf",
+              subsamplingRate=1.0)
     # every iteration samples the corpus again: keep the vectors materialised
     # during the fit instead of re-tokenising per iteration
     cached = vectors.storageLevel.useMemory or vectors.storageLevel.useDisk

@@ -61,3 +61,10 @@ def test_rules_properties(spark):
     rules = _q(spark, "fpgrowth_rules").collect()
     assert rules and all(r.confidence >= 0.005 for r in rules)
     assert all(r.support >= 0.003 - 1e-9 for r in rules)
+
+
+def test_topics_read_every_document_in_each_iteration(spark):
+    from pyspark.ml.linalg import Vectors
+    from shoppulse.operators import topics
+    vectors = spark.createDataFrame([(k, Vectors.dense([1.0 + k % 2, 1.0])) for k in range(20)], ["doc", "tf"])
+    assert topics.fit_topics(vectors, 2, max_iter=2).getSubsamplingRate() == 1.0
