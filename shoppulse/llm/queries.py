@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 
-from . import embedding_dedup, fingerprint, line_dedup, lm_score, mixing, ngram_join, quality_cnn, sentencepiece, suffix_dedup, toxicity
+from . import (best_fit, embedding_dedup, fingerprint, line_dedup, lm_score, mixing, ngram_join, periodic_runs, prefix_trie,
+               quality_cnn, sentencepiece, suffix_dedup, toxicity)
 from ._spark import ship, spread_rows, table
 
 REGISTRY: dict = {}
@@ -157,3 +158,19 @@ def op7_lm_score(spark, sf_dir):
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op11_prefix_trie")
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    docs = spread_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digest(periodic_runs.collapse(docs, edit=periodic_runs.stretched))
+
+
+@query("op13_best_fit")
+def op13_best_fit(spark, sf_dir):
+    return best_fit.pack(spread_rows(table(spark, sf_dir, "documents").select("doc_id", "text")))
