@@ -168,54 +168,42 @@ def _ends(members: DataFrame) -> DataFrame:
     """depth, f1, f2, ends_sha256 of the nodes in which conversations end."""
     ends = members.filter("is_end").select(*KEY, "conv_id")
 
+    def rows(out, *names):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], names=[*KEY, *names])
+
     def chunks(batches):
-        key, first, held = None, 0, []
+        key, first, held, out = None, 0, [], []
         for batch in batches:
             for *k, c in zip(*(batch.column(x).to_pylist() for x in [*KEY, "conv_id"])):
                 if k != key or len(held) == CHUNK:
                     if held:
-                        yield _chunk(key, first, held)
+                        out.append((*key, first, ",".join(held)))
+                    if len(out) == CHUNK:
+                        yield rows(out, "first", "ids")
+                        out = []
                     key, first, held = k, c, []
                 held.append(str(c))
         if held:
-            yield _chunk(key, first, held)
-
-    def _chunk(key, first, held):
-        return pa.RecordBatch.from_pylist([{**dict(zip(KEY, key)), "first": first, "ids": ",".join(held)}])
-
-    def batched(batches):
-        rows = []
-        for b in chunks(batches):
-            rows.append(b)
-            if len(rows) == 1024:
-                yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-                rows = []
-        if rows:
-            yield pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            yield rows([*out, (*key, first, ",".join(held))], "first", "ids")
 
     def digests(batches):
         key, state, out = None, None, []
         for batch in batches:
             for *k, ids in zip(*(batch.column(x).to_pylist() for x in [*KEY, "ids"])):
-                if k != key:
-                    if key is not None:
-                        out.append((*key, state.hexdigest()))
-                    key, state = k, hashlib.sha256(ids.encode())
-                else:
+                if k == key:
                     state.update(b"," + ids.encode())
+                    continue
+                if key is not None:
+                    out.append((*key, state.hexdigest()))
+                key, state = k, hashlib.sha256(ids.encode())
             if out:
-                yield _rows(out)
+                yield rows(out, "ends_sha256")
                 out = []
         if key is not None:
-            yield _rows([(*key, state.hexdigest())])
-
-    def _rows(out):
-        return pa.RecordBatch.from_arrays(
-            [*[pa.array([r[k] for r in out], pa.int64()) for k in range(3)], pa.array([r[3] for r in out], pa.string())],
-            names=[*KEY, "ends_sha256"])
+            yield rows([(*key, state.hexdigest())], "ends_sha256")
 
     cut = (ends.repartitionByRange(*KEY, "conv_id").sortWithinPartitions(*KEY, "conv_id")
-           .mapInArrow(batched, "depth long, f1 long, f2 long, first long, ids string"))
+           .mapInArrow(chunks, "depth long, f1 long, f2 long, first long, ids string"))
     return cut.repartition(*KEY).sortWithinPartitions(*KEY, "first") \
         .mapInArrow(digests, "depth long, f1 long, f2 long, ends_sha256 string")
 
