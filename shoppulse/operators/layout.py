@@ -2,120 +2,93 @@
 prefix sums along a sort order, contiguous parts.
 
 A global ``row_number()`` without ``partitionBy`` moves every row into one
-task.  Instead the sort key, of any orderable type, is cut into ranges of about
-equal size (computed once; the cut points are a handful of literals, so a retried task
-recomputes the same range for every row), each range is numbered / summed
-locally by a partitioned window, and ranges are shifted by the cumulative
-totals of the ranges before them (a tiny table, one row per range).
+task.  Here the rows are range-partitioned once, numbered where they lie and
+written with those numbers; what remains is one row per partition (its size),
+summed in order.  Prefix sums along a numeric key need no written table: a
+two-level histogram of the key splits them into bounded pieces inside one plan.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoppulse.session import written
 
-def _range_cuts(df: DataFrame, order_col: str, ranges: int) -> list:
-    """Smallest values of about ``ranges`` key ranges of equal size, for any
-    orderable type: the keys alone are range-partitioned, and one value a
-    range comes to the driver."""
-    if ranges <= 1:
-        return []
-    keys = df.select(F.col(order_col).alias("k")).filter("k is not null")
-    lows = keys.repartitionByRange(ranges, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k")).collect()
-    return sorted(r["k"] for r in lows)[1:]
+#: Bits of ``monotonically_increasing_id`` that count the rows of a partition.
+ROW_BITS = 33
+#: First-level cells of a prefix sum, key values that one cell may hold before
+#: it is split, and the most cells it is split into.
+CELLS, CELL_ROWS, MOST_SPLIT = 1024, 4096, 8192
 
 
-def range_bucket(order_col: str, cuts: Sequence, kind: str = "double") -> Column:
-    """Index of the range holding the value: number of cut points <= value
-    (null: 0).  Equal values always share a range.  ``kind`` is the SQL type
-    of the key.  The cuts are searched by halves, so neither the depth of the
-    expression nor the work per row grows with more than their logarithm."""
-    key = "`" + order_col.replace("`", "``") + "`"
-
-    def literal(c) -> str:
-        text = str(c).replace("\\", "\\\\").replace("'", "\\'")
-        return f"CAST('{text}' AS {kind})"
-
-    def search(lo: int, hi: int) -> str:  # cuts[lo:hi] are still open
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"CASE WHEN {key} >= {literal(cuts[mid])} THEN {search(mid + 1, hi)} ELSE {search(lo, mid)} END"
-
-    return F.expr(search(0, len(cuts)))
-
-
-def _default_ranges(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
-
-
-def with_row_index(df: DataFrame, order_col: str, out_col: str = "row_idx",
+def with_row_index(df: DataFrame, order_col: str | Sequence[str], out_col: str = "row_idx",
                    ranges: int | None = None) -> DataFrame:
-    """0-based global position along ``order_col`` (rows with equal keys get
-    consecutive positions in an arbitrary but deterministic order).
-
-    The key is cut into ranges at approximate quantiles.  A key value holding
-    more than one range's share of the rows (a hot key: e.g. a third of the
-    table) becomes a cut of its own and its rows are salted over several
-    sub-ranges by a hash of the row, so no task numbers more than about two
-    ranges' worth of rows.  Range sizes (one number per range) are the only
-    values brought to the driver."""
-    ranges = ranges or _default_ranges(df)
-    cuts = _range_cuts(df, order_col, ranges)
-    b = df.withColumn("_rb", range_bucket(order_col, cuts, df.schema[order_col].dataType.simpleString()))
-    sizes = {r["_rb"]: r["_sz"] for r in b.groupBy("_rb").agg(F.count(F.lit(1)).alias("_sz")).collect()}
-    total = sum(sizes.values())
-    target = max(1, -(-total // ranges))
-    big = [k for k, n in sizes.items() if n > 2 * target]
-    salt = F.lit(0)
-    if big:
-        hot = (b.filter(F.col("_rb").isin(big)).groupBy(order_col)
-                .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > target).collect())
-        if hot:
-            # each hot value becomes a cut (so it opens its own range) and is
-            # split into ceil(n / target) salted sub-ranges placed before the
-            # rest of that range
-            cuts = sorted(set(cuts) | {r[order_col] for r in hot})
-            b = df.withColumn("_rb", range_bucket(order_col, cuts, df.schema[order_col].dataType.simpleString()))
-            h = F.xxhash64(*[F.col(c) for c in df.columns])
-            expr = F.lit(1 << 30)
-            for r in hot:
-                parts = -(-r["_n"] // target)
-                expr = F.when(F.col(order_col) == F.lit(r[order_col]), F.pmod(h, F.lit(parts))).otherwise(expr)
-            salt = expr
-    b = b.withColumn("_sub", salt.cast("int")).withColumn("_tb", F.xxhash64(*[F.col(c) for c in df.columns]))
-    keys = ["_rb", "_sub"]
-    sz = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_sz"))
-    offs = sz.withColumn(
-        "_off", F.coalesce(F.sum("_sz").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))  # one row per (range, sub-range): tiny
-    w = Window.partitionBy(*keys).orderBy(order_col, "_tb")
-    return (b.join(F.broadcast(offs.select(*keys, "_off")), keys)
-             .withColumn(out_col, (F.col("_off") + F.row_number().over(w) - 1).cast("bigint"))
-             .drop("_rb", "_sub", "_tb", "_off"))
+    """0-based global position along ``order_col`` (nulls first; rows with
+    equal keys get consecutive positions in the order of a row hash).
+
+    One pass range-partitions the rows by key, row hash and a serial number
+    -- so a key value or a repeated row that makes up a third of the table is
+    spread over many partitions -- and writes them with their partition and
+    their place in it.  The other adds the number of rows in earlier
+    partitions, a broadcast table of one row per partition."""
+    keys = [order_col] if isinstance(order_col, str) else list(order_col)
+    spread = [F.col(c) for c in (*keys, "_tb", "_seat")]
+    marked = df.withColumn("_tb", F.xxhash64(*df.columns)).withColumn("_seat", F.monotonically_increasing_id())
+    ranged = marked.repartitionByRange(ranges, *spread) if ranges else marked.repartitionByRange(*spread)
+    placed = written(ranged.sortWithinPartitions(*spread).drop("_tb", "_seat")
+                     .withColumn("_at", F.monotonically_increasing_id())
+                     .withColumn("_part", F.shiftright("_at", ROW_BITS))
+                     .withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << ROW_BITS) - 1))))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")) \
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (placed.join(F.broadcast(parts), "_part")
+            .withColumn(out_col, (F.col("_before") + F.col("_at")).cast("bigint"))
+            .select(*df.columns, out_col))
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], inclusive: bool = False,
-                ranges: int | None = None, suffix: str = "_before") -> DataFrame:
+                suffix: str = "_before", cells: int = CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """For each row, the sums of ``sum_cols`` over all rows with a smaller
-    ``order_col`` (``inclusive`` adds the row itself).  ``order_col`` should
-    be unique (aggregate ties first)."""
-    ranges = ranges or _default_ranges(df)
-    cuts = _range_cuts(df, order_col, ranges)
-    b = df.withColumn("_rb", range_bucket(order_col, cuts, df.schema[order_col].dataType.simpleString()))
-    tot = b.groupBy("_rb").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    wr = Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_rb", *[F.coalesce(F.sum(f"_t_{c}").over(wr), F.lit(0)).alias(f"_o_{c}")
-                               for c in sum_cols])
-    end = 0 if inclusive else -1
-    wl = Window.partitionBy("_rb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, end)
-    out = b.join(F.broadcast(offs), "_rb")
+    numeric ``order_col`` (``inclusive`` adds the row itself).  ``order_col``
+    should be unique (aggregate ties first).
+
+    The key's span is cut into ``cells`` equal cells; a cell with more than
+    ``cell_rows`` rows is cut again over its own span.  A row's sum is that of
+    the cells before its own, of the sub-cells before its own, and of the
+    rows before it in its sub-cell.  Nothing runs while the plan is built, and
+    the only single-task window sees one row per cell."""
+    key = F.col(order_col).cast("double")
+
+    def cell(lo, hi, n):
+        share = F.nanvl(F.try_divide(key - F.col(lo), F.col(hi) - F.col(lo)), F.lit(0.0))  # infinite spans: one cell
+        at = F.floor(share * F.col(n)).cast("bigint")
+        return F.when(F.col(hi) > F.col(lo), F.least(at, F.col(n) - 1)).otherwise(F.lit(0).cast("bigint"))
+
+    span = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).withColumn("_n", F.lit(cells).cast("bigint"))  # one row
+    one = df.crossJoin(F.broadcast(span)).withColumn("_c1", cell("_lo", "_hi", "_n")).drop("_lo", "_hi", "_n")
+
+    def before(window, cols):
+        return [F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(o) for c, o in cols]
+
+    sums = [F.sum(c).alias(f"_t_{c}") for c in sum_cols]
+    first = one.groupBy("_c1").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_rows"), *sums)
+    split = F.least(F.ceil(F.col("_rows") / F.lit(cell_rows)), F.lit(MOST_SPLIT)).cast("bigint")
+    first = first.select(F.col("_c1").alias("_d0"), "_lo", "_hi", split.alias("_n"),
+                         *before(Window.orderBy("_c1"), [(f"_t_{c}", f"_o1_{c}") for c in sum_cols]))  # at most ``cells`` rows
+    two = one.join(F.broadcast(first), F.col("_c1").eqNullSafe(F.col("_d0"))) \
+        .withColumn("_c2", cell("_lo", "_hi", "_n")).drop("_d0", "_lo", "_hi", "_n")
+    second = two.groupBy("_c1", "_c2").agg(*sums)
+    second = second.select(F.col("_c1").alias("_d1"), F.col("_c2").alias("_d2"),
+                           *before(Window.partitionBy("_c1").orderBy("_c2"), [(f"_t_{c}", f"_o2_{c}") for c in sum_cols]))
+    within = Window.partitionBy("_c1", "_c2").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = two.join(second, F.col("_c1").eqNullSafe(F.col("_d1")) & F.col("_c2").eqNullSafe(F.col("_d2")))
     for c in sum_cols:
-        out = out.withColumn(f"{c}{suffix}", F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(wl), F.lit(0)))
-    return out.drop("_rb", *[f"_o_{c}" for c in sum_cols])
+        out = out.withColumn(f"{c}{suffix}", F.col(f"_o1_{c}") + F.col(f"_o2_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
+    return out.select(*df.columns, *[f"{c}{suffix}" for c in sum_cols])
 
 
 def part_length(n_rows: int, n_parts: int) -> int:
@@ -127,8 +100,7 @@ def split_parts(df: DataFrame, order_col: str, n_parts: int, out_col: str = "par
     """Contiguous parts along ``order_col``: ``len = round_half_even(N/n)``,
     part i holds rows ``[i*len, (i+1)*len)``; the tail that rounding leaves
     over joins the last part (the reference drops it).  Parts are 1-based."""
-    n = df.count()
-    size = max(1, part_length(n, n_parts))
     idx = with_row_index(df, order_col, "_ri")
+    size = max(1, part_length(idx.count(), n_parts))  # counted from the written table's footers
     part = F.least(F.floor(F.col("_ri") / F.lit(size)), F.lit(n_parts - 1)) + 1
     return idx.withColumn(out_col, part.cast("int")).drop("_ri")

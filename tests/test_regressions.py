@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shoppulse.operators import correlation as CO
 from shoppulse.operators import features as FE
 from shoppulse.operators import layout as L
+from shoppulse.operators import metrics as ME
 from shoppulse.operators import models as MO
 from shoppulse.operators import schema as SC
 from shoppulse.operators import text as T
@@ -93,8 +94,6 @@ def test_vocabulary_keeps_every_frequent_term(spark):
 
 def test_many_ranges_and_text_keys(spark):
     df = spark.range(6000).select((F.col("id") * 7919 % 6000).alias("k"))
-    many = L.range_bucket("k", list(range(0, 6000, 2)), "bigint")
-    assert df.select(F.sum(many)).first()[0] == sum(k // 2 + 1 for k in range(6000))
     words = spark.range(500).select(F.concat(F.lit("it's\\"), F.md5(F.col("id").cast("string"))).alias("k"))
     rows = {r.k: r.row_idx for r in L.with_row_index(words, "k", ranges=16).collect()}
     assert [rows[k] for k in sorted(rows)] == list(range(500))
@@ -102,6 +101,48 @@ def test_many_ranges_and_text_keys(spark):
     assert got == {k: k for k in range(6000)}
 
 
+def test_row_index_splits_repeated_rows_and_orders_nulls_first(spark):
+    rows = [(7, "same")] * 1500 + [(None, "n")] * 20 + [(k, f"v{k}") for k in range(1500)]
+    df = spark.createDataFrame(rows, "k long, v string").repartition(6)
+    out = sorted(L.with_row_index(df, "k", ranges=40).collect(), key=lambda r: r.row_idx)
+    assert [r.row_idx for r in out] == list(range(len(rows)))
+    assert [r.k for r in out] == [None] * 20 + sorted(k for k, _ in rows if k is not None)
+
+
+def test_prefix_sums_of_crowded_keys(spark):
+    """Most keys lie in a sliver of the span, so first-level cells are cut again."""
+    keys = sorted({1e-9 * k for k in range(3000)} | {-50.0, 1.0, 4e6, 4e6 + 1e-3})
+    df = spark.createDataFrame([(k, i % 7) for i, k in enumerate(keys)], "s double, n long").repartition(5)
+    spark.sparkContext.setJobGroup("prefix", "")
+    for inclusive in (False, True):
+        plan = L.prefix_sums(df, "s", ["n"], inclusive, cells=16, cell_rows=50)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("prefix") or inclusive
+        got = {r.s: r.n_before for r in plan.collect()}
+        total = 0
+        for i, k in enumerate(keys):
+            assert got[k] == total + (i % 7 if inclusive else 0)
+            total += i % 7
+    spark.sparkContext._jsc.clearJobGroup()
+    odd = spark.createDataFrame([(float("-inf"), 1), (2.0, 2), (float("inf"), 4), (float("nan"), 8)], "s double, n long")
+    assert sorted(r.n_before for r in L.prefix_sums(odd, "s", ["n"]).collect()) == [0, 1, 3, 7]
+    assert L.prefix_sums(odd.limit(0), "s", ["n"]).count() == 0
+
+
+def test_areas_equal_pair_counting_and_build_no_job(spark):
+    import random
+    rng = random.Random(8)
+    rows = [(rng.choice([0.5, 0.5, rng.random(), round(rng.random(), 1)]), int(rng.random() < .3)) for _ in range(700)]
+    df = spark.createDataFrame(rows, "s double, label int")
+    spark.sparkContext.setJobGroup("areas", "")
+    roc, pr = ME.auc_roc(df, "s"), ME.auc_pr(df, "s")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("areas")
+    spark.sparkContext._jsc.clearJobGroup()
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    want = sum((p > n) + .5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert roc.first().auc == pytest.approx(want, rel=1e-12)
+    assert pr.first().auc_pr == pytest.approx(ME.auc_evaluator(df, "s", metric="areaUnderPR"), rel=1e-9)
+
+
 def test_single_file_export_is_one_file_or_an_error(spark, tmpdir_path):
     sinks.save_single_csv(spark.range(10), tmpdir_path + "/one", max_rows=10)
     assert len(glob.glob(tmpdir_path + "/one/part-*")) == 1
