@@ -1,237 +1,315 @@
 """Correlation family: feature-pair correlations, item-pair correlations over
 shared vocabulary, signed correlation weights, weighted-score labelling.
 
-Pair statistics are computed as aggregate expressions in a single pass over
-the table (partial aggregation per task, one row at the end) and unpivoted
-inside Spark; no pair rows are generated from the data and no matrix travels
-through the driver.  The number of aggregate expressions grows with the
-number of column pairs, d(d-1)/2, which suits the reference's shapes (tens
-of features, a handful of SKUs).
+Pair statistics are blocked: columns (or items) are cut into blocks, every
+pair of blocks is a key, tasks combine what they see of a block pair into one
+partial result, and partial results are merged by key in streams.  No matrix
+of all pairs is ever one row or one task's, none passes through the driver,
+and the same route serves every width.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def sql_str(s: str) -> str:
-    """Spark SQL string literal."""
-    return "'" + str(s).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _q(c: str) -> str:
-    return "`" + c.replace("`", "``") + "`"
-
-
-def _pair_corr_sql(a: str, b: str) -> str:
-    """Pearson r over rows where both are non-null (pairwise complete);
-    null when either side has zero variance.  covar/(sd*sd): the (n-1)
-    factors cancel, and all three are Welford-stable built-ins."""
-    a, b = f"CAST({_q(a)} AS DOUBLE)", f"CAST({_q(b)} AS DOUBLE)"
-    x, y = f"CASE WHEN {b} IS NOT NULL THEN {a} END", f"CASE WHEN {a} IS NOT NULL THEN {b} END"
-    # the computed deviation of equal values need not be exactly 0
-    return (f"CASE WHEN min({x}) < max({x}) AND min({y}) < max({y}) THEN "
-            f"try_divide(covar_samp({a}, {b}), stddev_samp({x}) * stddev_samp({y})) END")
-
-
-def _explode_pairs(row: DataFrame, entries: list[str], names: tuple[str, str, str]) -> DataFrame:
-    a, b, v = names
-    arr = "explode(array(" + ", ".join(entries) + ")) AS e"
-    return row.selectExpr(arr).select("e.*").filter(F.col(v).isNotNull() & ~F.isnan(v))
+from shoppulse.operators.layout import with_row_index
+from shoppulse.session import written
+
+#: Columns in one block of feature pairs, and block pairs that one task holds.
+COLUMN_BLOCK, HELD_PAIRS = 48, 256
+#: Squared mean over variance from which a pair's deviations are computed again about its own mean.
+FAR = 1e5
+#: Items in one block of item pairs, and cells of a task's dense term x item matrix.
+ITEM_BLOCK, TERM_CELLS = 128, 1 << 21
+#: Partial results of a block pair are merged in this many streams first.
+STREAMS = 16
+
+
+def _fold(parts: DataFrame, merge, finish, schema: str) -> DataFrame:
+    """Merge the partial results ``(a, b, state)`` of every key (a, b).
+
+    Two passes, the first salted; in both a task reads its keys in order and
+    holds one state at a time, however many partial results a key has."""
+
+    def stream(batches):
+        key, held = None, None
+        for batch in batches:
+            for k, raw in zip(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()), batch.column("state")):
+                state = np.frombuffer(raw.as_buffer(), np.float64)
+                if k == key:
+                    held = merge(held, state)
+                    continue
+                if key is not None:
+                    yield key, held
+                key, held = k, state
+        if key is not None:
+            yield key, held
+
+    def halfway(batches):
+        for (a, b), state in stream(batches):
+            yield state_batch(a, b, state)
+
+    def whole(batches):
+        for (a, b), state in stream(batches):
+            yield from finish(a, b, state)
+
+    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(STREAMS)))
+    some = salted.repartition("a", "b", "salt").sortWithinPartitions("a", "b", "salt").drop("salt").mapInArrow(halfway, STATE)
+    return some.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(whole, schema)
+
+
+STATE = "a int, b int, state binary"
+
+
+def state_batch(a: int, b: int, state: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([a], pa.int32()), pa.array([b], pa.int32()), pa.array([np.ascontiguousarray(state).tobytes()], pa.binary())],
+        names=["a", "b", "state"])
+
+
+# -------------------------------------------------------------- feature pairs --
+
+#: Rows of a block pair's state, each a matrix: rows used, means, squared and
+#: cross deviations, smallest and largest values, non-finite values met.
+N, MEAN_A, MEAN_B, DEV_A, DEV_B, CROSS, LOW_A, LOW_B, HIGH_A, HIGH_B, BAD = range(11)
+
+
+def _moments(x: np.ndarray, there: np.ndarray, y: np.ndarray, here: np.ndarray) -> np.ndarray:
+    """State of all pairs of a column of ``x`` and one of ``y`` over their common non-null rows."""
+    finite_x, finite_y = np.isfinite(x) & there, np.isfinite(y) & here
+    mx, my = there.astype(float), here.astype(float)
+    # moments about the batch's own column means: small sums, little cancellation
+    centre = [np.divide(np.where(f, v, 0).sum(0), np.maximum(f.sum(0), 1)) for v, f in ((x, finite_x), (y, finite_y))]
+    cx, cy = np.where(finite_x, x - centre[0], 0.0), np.where(finite_y, y - centre[1], 0.0)
+    n = mx.T @ my
+    safe = np.maximum(n, 1)
+    sx, sy = cx.T @ my, mx.T @ cy
+    out = np.empty((11, x.shape[1], y.shape[1]))
+    out[N] = n
+    out[MEAN_A], out[MEAN_B] = sx / safe + centre[0][:, None], sy / safe + centre[1][None, :]
+    out[DEV_A], out[DEV_B] = (cx * cx).T @ my - sx * sx / safe, mx.T @ (cy * cy) - sy * sy / safe
+    out[CROSS] = cx.T @ cy - sx * sy / safe
+    # where the common rows lie far from the batch mean, digits were lost: centre those pairs on their own rows
+    far = (sx * sx > FAR * safe * out[DEV_A]) | (sy * sy > FAR * safe * out[DEV_B])
+    for i, j in zip(*np.nonzero(far)):
+        both = there[:, i] & here[:, j]
+        p, q = cx[both, i] - cx[both, i].mean(), cy[both, j] - cy[both, j].mean()
+        out[DEV_A, i, j], out[DEV_B, i, j], out[CROSS, i, j] = p @ p, q @ q, p @ q
+    out[BAD] = (there & ~finite_x).astype(float).T @ my + mx.T @ (here & ~finite_y).astype(float)
+    # smallest and largest values on common rows: rows with the same nulls share them
+    out[[LOW_A, LOW_B]], out[[HIGH_A, HIGH_B]] = np.inf, -np.inf
+    pattern, of = np.unique(np.packbits(np.hstack([there, here]), axis=1), axis=0, return_inverse=True)
+    order = np.argsort(of.ravel(), kind="stable")
+    begin = np.searchsorted(of.ravel()[order], np.arange(len(pattern)))
+    x, y = x[order], y[order]
+    low = [np.minimum.reduceat(v, begin, axis=0) for v in (x, y)]
+    high = [np.maximum.reduceat(v, begin, axis=0) for v in (x, y)]
+    for k, row in enumerate(order[begin]):
+        i, j = np.flatnonzero(there[row]), np.flatnonzero(here[row])
+        if len(i) and len(j):
+            cell = np.ix_(i, j)
+            for at, f, v in ((LOW_A, np.minimum, low[0][k][i][:, None]), (LOW_B, np.minimum, low[1][k][j][None, :]),
+                             (HIGH_A, np.maximum, high[0][k][i][:, None]), (HIGH_B, np.maximum, high[1][k][j][None, :])):
+                out[at][cell] = f(out[at][cell], v)
+    return out
+
+
+def _merge_moments(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Moments of the union of two sets of rows (parallel formula)."""
+    p, q = one.reshape(11, -1), two.reshape(11, -1)
+    n = p[N] + q[N]
+    share = q[N] / np.maximum(n, 1)
+    da, db = q[MEAN_A] - p[MEAN_A], q[MEAN_B] - p[MEAN_B]
+    weight = p[N] * share
+    return np.stack([n, p[MEAN_A] + da * share, p[MEAN_B] + db * share,
+                     p[DEV_A] + q[DEV_A] + da * da * weight, p[DEV_B] + q[DEV_B] + db * db * weight,
+                     p[CROSS] + q[CROSS] + da * db * weight,
+                     np.minimum(p[LOW_A], q[LOW_A]), np.minimum(p[LOW_B], q[LOW_B]),
+                     np.maximum(p[HIGH_A], q[HIGH_A]), np.maximum(p[HIGH_B], q[HIGH_B]), p[BAD] + q[BAD]]).ravel()
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
                names: tuple[str, str, str] = ("level_0", "level_1", "corr_value"),
-               both_directions: bool = True, pairs_per_pass: int = 256,
-               gram_min_cols: int = 17) -> DataFrame:
+               both_directions: bool = True, block: int = COLUMN_BLOCK) -> DataFrame:
     """Long table of column-pair correlations: no self pairs, undefined
     pairs dropped, both directions, sorted descending by value then names.
     Always pairwise complete (a pair uses the rows where both are non-null).
 
-    * Few columns: one aggregation pass with a Pearson expression per pair
-      (``pairs_per_pass`` bounds the expressions of one pass).
-    * Many columns (``>= gram_min_cols``): a null-masked Gram matrix -- each
-      task sums ``Z'Z`` for ``Z = [x, x^2, notnull]`` (x centred, nulls as 0)
-      with numpy over its Arrow batches and emits one row, Spark adds the
-      per-task matrices, and every pair's moments are read from blocks of
-      that single row by a Spark expression.  No aggregation grows with d^2
-      expressions and no matrix passes through the driver.
-    Expressions are passed as SQL text (parsed in the JVM) to keep planning
-    cheap."""
+    Every task keeps the co-moments of each pair (count, means, squared and
+    cross deviations, smallest and largest values, all on the common rows) and
+    merges them batch by batch with the parallel formula; Spark merges the
+    tasks' states by block pair.  A column that is constant on the common rows
+    is known exactly (smallest = largest) and gives no pair, nor does one with
+    a NaN or infinite value there.  A table too wide for one task's memory is
+    read once per ``HELD_PAIRS`` block pairs, each time only the columns
+    needed."""
     cols = list(cols)
-    pairs = list(combinations(range(len(cols)), 2))
-    a, b, v = names
-    spark = df.sparkSession
-    if not pairs:
-        return spark.createDataFrame([], f"{a} string, {b} string, {v} double")
-    if len(cols) >= gram_min_cols:
-        return gram_corr_pairs(df, cols, absolute, names, both_directions)
-    parts = []
-    for start in range(0, len(pairs), pairs_per_pass):
-        chunk = pairs[start:start + pairs_per_pass]
-        row = df.agg(*[F.expr(_pair_corr_sql(cols[i], cols[j])).alias(f"p{k}") for k, (i, j) in enumerate(chunk)])
-        entries = []
-        for k, (i, j) in enumerate(chunk):
-            val = f"abs(p{k})" if absolute else f"p{k}"
-            entries.append(f"named_struct('{a}', {sql_str(cols[i])}, '{b}', {sql_str(cols[j])}, '{v}', {val})")
-            if both_directions:
-                entries.append(f"named_struct('{a}', {sql_str(cols[j])}, '{b}', {sql_str(cols[i])}, '{v}', {val})")
-        parts.append(_explode_pairs(row, entries, names))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
-
-
-def gram_corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
-                    names: tuple[str, str, str] = ("level_0", "level_1", "corr_value"),
-                    both_directions: bool = True, labels: Sequence[str] | None = None) -> DataFrame:
-    """Pairwise-complete Pearson correlations of many columns from one
-    null-masked Gram matrix (see :func:`corr_pairs`).  ``labels`` renames the
-    columns in the output (e.g. item names)."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    cols = list(cols)
-    labels = list(labels) if labels is not None else cols
-    d = len(cols)
-    a, b, v = names
-    # centre by the column means (one cheap pass, d numbers): keeps the moment
-    # sums small so the closed form below does not cancel catastrophically
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{k}") for k, c in enumerate(cols)]).first()
-    mu = np.array([0.0 if means[k] is None else float(means[k]) for k in range(d)])
-    safe = [f"c{k}" for k in range(d)]
-
-    def task_gram(batches):
-        g = np.zeros((3 * d, 3 * d))
-        for pdf in batches:
-            x = pdf[safe].to_numpy(dtype=float) - mu
-            m = ~np.isnan(x)
-            x0 = np.where(m, x, 0.0)
-            z = np.hstack([x0, x0 * x0, m.astype(float)])
-            g += z.T @ z
-        yield pd.DataFrame({"g": [g.ravel()]})
-
-    src = df.select(*[F.col(c).cast("double").alias(safe[k]) for k, c in enumerate(cols)])
-    total = (src.mapInPandas(task_gram, "g array<double>")
-                .select(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g")))
-    w = 3 * d
-    g = F.col("g")
-
-    def at(r, c):  # element (r, c) of the row-major 3d x 3d matrix
-        return g[r * w + c]
-
-    def pair(k):
-        i, j = (k / d).cast("int"), (k % d).cast("int")
-        n = at(2 * d + i, 2 * d + j)
-        sx, sy = at(i, 2 * d + j), at(j, 2 * d + i)
-        sxx, syy = at(d + i, 2 * d + j), at(d + j, 2 * d + i)
-        sxy = at(i, j)
-        den = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
-        r = F.when((n >= 2) & (den > 0), (n * sxy - sx * sy) / den)
-        return F.struct(i.alias("_i"), j.alias("_j"), (F.abs(r) if absolute else r).alias(v))
-
-    lab = F.array(*[F.lit(x) for x in labels])
-    out = (total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(d * d - 1)), pair)).alias("e"))
-                .select("e.*").filter((F.col("_i") != F.col("_j")) & F.col(v).isNotNull() & ~F.isnan(v)))
-    if not both_directions:
-        out = out.filter(F.col("_i") < F.col("_j"))
-    out = out.select(lab[F.col("_i")].alias(a), lab[F.col("_j")].alias(b), F.col(v))
-    return out.orderBy(F.col(v).desc(), F.col(a), F.col(b))
-
+    blocks = [list(range(i, min(i + block, len(cols)))) for i in range(0, len(cols), block)]
+    pairs = [(a, b) for a in range(len(blocks)) for b in range(a, len(blocks))]
+    a_name, b_name, value = names
+    schema = f"`{a_name}` string, `{b_name}` string, `{value}` double"
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], schema)
+
+    def task(chunk, used):
+        def run(batches):
+            held = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = {k: batch.column(f"c{k}") for k in used}
+                there = {k: np.ones(batch.num_rows, bool) if not v.null_count else v.is_valid().to_numpy(zero_copy_only=False)
+                         for k, v in x.items()}
+                x = {k: v.fill_null(0.0).to_numpy(zero_copy_only=False) for k, v in x.items()}
+                for a, b in chunk:
+                    one, two = ((np.stack([x[k] for k in blocks[s]], 1), np.stack([there[k] for k in blocks[s]], 1)) for s in (a, b))
+                    new = _moments(*one, *two).ravel()
+                    held[a, b] = _merge_moments(held[a, b], new) if (a, b) in held else new
+            for (a, b), state in held.items():
+                yield state_batch(a, b, state)
+        return run
+
+    parts = None
+    for start in range(0, len(pairs), HELD_PAIRS):
+        chunk = pairs[start:start + HELD_PAIRS]
+        used = sorted({k for p in chunk for s in p for k in blocks[s]})
+        part = df.select(*[F.col(cols[k]).cast("double").alias(f"c{k}") for k in used]).mapInArrow(task(chunk, used), STATE)
+        parts = part if parts is None else parts.unionAll(part)
+
+    def finish(a, b, state):
+        s = state.reshape(11, len(blocks[a]), len(blocks[b]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = s[CROSS] / np.sqrt(s[DEV_A] * s[DEV_B])
+        ok = (s[N] >= 2) & (s[LOW_A] < s[HIGH_A]) & (s[LOW_B] < s[HIGH_B]) & (s[BAD] == 0) & ~np.isnan(r)
+        if a == b:
+            ok &= np.triu(np.ones(ok.shape, bool), 1)
+        i, j = np.nonzero(ok)
+        left, right, r = [cols[blocks[a][k]] for k in i], [cols[blocks[b][k]] for k in j], r[i, j]
+        r = np.abs(r) if absolute else r
+        if both_directions:
+            left, right, r = left + right, right + left, np.concatenate([r, r])
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(r)], names=list(names))
+
+    return _fold(parts, _merge_moments, finish, schema).orderBy(F.col(value).desc(), F.col(a_name), F.col(b_name))
+
+
+# ----------------------------------------------------------------- item pairs --
 
 def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
-                     items: Sequence[str] | None = None,
                      names: tuple[str, str, str] = ("SKU1", "SKU2", "correlation"),
-                     gram_min_items: int = 33) -> DataFrame:
+                     block: int = ITEM_BLOCK, cells: int = TERM_CELLS) -> DataFrame:
     """Pearson correlation of every item pair over their term-count vectors
     (0 for a term an item never uses; one observation per distinct term):
     ``r = (V*Sxy - Sx*Sy) / sqrt((V*Sxx - Sx^2) * (V*Syy - Sy^2))``.
 
-    The term x item matrix is one ``groupBy(term)`` of the pre-aggregated
-    counts with one conditional sum per item, so a term shared by every item
-    stays one row and no item pairs are generated per term.  The moments are
-    one ``X'X`` per task (numpy over Arrow batches, exact for integer counts
-    below 2^53, never overflowing) added up by Spark, and the pair formula is
-    evaluated on that single row inside Spark.
-
-    With ``gram_min_items`` items or more, each term row becomes a dense
-    count vector (built from its bounded list of (item, count) entries) and
-    Spark ML's Pearson matrix (one tree-aggregated Gram) replaces the pair
-    expressions."""
-    agg = counts.groupBy(item, term).agg(F.sum(n).cast("bigint").alias("_n"))
-    if items is None:
-        # the matrix's column set: one name per item (bounded by the item count)
-        items = sorted(r[0] for r in agg.select(item).distinct().collect())
-    items = list(items)
-    d = len(items)
-    a, b, v = names
-    if d < 2:
-        return counts.sparkSession.createDataFrame([], f"{a} string, {b} string, {v} double")
-    if d >= gram_min_items:
-        return _item_correlation_gram(agg, item, term, items, names)
-    it = _q(item)
-    wide = agg.groupBy(term).agg(*[
-        F.expr(f"sum(CASE WHEN {it} = {sql_str(x)} THEN _n ELSE 0 END)").alias(f"i{k}") for k, x in enumerate(items)])
-    mom = _raw_moments(wide, [f"i{k}" for k in range(d)])
-    V, g = F.col("V"), F.col("g")
-
-    def pair(k):
-        i, j = (k / d).cast("int"), (k % d).cast("int")
-        sx, sy = g[d * d + i], g[d * d + j]
-        sxx, syy, sxy = g[i * d + i], g[j * d + j], g[i * d + j]
-        den = F.sqrt((V * sxx - sx * sx) * (V * syy - sy * sy))
-        r = F.try_divide(V * sxy - sx * sy, den)
-        return F.struct(i.alias("_i"), j.alias("_j"), r.alias(v))
-
-    lab = F.array(*[F.lit(str(x)) for x in items])
-    out = (mom.select("V", F.explode(F.transform(F.sequence(F.lit(0), F.lit(d * d - 1)), pair)).alias("e"))
-              .select("e.*").filter((F.col("_i") != F.col("_j")) & F.col(v).isNotNull()))
-    return out.select(lab[F.col("_i")].alias(a), lab[F.col("_j")].alias(b), F.col(v)) \
-              .orderBy(F.col(v).desc(), F.col(a), F.col(b))
-
-
-def _raw_moments(wide: DataFrame, cols: list[str]) -> DataFrame:
-    """One row ``(V, g)``: row count and the raw moments of the count
-    columns -- ``g[i*d + j] = sum x_i x_j`` followed by ``sum x_i`` -- summed
-    per task with numpy (``X'X``) over Arrow batches and added up by Spark.
-    The counts are integers, so every product and partial sum is exact in
-    double while below 2^53 (the order of additions does not matter), and
-    nothing overflows beyond that."""
-    import numpy as np
-    import pandas as pd
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    d = len(cols)
-
-    def task_moments(batches):
-        g = np.zeros(d * d + d + 1)
-        for pdf in batches:
-            x = pdf[cols].to_numpy(dtype=float)
-            g[:d * d] += (x.T @ x).ravel()
-            g[d * d:d * d + d] += x.sum(axis=0)
-            g[-1] += len(x)
-        yield pd.DataFrame({"g": [g]})
-
-    parts = wide.select(*cols).mapInPandas(task_moments, "g array<double>")
-    return (parts.select(vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("g"))
-                 .select(F.col("g")[d * d + d].alias("V"), "g"))
-
-
-def _item_correlation_gram(agg: DataFrame, item: str, term: str, items: list, names) -> DataFrame:
-    d = len(items)
-    idx = agg.join(F.broadcast(agg.sparkSession.createDataFrame(
-        [(x, k) for k, x in enumerate(items)], f"{item} string, _i int")), item)  # one row per item
-    per_term = idx.groupBy(term).agg(F.map_from_entries(F.collect_list(
-        F.struct("_i", F.col("_n").cast("double")))).alias("_m"))  # at most d entries per term
-    dense = per_term.select(*[F.coalesce(F.col("_m")[k], F.lit(0.0)).alias(f"x{k}") for k in range(d)])
-    return gram_corr_pairs(dense, [f"x{k}" for k in range(d)], absolute=False, names=names,
-                           labels=[str(x) for x in items])
+    A blocked Gram product: items are numbered inside Spark and their vectors
+    cut into blocks of ``block`` items.  Tasks read the counts term by term;
+    for a batch of terms (at most ``cells`` matrix cells) they add up the
+    product of every two blocks that share a term, so a term of every item
+    costs one row of the matrix and no item pairs.  Partial products are summed
+    by block pair, exact for integer counts below 2^53 and in double, so a hot
+    term cannot overflow.  Block pairs without a common term have product 0.
+    Pairs with an item of constant counts are undefined and dropped."""
+    a_name, b_name, value = names
+    agg = counts.groupBy(F.col(item).cast("string").alias("item"), F.col(term).alias("term")).agg(F.sum(n).cast("double").alias("n"))
+    agg = written(agg.filter("item IS NOT NULL AND term IS NOT NULL"))
+    per_item = agg.groupBy("item").agg(F.sum("n").alias("sx"), F.sum(F.col("n") * F.col("n")).alias("sxx"))
+    items = written(with_row_index(per_item, "item", "i"))
+    top = items.count()
+    terms = agg.agg(F.count_distinct("term").cast("double").alias("V"))
+    last = (top - 1) // block
+    at = agg.join(items.select("item", "i"), "item").select(
+        "term", F.floor(F.col("i") / block).cast("int").alias("b"), (F.col("i") % block).cast("int").alias("k"), "n")
+
+    def products(batches):
+        held = {}
+        most = max(1, cells // max(top, 1))  # terms in one batch
+
+        def add(rows):
+            term, b, k, n = rows  # ordered by term
+            row = np.concatenate([[0], np.cumsum(term[1:] != term[:-1])]).astype(int)
+            order = np.argsort(b, kind="stable")
+            row, b, k, n = row[order], b[order], k[order], n[order]
+            here, begin = np.unique(b, return_index=True)
+            used = []
+            for x, lo, hi in zip(here.tolist(), begin, [*begin[1:], len(b)]):
+                full = np.zeros((row.max() + 1, block))
+                full[row[lo:hi], k[lo:hi]] = n[lo:hi]
+                used.append((x, full, np.bincount(row[lo:hi], minlength=len(full)) > 0))
+            for p, (a, x, mx) in enumerate(used):
+                for c, y, my in used[p:]:
+                    both = mx & my
+                    if both.any():
+                        product = x[both].T @ y[both]
+                        held[a, c] = held[a, c] + product if (a, c) in held else product
+
+        def flush():
+            for (a, c), product in held.items():
+                yield state_batch(a, c, product)
+            held.clear()
+
+        def cut(rows, upto):
+            return [x[:upto] for x in rows], [x[upto:] for x in rows]
+
+        rest = None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("term", "b", "k", "n")]
+            rest = rows if rest is None else [np.concatenate(z) for z in zip(rest, rows)]
+            while len(rest[0]):
+                change = np.flatnonzero(rest[0][1:] != rest[0][:-1]) + 1  # a term begins
+                if len(change) < most:
+                    break
+                now, rest = cut(rest, change[most - 1])
+                add(now)
+                if len(held) > HELD_PAIRS:
+                    yield from flush()
+        if rest is not None and len(rest[0]):
+            add(rest)
+        yield from flush()
+
+    dealt = at.repartition("term").sortWithinPartitions("term", "b")
+    parts = dealt.mapInArrow(products, STATE)
+    schema = f"`{a_name}` string, `{b_name}` string, `{value}` double"
+
+    def total(a, b, state):
+        yield state_batch(a, b, state)
+
+    gram = _fold(parts, np.add, total, STATE)
+    tables = items.groupBy(F.floor(F.col("i") / block).cast("int").alias("b")).agg(
+        F.sort_array(F.collect_list(F.struct("i", "item", "sx", "sxx"))).alias("of"))  # ``block`` items a row
+    grid = tables.withColumn("c", F.explode(F.sequence("b", F.lit(max(last, 0)).cast("int")))) if top else tables.withColumn("c", F.col("b"))
+    right = tables.select(F.col("b").alias("c"), F.col("of").alias("with"))
+    every = (grid.join(right, "c").join(gram.select(F.col("a").alias("b"), F.col("b").alias("c"), "state"), ["b", "c"], "left")
+             .crossJoin(F.broadcast(terms)))  # one row
+
+    def pairs(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                b, c, V = (batch.column(x)[r].as_py() for x in ("b", "c", "V"))
+                one, two = batch.column("of")[r].values, batch.column("with")[r].values
+                (nx, sx, sxx), (ny, sy, syy) = ((t.field("item"), *(t.field(f).to_numpy() for f in ("sx", "sxx"))) for t in (one, two))
+                raw = batch.column("state")[r]
+                full = np.frombuffer(raw.as_buffer(), np.float64).reshape(block, block) if raw.is_valid else np.zeros((block, block))
+                sxy = full[:len(sx), :len(sy)]
+                den = np.sqrt(np.outer(V * sxx - sx * sx, V * syy - sy * sy))
+                ok = den > 0
+                if b == c:
+                    ok &= ~np.eye(len(sx), dtype=bool)
+                i, j = np.nonzero(ok)
+                v = pa.array((V * sxy[i, j] - sx[i] * sy[j]) / den[i, j])
+                left, right = nx.take(pa.array(i)), ny.take(pa.array(j))
+                yield pa.RecordBatch.from_arrays([left, right, v], names=list(names))
+                if b != c:
+                    yield pa.RecordBatch.from_arrays([right, left, v], names=list(names))
+
+    out = every.select("b", "c", "of", "with", "state", "V").mapInArrow(pairs, schema)
+    return out.orderBy(F.col(value).desc(), F.col(a_name), F.col(b_name))
 
 
 # ------------------------------------------------------------ signed weights --

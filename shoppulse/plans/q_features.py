@@ -205,18 +205,26 @@ def _corr_pairs_sql(table: str, cols, absolute=True) -> str:
     parts = []
     for i, a in enumerate(cols):
         for b in cols[i + 1:]:
-            v = f"corr({a}, {b})"
+            # the deviation of equal values need not come out as 0
+            varies = " AND ".join(f"min({x}) FILTER ({y} IS NOT NULL) < max({x}) FILTER ({y} IS NOT NULL)" for x, y in ((a, b), (b, a)))
+            v = f"CASE WHEN {varies} THEN corr({a}, {b}) END"
             v = f"abs({v})" if absolute else v
             parts.append(f"SELECT '{a}' AS level_0, '{b}' AS level_1, {v} AS corr_value FROM {table}")
             parts.append(f"SELECT '{b}' AS level_0, '{a}' AS level_1, {v} AS corr_value FROM {table}")
     return "(SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE corr_value IS NOT NULL AND NOT isnan(corr_value))"
 
 
+# ``capped`` is null on some rows, and ``fixed`` is constant on all others
+LI_DERIVED = {"capped": "CASE WHEN l_discount > 0.05 THEN l_tax END",
+              "fixed": "CASE WHEN l_discount > 0.05 THEN 123456.789 ELSE l_quantity END"}
+LI_TABLE = "(SELECT *, " + ", ".join(f"{x} AS {c}" for c, x in LI_DERIVED.items()) + " FROM lineitem)"
+
+
 @query("corr_pairs", f"SELECT level_0, level_1, round(corr_value, 6) AS corr_value FROM "
-                     f"{_corr_pairs_sql('lineitem', LI_COLS)}")
+                     f"{_corr_pairs_sql(LI_TABLE, LI_COLS + list(LI_DERIVED))}")
 def corr_pairs(spark, sf_dir):
-    li = FX.table(spark, sf_dir, "lineitem")
-    out = C.corr_pairs(li, LI_COLS)
+    li = FX.table(spark, sf_dir, "lineitem").selectExpr(*LI_COLS, *[f"{x} AS {c}" for c, x in LI_DERIVED.items()])
+    out = C.corr_pairs(li, li.columns)
     return out.select("level_0", "level_1", F.round("corr_value", 6).alias("corr_value"))
 
 
@@ -236,11 +244,7 @@ def item_correlation(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents")
     toks = tokenize(docs.select("source", "text"), "source", "text")
     counts = toks.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
-    # the item list (one name per source) from a cheap pass -- sources with at
-    # least one token -- instead of a second run of the tokenizer
-    has_token = F.lower(F.col("text")).rlike(FX.WORD_PATTERN)
-    items = sorted(r[0] for r in docs.filter(has_token).select("source").distinct().collect())
-    out = C.item_correlation(counts, "source", "word", "n", items=items)
+    out = C.item_correlation(counts, "source", "word", "n")
     return out.select("SKU1", "SKU2", F.round("correlation", 6).alias("correlation"))
 
 

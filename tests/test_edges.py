@@ -309,18 +309,6 @@ def test_spread_keeps_rows(spark):
     assert out.rdd.getNumPartitions() == 4 and out.count() == 100
 
 
-def test_corr_pairs_paths_agree(spark):
-    cols = [f"c{i}" for i in range(20)]
-    df = spark.range(3000).select(*[(F.rand(i) + (F.col("id") % 5) * (i % 4)).alias(c) for i, c in enumerate(cols)])
-    df = df.cache()
-    gram = {(r.level_0, r.level_1): r.corr_value for r in C.corr_pairs(df, cols).collect()}
-    exact = {(r.level_0, r.level_1): r.corr_value
-             for r in C.corr_pairs(df, cols, gram_min_cols=1000, pairs_per_pass=50).collect()}
-    assert set(gram) == set(exact) and len(gram) == 20 * 19
-    for k, val in exact.items():
-        assert math.isclose(gram[k], val, rel_tol=1e-7, abs_tol=1e-9), k
-
-
 def test_join_frequency_full_outer(spark):
     tokens = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "id long, word string")
     freq = spark.createDataFrame([("a", 2), ("b", 1), ("z", 9)], "word string, frequency long")
@@ -328,33 +316,6 @@ def test_join_frequency_full_outer(spark):
     assert got == [("a", 1, 2), ("a", 2, 2), ("b", 2, 1), ("z", None, 9)]
 
 
-def test_corr_pairs_masked_gram_matches_exact(spark):
-    cols = [f"c{i}" for i in range(18)]
-    base = spark.range(2000).select(*[(F.rand(i) * 100 + 1e4 + (F.col("id") % 5) * (i % 4)).alias(c)
-                                      for i, c in enumerate(cols)])
-    df = base.withColumn("c0", F.when(F.col("c1") > 1e4 + 50, F.col("c0"))) \
-             .withColumn("c5", F.when(F.col("c2") < 1e4 + 70, F.col("c5"))).cache()
-    got = {(r.level_0, r.level_1): r.corr_value for r in C.corr_pairs(df, cols).collect()}
-    exact = {(r.level_0, r.level_1): r.corr_value
-             for r in C.corr_pairs(df, cols, gram_min_cols=1000, pairs_per_pass=60).collect()}
-    assert set(got) == set(exact)
-    for k, val in exact.items():
-        assert math.isclose(got[k], val, rel_tol=1e-7, abs_tol=1e-9), k
-
-
-def test_item_correlation_gram_matches_exact(spark):
-    import random as _r
-    rnd = _r.Random(5)
-    rows = [(f"s{i}", f"w{j}", rnd.randint(1, 9)) for i in range(6) for j in range(40) if rnd.random() < 0.6]
-    df = spark.createDataFrame(rows, "item string, term string, n long")
-    exact = {(r.SKU1, r.SKU2): r.correlation for r in C.item_correlation(df, "item", "term").collect()}
-    gram = {(r.SKU1, r.SKU2): r.correlation
-            for r in C.item_correlation(df, "item", "term", gram_min_items=2).collect()}
-    assert set(exact) == set(gram) and len(exact) == 30
-    for k, v in exact.items():
-        assert math.isclose(gram[k], v, rel_tol=1e-9, abs_tol=1e-12), k
-
-
 def test_topic_overlap_and_share(spark):
     from shoppulse.operators import topics as TP
     rows = [(1, 1, "a", 0.1), (1, 2, "b", 0.1), (2, 1, "b", 0.1), (2, 2, "c", 0.1),

@@ -23,7 +23,7 @@ def _with_constant(spark, width):
     return spark.range(0, 3001, 1, 7).select(*cols)
 
 
-@pytest.mark.parametrize("width", [4, 16, 17])
+@pytest.mark.parametrize("width", [4, 17])
 def test_constant_column_has_no_correlation(spark, width):
     df = _with_constant(spark, width)
     pairs = CO.corr_pairs(df, df.columns).collect()
