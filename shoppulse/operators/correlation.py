@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoppulse.operators.blocks import STATE, fold, state_batch
 from shoppulse.operators.layout import with_row_index
 from shoppulse.session import written
 
@@ -26,50 +27,6 @@ COLUMN_BLOCK, HELD_PAIRS = 48, 256
 FAR = 1e5
 #: Items in one block of item pairs, and cells of a task's dense term x item matrix.
 ITEM_BLOCK, TERM_CELLS = 128, 1 << 21
-#: Partial results of a block pair are merged in this many streams first.
-STREAMS = 16
-
-
-def _fold(parts: DataFrame, merge, finish, schema: str) -> DataFrame:
-    """Merge the partial results ``(a, b, state)`` of every key (a, b).
-
-    Two passes, the first salted; in both a task reads its keys in order and
-    holds one state at a time, however many partial results a key has."""
-
-    def stream(batches):
-        key, held = None, None
-        for batch in batches:
-            for k, raw in zip(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()), batch.column("state")):
-                state = np.frombuffer(raw.as_buffer(), np.float64)
-                if k == key:
-                    held = merge(held, state)
-                    continue
-                if key is not None:
-                    yield key, held
-                key, held = k, state
-        if key is not None:
-            yield key, held
-
-    def halfway(batches):
-        for (a, b), state in stream(batches):
-            yield state_batch(a, b, state)
-
-    def whole(batches):
-        for (a, b), state in stream(batches):
-            yield from finish(a, b, state)
-
-    salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(STREAMS)))
-    some = salted.repartition("a", "b", "salt").sortWithinPartitions("a", "b", "salt").drop("salt").mapInArrow(halfway, STATE)
-    return some.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(whole, schema)
-
-
-STATE = "a int, b int, state binary"
-
-
-def state_batch(a: int, b: int, state: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([a], pa.int32()), pa.array([b], pa.int32()), pa.array([np.ascontiguousarray(state).tobytes()], pa.binary())],
-        names=["a", "b", "state"])
 
 
 # -------------------------------------------------------------- feature pairs --
@@ -196,7 +153,7 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
         if len(r):
             yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(r)], names=list(names))
 
-    return _fold(parts, _merge_moments, finish, schema).orderBy(F.col(value).desc(), F.col(a_name), F.col(b_name))
+    return fold(parts, _merge_moments, finish, schema).orderBy(F.col(value).desc(), F.col(a_name), F.col(b_name))
 
 
 # ----------------------------------------------------------------- item pairs --
@@ -280,7 +237,7 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     def total(a, b, state):
         yield state_batch(a, b, state)
 
-    gram = _fold(parts, np.add, total, STATE)
+    gram = fold(parts, np.add, total, STATE)
     tables = items.groupBy(F.floor(F.col("i") / block).cast("int").alias("b")).agg(
         F.sort_array(F.collect_list(F.struct("i", "item", "sx", "sxx"))).alias("of"))  # ``block`` items a row
     grid = tables.withColumn("c", F.explode(F.sequence("b", F.lit(max(last, 0)).cast("int")))) if top else tables.withColumn("c", F.col("b"))

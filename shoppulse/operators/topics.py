@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoppulse.operators.layout import with_row_index
+from shoppulse.session import written
+
 
 def doc_term_matrix(tokens: DataFrame, doc_col: str, term_col: str = "word", min_df: int = 5,
                     drop_digits: bool = True) -> DataFrame:
@@ -26,66 +29,59 @@ def doc_term_matrix(tokens: DataFrame, doc_col: str, term_col: str = "word", min
     return counts.join(keep.select(term_col), on=term_col, how="inner").select(doc_col, term_col, "n")
 
 
-def count_vectors(docs: DataFrame, doc_col: str, terms_col: str, min_df: int = 5,
-                  vocab_size: int | None = None):
-    """Sparse count vectors per document with Spark ML ``CountVectorizer``
-    (``minDF`` documents per term) from a per-document term array -- the
-    tokenizer's own output row, so no shuffle regroups tokens by document.
-    The vocabulary holds every term with ``min_df`` documents: they are counted
-    first, unless ``vocab_size`` bounds them on purpose.
-    Returns ``(vectors DataFrame(doc, tf), fitted CountVectorizerModel)``."""
-    from pyspark.ml.feature import CountVectorizer
-    if vocab_size is None:
-        terms = docs.select(F.explode(F.array_distinct(terms_col)).alias("t")).groupBy("t").count()
-        vocab_size = max(1, terms.filter(F.col("count") >= min_df).count())
-    cv = CountVectorizer(inputCol=terms_col, outputCol="tf", minDF=float(min_df), vocabSize=vocab_size).fit(docs)
-    return cv.transform(docs).select(doc_col, "tf"), cv
-
-
-def term_arrays(df: DataFrame, doc_col: str, text_col: str, stopwords=None) -> DataFrame:
-    """``(doc, terms)``: the word array of each document (stop words removed),
-    computed in a narrow projection."""
-    from shoppulse.functions.text import words
-    from shoppulse.session import spread
-    arr = words(text_col)
-    if stopwords:
-        stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
-        arr = F.filter(arr, lambda w: ~F.array_contains(stop, w))
-    return spread(df).select(F.col(doc_col), arr.alias("terms"))
-
-
-def fit_topics(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 10, optimizer: str = "online"):
-    """Spark ML LDA (``k >= 2``); every iteration of the online optimiser reads
-    all documents (its default would sample 5 % of them), the EM one checkpoints its graph into the
-    session's checkpoint folder."""
+def term_index(counts: DataFrame, term_col: str = "word", n_col: str = "n") -> DataFrame:
+    """``(term, term_index)``: the distinct terms of a long count table
+    numbered 0, 1, .. in term order, inside Spark (one range-partitioned,
+    written table; no vocabulary on the driver)."""
+    terms = counts.filter(F.col(n_col) > 0).groupBy(F.col(term_col).alias("term")).agg(F.count(F.lit(1)).alias("_df"))
+    return written(with_row_index(terms.select("term"), "term", "term_index"))
+
+
+def count_vectors(counts: DataFrame, doc_col: str, term_col: str = "word", n_col: str = "n"):
+    """Sparse count vectors per document from a long count table
+    ``(doc, term, n)`` with unique (doc, term), such as
+    :func:`doc_term_matrix`.  Returns ``(vectors DataFrame(doc, tf),
+    vocabulary DataFrame(term, term_index))``.
+
+    The terms are numbered in Spark and joined to the counts; a document's row
+    is bounded by its own distinct terms.  The vectors are written once in the
+    stored form of Spark ML's sparse vectors and read back as such, so every
+    pass of an iterative fit is a plain scan."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
+    vocab = term_index(counts, term_col, n_col)
+    size = vocab.count()
+    entry = F.struct(F.col("term_index").cast("int").alias("i"), F.col(n_col).cast("double").alias("v"))
+    rows = (counts.join(vocab, F.col(term_col) == F.col("term"))
+            .groupBy(doc_col).agg(F.sort_array(F.collect_list(entry)).alias("e")))
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),  # type 0: sparse
+                      F.col("e.i").alias("indices"), F.col("e.v").alias("values"))
+    schema = StructType([rows.schema[doc_col], StructField("tf", VectorUDT())])
+    return written(rows.select(doc_col, stored.alias("tf")), schema), vocab
+
+
+def fit_topics(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 10, optimizer: str = "em"):
+    """Spark ML LDA (``k >= 2``) over every document in each iteration.
+
+    The default EM optimiser keeps the topic counts of terms and documents as
+    vertices of a graph on the executors and only k totals on the driver, so
+    neither memory nor traffic of the driver grows with the vocabulary.  It
+    checkpoints into the session's checkpoint folder.  ``online`` is Spark's
+    variational optimiser (rate 1: all documents), whose term x topic matrix
+    does pass through the driver; use it for small vocabularies."""
     from pyspark.ml.clustering import LDA
     from shoppulse.session import checkpoint_dir
     if k < 2:
         raise ValueError("k must be >= 2")
     if optimizer == "em":
         checkpoint_dir(vectors.sparkSession)
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="tf",
-              subsamplingRate=1.0)
-    # every iteration samples the corpus again: keep the vectors materialised
-    # during the fit instead of re-tokenising per iteration
-    cached = vectors.storageLevel.useMemory or vectors.storageLevel.useDisk
-    data = vectors if cached else vectors.persist()
-    try:
-        return lda.fit(data)
-    finally:
-        if not cached:
-            data.unpersist()
-
-
-def vocabulary_frame(spark, cv_model) -> DataFrame:
-    """``(term_index, term)`` from the fitted vocabulary (a model parameter)."""
-    from pyspark.sql import Row
-    return spark.createDataFrame([Row(term_index=i, term=t) for i, t in enumerate(cv_model.vocabulary)])
+    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="tf")
+    return (lda.setSubsamplingRate(1.0) if optimizer == "online" else lda).fit(vectors)
 
 
 def topic_terms(lda_model, vocab: DataFrame, n: int = 200) -> DataFrame:
     """``(topic, rank, term, weight)``: the n heaviest terms of each topic
-    (topics and ranks 1-based)."""
+    (topics and ranks 1-based); ``vocab(term, term_index)`` stays in Spark."""
     t = lda_model.describeTopics(n)
     ex = t.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "tw"))
     ex = ex.select((F.col("topic") + 1).alias("topic"), (F.col("pos") + 1).alias("rank"),

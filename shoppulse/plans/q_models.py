@@ -16,17 +16,20 @@ from shoppulse.operators import text as T
 from shoppulse.operators import topics as TP
 from shoppulse.plans import fixtures as FX
 from shoppulse.plans.catalog import query
-from shoppulse.session import cut_lineage
+from shoppulse.session import written
 
 # The reference's rule thresholds.
 MIN_SUPPORT, MIN_CONFIDENCE = 0.003, 0.005
 
 
-def _brand_rules(spark, sf_dir):
+def _brands(spark, sf_dir):
     li = FX.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = FX.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    items = li.join(part, li.l_partkey == part.p_partkey).select("l_orderkey", "p_brand")
-    _, rules = R.association_rules(items, "l_orderkey", "p_brand", MIN_SUPPORT, MIN_CONFIDENCE)
+    return li.join(part, li.l_partkey == part.p_partkey).select("l_orderkey", "p_brand")
+
+
+def _brand_rules(spark, sf_dir):
+    _, rules = R.association_rules(_brands(spark, sf_dir), "l_orderkey", "p_brand", MIN_SUPPORT, MIN_CONFIDENCE)
     t = R.rules_table(rules)
     return t.select("antecedent", "consequent", "lhs_size", *[F.round(c, 6).alias(c)
                                                               for c in ("support", "confidence", "lift")])
@@ -48,7 +51,9 @@ WHERE s2.c >= m AND s2.c / sx.c >= """ + str(MIN_CONFIDENCE)
 @query("pair_rules", f"WITH {_RULE_BASE} {_PAIR_SELECT}")
 def pair_rules(spark, sf_dir):
     """Rules with one item on each side (basket = order, item = brand)."""
-    return _brand_rules(spark, sf_dir).filter(F.col("lhs_size") == 1)
+    rules = R.pair_rules(_brands(spark, sf_dir), "l_orderkey", "p_brand", MIN_SUPPORT, MIN_CONFIDENCE)
+    return rules.select("antecedent", "consequent", F.lit(1).alias("lhs_size"),
+                        *[F.round(c, 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
 def _rules_sql(max_len: int = 5) -> str:
@@ -214,8 +219,9 @@ def remove_mislabelled(spark, sf_dir):
 def _vectors(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents")
     toks = T.tokenize(docs, "doc_id", "text", stopwords=FX.STOP_WORDS)
-    vec, cv = TP.count_vectors(TP.term_arrays(docs, "doc_id", "text", FX.STOP_WORDS), "doc_id", "terms", min_df=5)
-    return toks, vec, TP.vocabulary_frame(spark, cv)
+    counts = TP.doc_term_matrix(toks, "doc_id", "word", min_df=5)
+    vec, vocab = TP.count_vectors(written(counts), "doc_id")  # written: numbered and joined
+    return toks, vec, vocab
 
 
 @query("topic_terms")
@@ -227,9 +233,7 @@ def topic_terms(spark, sf_dir):
 @query("topic_separation")
 def topic_separation(spark, sf_dir):
     _, vec, vocab = _vectors(spark, sf_dir)
-    # nine fits read the same vectors: cut the lineage once into the shared
-    # checkpoint folder, so a lost executor does not re-tokenise the corpus
-    return TP.topic_separation(cut_lineage(vec), vocab, range(2, 11), 50, seed=0)
+    return TP.topic_separation(vec, vocab, range(2, 11), 50, seed=0)  # nine fits read the written vectors
 
 
 @query("topic_share")

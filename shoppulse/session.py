@@ -77,16 +77,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, read_as=None) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     Like a reliable checkpoint, but column-pruned on reading; the files
     survive the loss of any executor, and what a partition numbered itself
-    (ids, places) is fixed once it is written."""
+    (ids, places) is fixed once it is written.  ``read_as`` is a schema of the
+    same stored form, such as vectors written as their parts."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(read_as or df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

@@ -67,4 +67,5 @@ def test_topics_read_every_document_in_each_iteration(spark):
     from pyspark.ml.linalg import Vectors
     from shoppulse.operators import topics
     vectors = spark.createDataFrame([(k, Vectors.dense([1.0 + k % 2, 1.0])) for k in range(20)], ["doc", "tf"])
-    assert topics.fit_topics(vectors, 2, max_iter=2).getSubsamplingRate() == 1.0
+    assert topics.fit_topics(vectors, 2, max_iter=2, optimizer="online").getSubsamplingRate() == 1.0
+    assert topics.fit_topics(vectors, 2, max_iter=2).isDistributed()

@@ -87,9 +87,33 @@ def test_stop_lists_treat_null_terms_alike(spark):
         assert {r.word for r in T.drop_terms(df, w).collect()} == {"b"}
 
 
-def test_vocabulary_keeps_every_frequent_term(spark):
-    docs = spark.range(3).select("id", F.transform(F.sequence(F.lit(0), F.lit(299_999)), lambda k: k.cast("string")).alias("terms"))
-    assert len(TO.count_vectors(docs, "id", "terms", min_df=2)[1].vocabulary) == 300_000
+def test_three_million_terms_never_meet_the_driver(spark):
+    """The vocabulary is numbered, joined and fitted on the executors."""
+    n = 3_000_000
+    words = spark.range(n).select(F.concat(F.lit("w"), "id").alias("word"), F.col("id"))
+    counts = words.select((F.col("id") % 40).alias("doc_id"), "word", F.lit(1).alias("n")).union(
+        words.filter("id < 90").select((F.col("id") % 40 + 40).alias("doc_id"), "word", F.lit(2).alias("n")))
+    vec, vocab = TO.count_vectors(counts, "doc_id")
+    r = vocab.agg(F.count("*").alias("n"), F.min("term_index").alias("lo"), F.max("term_index").alias("hi"),
+                  F.count_distinct("term_index").alias("d")).first()
+    assert (r.n, r.lo, r.hi, r.d) == (n, 0, n - 1, n)
+    ids = {t.term: t.term_index for t in vocab.filter("term in ('w0', 'w1', 'w10', 'w2')").collect()}
+    assert ids["w0"] < ids["w1"] < ids["w10"] < ids["w2"]
+    tf = vec.filter("doc_id = 41").first().tf
+    assert tf.size == n and sorted(tf.indices) == list(tf.indices) and set(tf.values) == {2.0}
+    model = TO.fit_topics(vec.filter("doc_id >= 40"), 2, max_iter=2)
+    assert model.isDistributed()
+    top = TO.topic_terms(model, vocab, 5).collect()
+    assert len(top) == 10 and {x.rank for x in top} == set(range(1, 6))
+
+
+def test_count_vectors_equal_the_matrix(spark):
+    rows = [("a", "x", 2), ("a", "y", 1), ("b", "y", 4), ("c", "z", 1), ("c", "x", 1)]
+    vec, vocab = TO.count_vectors(spark.createDataFrame(rows, "d string, word string, n long"), "d")
+    assert [r.term for r in vocab.orderBy("term_index").collect()] == ["x", "y", "z"]
+    assert {r.d: r.tf.toArray().tolist() for r in vec.collect()} == {"a": [2, 1, 0], "b": [0, 4, 0], "c": [1, 0, 1]}
+    vec, vocab = TO.count_vectors(spark.createDataFrame([], "d string, word string, n long"), "d")
+    assert vec.count() == vocab.count() == 0
 
 
 def test_many_ranges_and_text_keys(spark):
