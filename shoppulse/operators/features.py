@@ -147,36 +147,39 @@ def chi2_from_binned(binned: DataFrame, label: str = "label") -> DataFrame:
     """Pearson chi-square per feature from ``(feature, bin, label)`` rows.
 
     Uses ``chi2 = sum(o^2 / e) - t`` over the observed cells only, so no
-    bin x label grid is ever materialised; margins are joined on their keys."""
-    cell = binned.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("o"))
-    rowm = cell.groupBy("feature", "bin").agg(F.sum("o").alias("r"))
-    colm = cell.groupBy("feature", label).agg(F.sum("o").alias("c"))
-    tot = cell.groupBy("feature").agg(F.sum("o").alias("t"), F.countDistinct("bin").alias("nb"),
-                                       F.countDistinct(label).alias("nl"))
-    j = cell.join(rowm, ["feature", "bin"]).join(colm, ["feature", label]).join(tot, "feature")
-    e = F.col("r") * F.col("c") / F.col("t")
+    bin x label grid is ever materialised.  After one aggregation of the rows
+    everything is read off the small table of cells, by windows per feature."""
+    from pyspark.sql import Window
+    cell = binned.groupBy("feature", "bin", label).agg(F.count(F.lit(1)).cast("double").alias("o"))
+
+    def over(*by):
+        return F.sum("o").over(Window.partitionBy(*by))
+
+    j = cell.select("feature", "bin", label, "o", over("feature", "bin").alias("r"), over("feature", label).alias("c"),
+                    over("feature").alias("t"))
+    o, e = F.col("o"), F.col("r") * F.col("c") / F.col("t")
     return j.groupBy("feature").agg(
-        (F.sum(F.col("o").cast("double") * F.col("o").cast("double") / e) - F.first("t")).alias("statistic"),
-        ((F.first("nb") - 1) * (F.first("nl") - 1)).cast("bigint").alias("dof"))
-
-
-def select_features(df: DataFrame, cols: Sequence[str], alpha: float, label: str = "label",
-                    buckets: int = 10, out_col: str = "selected"):
-    """Chi-square selection of the top ``int(alpha * d)`` features with Spark
-    ML (``UnivariateFeatureSelector``, categorical features vs categorical
-    label).  Continuous features are bucketed first (every distinct value
-    would otherwise be a category).  Returns ``(fitted PipelineModel,
-    selected column names)``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import QuantileDiscretizer, UnivariateFeatureSelector, VectorAssembler
-    k = top_feature_count(alpha, len(cols))
-    binned = [f"_b_{i}" for i in range(len(cols))]
-    stages = [QuantileDiscretizer(inputCols=list(cols), outputCols=binned, numBuckets=buckets,
-                                  relativeError=0.001, handleInvalid="keep"),
-              VectorAssembler(inputCols=binned, outputCol="_bvec"),
-              UnivariateFeatureSelector(featuresCol="_bvec", outputCol=out_col, labelCol=label,
-                                        selectionMode="numTopFeatures")
-              .setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(k)]
-    model = Pipeline(stages=stages).fit(df)
-    idx = model.stages[-1].selectedFeatures
-    return model, [cols[i] for i in idx]
+        (F.sum(o * o / e) - F.first("t")).alias("statistic"),
+        ((F.size(F.collect_set("bin")) - 1) * (F.size(F.collect_set(label)) - 1)).cast("bigint").alias("dof"))
+
+
+def rank_features(df: DataFrame, cols: Sequence[str], label: str = "label", buckets: int = 10) -> DataFrame:
+    """``(feature, statistic, dof, strength)``, most dependent on the label
+    first, ties in column order.  ``strength`` is the normal score of the
+    chi-square statistic at its degrees of freedom (Wilson and Hilferty), which
+    orders features like their p-values do and does not underflow; a constant
+    feature has none and comes last."""
+    k = F.col("dof").cast("double")
+    score = (F.cbrt(F.greatest(F.col("statistic"), F.lit(0.0)) / k) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k))
+    place = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature"))
+    return chi2_table(df, cols, label, buckets).withColumn("strength", F.when(F.col("dof") > 0, score)) \
+        .orderBy(F.col("strength").desc_nulls_last(), place)
+
+
+def select_features(df: DataFrame, cols: Sequence[str], alpha: float, label: str = "label", buckets: int = 10,
+                    out_col: str = "fvec"):
+    """Chi-square selection of the top ``int(alpha * d)`` features.  Returns
+    ``(fitted stage, selected names in column order)``."""
+    from shoppulse.operators.selection import ChiSquareSelection
+    model = ChiSquareSelection(inputCols=list(cols), outputCol=out_col, labelCol=label, alpha=float(alpha), buckets=buckets).fit(df)
+    return model, model.getSelected()

@@ -51,41 +51,45 @@ def with_row_index(df: DataFrame, order_col: str | Sequence[str], out_col: str =
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], inclusive: bool = False,
-                suffix: str = "_before", cells: int = CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """For each row, the sums of ``sum_cols`` over all rows with a smaller
-    numeric ``order_col`` (``inclusive`` adds the row itself).  ``order_col``
-    should be unique (aggregate ties first).
+                suffix: str = "_before", by: Sequence[str] = (), cells: int = CELLS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """For each row, the sums of ``sum_cols`` over all rows (of its group
+    ``by``) with a smaller numeric ``order_col``; ``inclusive`` adds the row
+    itself.  ``order_col`` should be unique (aggregate ties first).
 
     The key's span is cut into ``cells`` equal cells; a cell with more than
     ``cell_rows`` rows is cut again over its own span.  A row's sum is that of
     the cells before its own, of the sub-cells before its own, and of the
     rows before it in its sub-cell.  Nothing runs while the plan is built, and
-    the only single-task window sees one row per cell."""
+    no window but the last sees more than one row per cell."""
     key = F.col(order_col).cast("double")
+    by = list(by)
+    sums = [F.sum(c).alias(f"_t_{c}") for c in sum_cols]
 
     def cell(lo, hi, n):
         share = F.nanvl(F.try_divide(key - F.col(lo), F.col(hi) - F.col(lo)), F.lit(0.0))  # infinite spans: one cell
         at = F.floor(share * F.col(n)).cast("bigint")
         return F.when(F.col(hi) > F.col(lo), F.least(at, F.col(n) - 1)).otherwise(F.lit(0).cast("bigint"))
 
-    span = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).withColumn("_n", F.lit(cells).cast("bigint"))  # one row
-    one = df.crossJoin(F.broadcast(span)).withColumn("_c1", cell("_lo", "_hi", "_n")).drop("_lo", "_hi", "_n")
+    def before(window, level):
+        rows = window.rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(f"_t_{c}").over(rows), F.lit(0)).alias(f"_o{level}_{c}") for c in sum_cols]
 
-    def before(window, cols):
-        return [F.coalesce(F.sum(c).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(o) for c, o in cols]
+    def joined(left, right, keys):
+        names = {k: f"_r{k}" for k in keys}
+        right = right.select(*[F.col(k).alias(names.get(k, k)) for k in right.columns])
+        on = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
+        return (left.join(right, on) if on else left.crossJoin(F.broadcast(right))).drop(*names.values())  # no key: one row
 
-    sums = [F.sum(c).alias(f"_t_{c}") for c in sum_cols]
-    first = one.groupBy("_c1").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_rows"), *sums)
+    span = df.groupBy(*by).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")).withColumn("_n", F.lit(cells).cast("bigint"))
+    one = joined(df, span, by).withColumn("_c1", cell("_lo", "_hi", "_n")).drop("_lo", "_hi", "_n")
+    first = one.groupBy(*by, "_c1").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("_rows"), *sums)
     split = F.least(F.ceil(F.col("_rows") / F.lit(cell_rows)), F.lit(MOST_SPLIT)).cast("bigint")
-    first = first.select(F.col("_c1").alias("_d0"), "_lo", "_hi", split.alias("_n"),
-                         *before(Window.orderBy("_c1"), [(f"_t_{c}", f"_o1_{c}") for c in sum_cols]))  # at most ``cells`` rows
-    two = one.join(F.broadcast(first), F.col("_c1").eqNullSafe(F.col("_d0"))) \
-        .withColumn("_c2", cell("_lo", "_hi", "_n")).drop("_d0", "_lo", "_hi", "_n")
-    second = two.groupBy("_c1", "_c2").agg(*sums)
-    second = second.select(F.col("_c1").alias("_d1"), F.col("_c2").alias("_d2"),
-                           *before(Window.partitionBy("_c1").orderBy("_c2"), [(f"_t_{c}", f"_o2_{c}") for c in sum_cols]))
-    within = Window.partitionBy("_c1", "_c2").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = two.join(second, F.col("_c1").eqNullSafe(F.col("_d1")) & F.col("_c2").eqNullSafe(F.col("_d2")))
+    first = first.select(*by, "_c1", "_lo", "_hi", split.alias("_n"), *before(Window.partitionBy(*by).orderBy("_c1"), 1))
+    two = joined(one, first, [*by, "_c1"]).withColumn("_c2", cell("_lo", "_hi", "_n")).drop("_lo", "_hi", "_n")
+    second = two.groupBy(*by, "_c1", "_c2").agg(*sums)
+    second = second.select(*by, "_c1", "_c2", *before(Window.partitionBy(*by, "_c1").orderBy("_c2"), 2))
+    out = joined(two, second, [*by, "_c1", "_c2"])
+    within = Window.partitionBy(*by, "_c1", "_c2").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     for c in sum_cols:
         out = out.withColumn(f"{c}{suffix}", F.col(f"_o1_{c}") + F.col(f"_o2_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
     return out.select(*df.columns, *[f"{c}{suffix}" for c in sum_cols])

@@ -100,20 +100,20 @@ def confusion_matrix(df: DataFrame, label: str = "label", pred: str = "predictio
     return grid.join(cnt, [label, pred], "left").select(label, pred, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def auc_roc(df: DataFrame, score: str, label: str = "label") -> DataFrame:
+def auc_roc(df: DataFrame, score: str, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve (mid-rank / Mann-Whitney form, ties
-    count one half), as a one-row DataFrame.
+    count one half), as a one-row DataFrame, or one row per group ``by``.
 
     Rows are first aggregated per distinct score (a score shared by a third
     of the table becomes one row), then the count of negatives below each
-    score comes from range-partitioned prefix sums -- no global sort into a
-    single task."""
-    g = df.groupBy(F.col(score).cast("double").alias("_s")).agg(
+    score comes from a two-level histogram -- no global sort into a single
+    task, and no job while the plan is built."""
+    g = df.groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) != 1).alias("_neg"))
-    ps = prefix_sums(g, "_s", ["_neg"], inclusive=False)
-    return ps.agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"),
-                  F.sum(F.col("_pos") * (F.col("_neg_before") + 0.5 * F.col("_neg"))).alias("_u")) \
-             .select(F.try_divide(F.col("_u"), F.col("P").cast("double") * F.col("N").cast("double")).alias("auc"))
+    ps = prefix_sums(g, "_s", ["_neg"], inclusive=False, by=by)
+    return ps.groupBy(*by).agg(F.sum("_pos").alias("P"), F.sum("_neg").alias("N"),
+                               F.sum(F.col("_pos") * (F.col("_neg_before") + 0.5 * F.col("_neg"))).alias("_u")) \
+             .select(*by, F.try_divide(F.col("_u"), F.col("P").cast("double") * F.col("N").cast("double")).alias("auc"))
 
 
 def auc_evaluator(df: DataFrame, score: str, label: str = "label", metric: str = "areaUnderROC") -> float:

@@ -95,11 +95,6 @@ def rename_positional(df: DataFrame, names: Sequence[str], skip_first: int = 0,
     return df.toDF(*new)
 
 
-def rename_like(df: DataFrame, template: DataFrame) -> DataFrame:
-    """Rename ``df`` to ``template``'s column names by position (guarded)."""
-    return rename_positional(df, template.columns)
-
-
 def dedup_names(names: Sequence[str]) -> list[str]:
     """Every name occurring twice or more gets a running suffix
     ``x -> x1, x2, ...``; unique names are unchanged."""
@@ -163,20 +158,6 @@ def all_null_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     return [c for c in cols if row[c] == 0]
 
 
-def has_complete_row(df: DataFrame, cols: Sequence[str]) -> bool:
-    """True when the table has columns and some row is non-null in all of
-    them (bounded: stops at the first such row)."""
-    if not cols:
-        return False
-    cond = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
-    return df.filter(cond).limit(1).count() > 0
-
-
 def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """null and NaN -> 0 (on ``cols`` or on every numeric column)."""
     return df.na.fill(0, subset=list(cols)) if cols else df.na.fill(0)
-
-
-def preview(df: DataFrame, n: int = 20) -> DataFrame:
-    """First n rows (a preview, not a sample)."""
-    return df.limit(n)

@@ -16,6 +16,7 @@ from shoppulse.operators import text as T
 from shoppulse.operators import topics as TP
 from shoppulse.plans import fixtures as FX
 from shoppulse.plans.catalog import query
+from shoppulse.plans.q_scoring import CHI2_SQL
 from shoppulse.session import written
 
 # The reference's rule thresholds.
@@ -130,7 +131,11 @@ def lr_grid_selected_scores(spark, sf_dir):
     """Chi-square selection (alpha .9) + 3 x 3 LR grid, scored on the
     held-out split."""
     train, valid = _split(spark, sf_dir)
-    m, _ = MO.search_lr_selected(train.persist(), FEATS, 0.9)
+    train = train.persist()
+    try:
+        m, _ = MO.search_lr_selected(train, FEATS, 0.9)
+    finally:
+        train.unpersist()
     return MO.score(m, valid, FEATS, "p", keep=("user_pin", "label"))
 
 
@@ -139,11 +144,14 @@ def model_auc(spark, sf_dir):
     """Held-out ROC and PR areas of the selected-feature LR grid (both exact
     and distributed: rank form for ROC, per-score trapezoids for PR)."""
     from shoppulse.operators.metrics import auc_pr, auc_roc
-    s = lr_grid_selected_scores(spark, sf_dir).persist()
+    s = written(lr_grid_selected_scores(spark, sf_dir))
     return auc_roc(s, "p", "label").crossJoin(auc_pr(s, "p", "label"))  # one row each
 
 
-@query("chi2_selected")
+@query("chi2_selected", f"""WITH s AS ({CHI2_SQL}), z AS (SELECT feature, CASE WHEN dof > 0 THEN
+    (cbrt(greatest(statistic, 0) / dof) - (1 - 2 / (9.0 * dof))) / sqrt(2 / (9.0 * dof)) END AS strength,
+    list_position([{', '.join(f"'{c}'" for c in FEATS)}], feature) AS place FROM s)
+SELECT feature FROM z ORDER BY strength DESC NULLS LAST, place LIMIT {FE.top_feature_count(0.9, len(FEATS))}""")
 def chi2_selected(spark, sf_dir):
     """Names of the int(.9 d) features kept by chi-square selection."""
     df = FX.labelled_docs(spark, sf_dir)
@@ -178,7 +186,9 @@ def ensemble_trained(spark, sf_dir):
 @query("ensemble_target")
 def ensemble_target(spark, sf_dir):
     models, aucs, _ = _trained(spark, sf_dir)
-    return MO.ensemble_target(models, FX.target_docs(spark, sf_dir), FEATS, _auc_weights(models, aucs))
+    target = FX.target_docs(spark, sf_dir)
+    own = target.toDF("user_pin", *[f"t{k}" for k in range(len(FEATS))])  # the target's own names
+    return MO.ensemble_target(models, own, _auc_weights(models, aucs))
 
 
 @query("model_result")
@@ -198,13 +208,13 @@ def output_users(spark, sf_dir):
 
 @query("oof_scores")
 def oof_scores(spark, sf_dir):
-    oof, _ = MO.oof_scores(FX.labelled_docs(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
+    oof, _, _ = MO.oof_scores(FX.labelled_docs(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
     return oof
 
 
 @query("oof_target")
 def oof_target(spark, sf_dir):
-    _, tgt = MO.oof_scores(FX.labelled_docs(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
+    _, tgt, _ = MO.oof_scores(FX.labelled_docs(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
     return tgt
 
 

@@ -205,7 +205,7 @@ def mislabel_ratio(spark, sf_dir):
     return SC.mislabel_ratio(df).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("chi2_statistic", f"""WITH d AS {FX.SQL['labelled']},
+CHI2_SQL = f"""WITH d AS {FX.SQL['labelled']},
   u AS (UNPIVOT d ON {', '.join(FX.FEATURES)} INTO NAME feature VALUE x),
   bd AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM u GROUP BY feature),
   b AS (SELECT u.feature, u.label, CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 10), 9) ELSE 0 END
@@ -214,9 +214,12 @@ def mislabel_ratio(spark, sf_dir):
   r AS (SELECT feature, bin, sum(o) AS r FROM cell GROUP BY ALL),
   c AS (SELECT feature, label, sum(o) AS c FROM cell GROUP BY ALL),
   t AS (SELECT feature, sum(o) AS t, count(DISTINCT bin) AS nb, count(DISTINCT label) AS nl FROM cell GROUP BY feature)
-SELECT feature, round(sum(o * o / (r * c / t)) - any_value(t), 6) AS statistic,
+SELECT feature, sum(o * o / (r * c / t)) - any_value(t) AS statistic,
   CAST((any_value(nb) - 1) * (any_value(nl) - 1) AS BIGINT) AS dof
-FROM cell JOIN r USING (feature, bin) JOIN c USING (feature, label) JOIN t USING (feature) GROUP BY feature""")
+FROM cell JOIN r USING (feature, bin) JOIN c USING (feature, label) JOIN t USING (feature) GROUP BY feature"""
+
+
+@query("chi2_statistic", f"SELECT feature, round(statistic, 6) AS statistic, dof FROM ({CHI2_SQL})")
 def chi2_statistic(spark, sf_dir):
     t = FE.chi2_table(FX.labelled_docs(spark, sf_dir, parallel=True), FX.FEATURES, "label", 10)
     return t.select("feature", F.round("statistic", 6).alias("statistic"), "dof")
