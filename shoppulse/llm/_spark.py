@@ -58,6 +58,16 @@ def spread_rows(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+def thinned(edges: DataFrame) -> DataFrame:
+    """Fewer ``edges(src, dst)`` that connect the same: each src to its smallest dst, and its other dst to that one.
+
+    In a large group the smallest ones coincide, so about one edge a member is left.
+    """
+    low = edges.groupBy(F.col("src").alias("of")).agg(F.min("dst").alias("low"))
+    rest = edges.join(low, F.col("src") == F.col("of")).select(F.col("dst").alias("src"), F.col("low").alias("dst"))
+    return low.select(F.col("of").alias("src"), F.col("low").alias("dst")).union(rest).filter("src <> dst").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(src, dst)`` -> ``(id, component)``.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import forest
-from ._spark import NULL_ID, components, materialise
+from ._spark import NULL_ID, components, materialise, thinned
 from ._text import U64, ints, mix64, shingles, text_slices
 
 THRESHOLD = 0.8
@@ -265,7 +265,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     hubs = materialise(buckets.groupBy("key").agg(F.min("t").alias("hub"), F.max("t").alias("top"))
                        .filter("hub < top").select("key", "hub"))
     edges = materialise(buckets.join(hubs.hint("merge"), "key").filter("t <> hub").select(F.col("t").alias("src"), F.col("hub").alias("dst")).distinct())
-    groups = components(edges).select(F.col("id").alias("t"), F.col("component").alias("g"))
+    groups = components(thinned(edges)).select(F.col("id").alias("t"), F.col("component").alias("g"))
     members = materialise(groups.join(signed.select("t", "n"), "t"))
     seats = materialise(_seats(members, threshold).join(distinct, "t")
                         .select("t", "seats", "copies", F.col("first.doc").alias("at")))
@@ -273,7 +273,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     chosen = text.join(seats.hint("merge"), (text.text_t == seats.t) & (text.doc == seats["at"])).select("t", "copies", "seats", "text")
     found = materialise(_compare(chosen, threshold))
     links = found.filter("other is null").groupBy("t").agg(F.sum("links").alias("links"))
-    joined = components(found.filter("other is not null").select(F.col("t").alias("src"), F.col("other").alias("dst")))
+    joined = components(thinned(found.filter("other is not null").select(F.col("t").alias("src"), F.col("other").alias("dst"))))
     each = materialise(signed.select("t").join(distinct, "t").join(links, "t", "left")
                        .join(joined.withColumnRenamed("id", "t"), "t", "left")
                        .select("t", "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
