@@ -10,8 +10,14 @@ with its codes and its own quantisation error.
 Probes are sufficient rather than a fixed number: a vector x can have a neighbour
 in list b if for every other centroid c it is near enough to the half space that
 is nearer to b, (|x-b|^2 - |x-c|^2) / (2|b-c|) <= margin (tested for the ``NEAREST``
-centroids nearest to x).  The margin is r, so no neighbour is lost, wherever it lies
-and however few directions the vectors differ in.
+centroids nearest to x).  A margin of r would lose nothing; but a neighbour's
+displacement lies along the line from b to c only in part.  How much of it does is
+measured on the sample for every pair of lists: the share of the variance of the
+residuals along that line.  The margin is ``DEVIATIONS`` standard deviations of a
+displacement of length r with that share, r at most; so it is r wherever vectors
+differ in few directions (low rank, padded or correlated dimensions).  All pairs of
+the sample that reach the threshold are then looked up; if fewer than ``RECALL`` of
+them are probed, the margin is widened and measured again, up to r.
 Links are symmetric, so x probes only lists after its own.  In a probed list the
 asymmetric distance of x to the codes of y, summed from the lookup tables of x,
 keeps y if it is at most r plus y's quantisation error (the triangle inequality:
@@ -49,6 +55,8 @@ MOST_LISTS = 4096
 SUBSPACES = 8
 CODES = 256
 NEAREST = 8
+#: Margin in standard deviations of a neighbour's displacement, and the recall required of it on the sample.
+DEVIATIONS, RECALL = 4.0, 0.999
 BLOCK = 2048
 EPS = 1e-6
 OUT_BYTES = 8 << 20
@@ -89,7 +97,8 @@ class Index:
         residual = sample - self.lists[nearest(sample, self.lists)]
         self.parts = [p for p in np.array_split(np.arange(self.dim), min(SUBSPACES, self.dim)) if len(p)]
         self.books = [kmeans(residual[:, p], CODES, 8) for p in self.parts]
-        self.gaps = np.sqrt(distances(self.lists, self.lists))
+        self.gaps = np.sqrt(distances(self.lists, self.lists)).astype(np.float32)
+        self.slack = None
 
     def encode(self, x: np.ndarray, own: np.ndarray):
         """(codes, quantisation errors) of vectors in their lists."""
@@ -98,16 +107,49 @@ class Index:
         back = np.concatenate([b[codes[:, k]] for k, b in enumerate(self.books)], 1)
         return codes, np.sqrt(((residual - back) ** 2).sum(1))
 
-    def probes(self, x: np.ndarray, margin: float):
-        """(own list, pairs (row, list) of the later lists that can hold a neighbour)."""
+    def fit_probes(self, sample: np.ndarray, threshold: float) -> float:
+        """Set the margins of all pairs of lists from the sample; the recall measured on its pairs."""
+        r = probe_margin(self.dim, threshold)
+        residual = sample - self.lists[nearest(sample, self.lists)]
+        scatter = residual.T @ residual
+        along = self.lists @ scatter @ self.lists.T
+        along = np.diag(along)[:, None] + np.diag(along)[None, :] - 2 * along
+        total = np.trace(scatter) * np.square(self.gaps, dtype=np.float64)
+        share = np.sqrt(np.clip(np.divide(along, total, out=np.ones_like(along), where=total > 0), 0, 1))
+        deviations = DEVIATIONS
+        while True:
+            margin = np.minimum(deviations * share, 1.0) * r
+            self.slack = (2 * (margin + EPS) * self.gaps).astype(np.float32)
+            recall = self.recall(sample, threshold)
+            if recall >= RECALL or (margin >= r).all():
+                return recall
+            deviations *= 1.5
+
+    def recall(self, sample: np.ndarray, threshold: float, step: int = 1024) -> float:
+        """Share of the sample's pairs at the threshold that lie in one list or are probed."""
+        own = np.concatenate([self.probes(sample[i:i + step])[0] for i in range(0, len(sample), step)])
+        found = pairs = 0
+        for i in range(0, len(sample), step):
+            rows, (at, other) = self.probes(sample[i:i + step])
+            a, b = np.nonzero(sample[i:i + step] @ sample.T >= threshold)
+            later = own[b] > rows[a]  # the vector of the earlier list probes
+            same = (own[b] == rows[a]) & (b > a + i)
+            probed = np.zeros((len(rows), len(self.lists)), bool)
+            probed[at, other] = True
+            found += int(same.sum()) + int(probed[a[later], own[b[later]]].sum())
+            pairs += int(same.sum()) + int(later.sum())
+        return found / pairs if pairs else 1.0
+
+    def probes(self, x: np.ndarray, margin: float | None = None):
+        """(own list, pairs (row, list) of the later lists that can hold a neighbour), by the fitted margins or one for all."""
         d = distances(x, self.lists)
         own = d.argmin(1)
         close = np.argsort(d, axis=1)[:, :min(NEAREST, d.shape[1])]
         can = np.ones(d.shape, bool)
         for k in range(close.shape[1]):
             c = close[:, k]
-            gap = self.gaps[c]
-            need = (d - d[np.arange(len(x)), c][:, None]) <= 2 * (margin + EPS) * gap + EPS
+            slack = self.slack[c] if margin is None else 2 * (margin + EPS) * self.gaps[c]
+            need = (d - d[np.arange(len(x)), c][:, None]) <= slack + EPS
             can &= need
         can &= np.arange(d.shape[1])[None, :] > own[:, None]
         return own, np.nonzero(can)
@@ -181,28 +223,27 @@ def probe_margin(dim: int, threshold: float) -> float:
     return math.sqrt(2 - 2 * threshold)
 
 
-def _assign(batch, index: Index, dtype, margin: float):
+def _assign(batch, index: Index, dtype):
     t = ints(batch.column("t"))
     raw = batch.column("raw")
     if not len(t):
         return None
     flat = np.frombuffer(b"".join(raw.to_pylist()), dtype)
     x = unit(flat, index.dim)
-    own, (row, other) = index.probes(x, margin)
+    own, (row, other) = index.probes(x)
     return t, raw, x, own, row, other
 
 
 def _found(one: DataFrame, index: Index, dtype, threshold: float) -> DataFrame:
     """Links among the distinct vectors ``one(t, copies, raw)`` of one length: (t, links, other)."""
     spark = one.sparkSession
-    margin = probe_margin(index.dim, threshold)
     shared = spark.sparkContext.broadcast(index)  # MOST_LISTS centroids at most
 
     def count(batches):
         k = len(shared.value.lists)
         base, query = np.zeros(k, np.int64), np.zeros(k, np.int64)
         for batch in batches:
-            got = _assign(batch, shared.value, dtype, margin)
+            got = _assign(batch, shared.value, dtype)
             if got:
                 base += np.bincount(got[3], minlength=k)
                 query += np.bincount(got[5], minlength=k)
@@ -218,7 +259,7 @@ def _found(one: DataFrame, index: Index, dtype, threshold: float) -> DataFrame:
     def seats(batches):
         ix = shared.value
         for batch in batches:
-            got = _assign(batch, ix, dtype, margin)
+            got = _assign(batch, ix, dtype)
             if not got:
                 continue
             t, raw, x, own, row, other = got
@@ -322,6 +363,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, sample: in
         few = part.orderBy("t").limit(sample).toArrow()
         x = unit(np.frombuffer(b"".join(few.column("raw").to_pylist()), dtype), r.dim)
         index = Index(x, int(min(MOST_LISTS, max(1, round(math.sqrt(r["count"]))))))
+        index.fit_probes(x, threshold)
         more = materialise(_found(part, index, dtype, threshold))
         found = more if found is None else found.union(more)
     if found is None:

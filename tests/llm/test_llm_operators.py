@@ -12,7 +12,7 @@ import llm_brute as B
 from shoppulse.llm import (embedding_dedup, fingerprint, line_dedup, lm_score, mixing, ngram_join, quality_cnn,
                            sentencepiece, suffix_dedup, toxicity)
 from shoppulse.llm import queries as Q
-from shoppulse.llm._spark import ship
+from shoppulse.llm._spark import components, ship, thinned
 from shoppulse.llm._text import utf8
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, h string, t string, n_lines string"
@@ -232,6 +232,54 @@ def test_embedding_recall_of_low_rank_vectors():
     assert all(a[k] == b[k] or (k, b[k]) in p or (k, a[k]) in q for k in range(len(x)))
 
 
+def _neighbours(rng, n, dim):
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    return x, 0.951 * x + np.sqrt(1 - 0.951 ** 2) * side
+
+
+@pytest.mark.parametrize("rank,dim,least", [(64, 64, 0.995), (20, 768, 0.995), (6, 256, 1.0)])
+def test_embedding_margins_measured_on_the_sample(rank, dim, least):
+    """Neighbours at the threshold are probed whatever the rank; in many dimensions few lists are."""
+    rng = np.random.default_rng(rank)
+    x, y = _neighbours(rng, 4000, rank)
+    turn = np.linalg.qr(rng.standard_normal((dim, rank)))[0].T  # any directions, not the axes
+    x, y = x @ turn, y @ turn
+    index = embedding_dedup.Index(x, 64)
+    index.fit_probes(x, 0.95)
+    (a, (ra, la)), (b, (rb, lb)) = index.probes(x), index.probes(y)
+    p, q = set(zip(ra.tolist(), la.tolist())), set(zip(rb.tolist(), lb.tolist()))
+    assert np.mean([a[k] == b[k] or (k, b[k]) in p or (k, a[k]) in q for k in range(len(x))]) >= least
+    if rank == 64:
+        assert len(ra) < 0.35 * len(index.probes(x, embedding_dedup.probe_margin(dim, 0.95))[1][0])
+
+
+def test_embedding_margins_widen_where_the_sample_tells():
+    """Neighbours displaced along one direction only, which the residuals hardly show."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 32))
+    x[:, 0] *= 0.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = x.copy()
+    y[:, 0] += 0.3
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    both = np.concatenate([x, y])
+    index = embedding_dedup.Index(both, 48)
+    assert index.fit_probes(both, 0.95) >= embedding_dedup.RECALL
+
+
+def test_thinned_edges_connect_the_same(sp):
+    rng = random.Random(6)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, h) for k in range(300, 340) for h in range(290, 300)]
+    df = sp.createDataFrame(edges, "src long, dst long")
+    less = thinned(df)
+    assert {tuple(r) for r in components(less).collect()} == {tuple(r) for r in components(df).collect()}
+    assert less.filter("src >= 290").count() == 49
+
+
 # -- mixing ------------------------------------------------------------------------
 
 def test_mix_equals_brute_force_and_sql(sp):
