@@ -116,3 +116,14 @@ def test_mislabelled_rows_go(data):
 def test_zero_variance_columns_leave_every_table(data):
     (a, b), zero = SC.drop_zero_variance([data.limit(5), data], COLS)
     assert zero == ["flat"] and "flat" not in a.columns + b.columns
+
+
+def test_weighted_columns_add_up_to_the_weighted_score(data):
+    from shoppulse.operators import correlation as C
+    from shoppulse.operators import scoring as S
+    weights = {"strong": 2.0, "weak": -0.5, "flat": 0.0, "absent": 3.0}
+    wide = C.apply_weights(data, weights, keep=["user_pin"])
+    assert wide.columns == ["user_pin", "strong", "weak"]
+    total = {r.user_pin: r.strong + r.weak for r in wide.collect()}
+    got = {r.user_pin: r.score for r in S.weighted_score(data, {k: w for k, w in weights.items() if k != "absent"}).collect()}
+    assert got == pytest.approx(total)
