@@ -51,12 +51,12 @@ def test_lists_of_a_basket_may_come_in_two_batches(spark):
 def test_basket_of_fifty_thousand_items(spark):
     """Its lists are spread over block pairs; nothing but frequent pairs is emitted."""
     big = spark.range(50_000).select(F.lit(0).cast("long").alias("b"), F.concat(F.lit("x"), "id").alias("x"))
-    rest = spark.range(60_000).select((F.col("id") % 3000 + 1).alias("b"), F.concat(F.lit("x"), F.col("id") % 20).alias("x"))
+    rest = spark.range(60_000).select((F.col("id") % 3000 + 1).alias("b"), F.concat(F.lit("x"), F.col("id") % 21).alias("x"))
     got = R.pair_rules(big.union(rest), "b", "x", 0.03, 0.0).collect()
     seen = collections.defaultdict(set)
     for k in range(60_000):
-        seen[k % 3000 + 1].add(f"x{k % 20}")
-    rows = [(b, x) for b, s in seen.items() for x in s] + [(0, f"x{k}") for k in range(20)]
+        seen[k % 3000 + 1].add(f"x{k % 21}")
+    rows = [(b, x) for b, s in seen.items() for x in s] + [(0, f"x{k}") for k in range(21)]
     want = brute(rows, 0.03, 0.0)
     assert {(r.antecedent, r.consequent) for r in got} == set(want) and want
     assert all(r.lift == pytest.approx(want[r.antecedent, r.consequent][2]) for r in got)
