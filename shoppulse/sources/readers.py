@@ -1,5 +1,6 @@
-"""Readers.  All are lazy scans: Spark lists and splits the files across
-executors; nothing is read on the driver."""
+"""Readers.  All are lazy scans (but for the quote states of ``multi_line``):
+Spark lists and splits the files across executors; nothing is read on the
+driver."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from shoppulse.sources.quoted import read_quoted
+
 # Fixed value: review files are named <sku><sentiment>.csv, sentiment po / ne.
 REVIEW_FILE = r"([0-9]+)(po|ne)\.csv$"
 
@@ -26,13 +29,17 @@ def read_cohort(spark: SparkSession, path: str | list[str], schema: StructType |
 
 
 def read_reviews(spark: SparkSession, path: str | list[str], header: bool = True,
-                 col: str = "V1", multi_line: bool = False) -> DataFrame:
+                 col: str = "V1", multi_line: bool = False, escape: str = "\\") -> DataFrame:
     """One-column review CSV, UTF-8 (a byte-order mark before the header is
     dropped by Spark's reader).  A headerless file gets the column ``col``
     (``V1``, as R names it).  Empty strings read as null, as in the
-    reference's readers.  ``multi_line`` reads quoted line breaks; a file is
-    then one task, so it is off unless asked for."""
-    r = spark.read.option("header", header).option("encoding", "UTF-8").option("multiLine", multi_line)
+    reference's readers.  ``multi_line`` reads quoted line breaks, in as many
+    tasks as the file has splits; it takes one more pass over the file, when
+    the reader is called.  ``escape`` is the character before a quote inside
+    quotes, or ``"`` for doubled quotes."""
+    if multi_line:
+        return read_quoted(spark, path, header, None if header else [col], escape=escape).drop("_file")
+    r = spark.read.option("header", header).option("encoding", "UTF-8").option("escape", escape)
     df = r.schema(f"`{col}` string").csv(path) if not header else r.csv(path)
     if header and df.columns:
         first = df.columns[0]
@@ -40,12 +47,16 @@ def read_reviews(spark: SparkSession, path: str | list[str], header: bool = True
     return df
 
 
-def read_review_dir(spark: SparkSession, glob: str, header: bool = True, multi_line: bool = False) -> DataFrame:
+def read_review_dir(spark: SparkSession, glob: str, header: bool = True, multi_line: bool = False,
+                    escape: str = "\\") -> DataFrame:
     """Many per-SKU review files as one table ``(sku, sentiment, comments)``;
     SKU and sentiment come from each row's file name."""
-    df = read_reviews(spark, glob, header, multi_line=multi_line)
-    text_col = df.columns[0]
-    fname = F.input_file_name()
+    if multi_line:
+        df = read_quoted(spark, glob, header, None if header else ["V1"], escape=escape)
+        fname, text_col = F.col("_file"), df.columns[1]
+    else:
+        df = read_reviews(spark, glob, header, escape=escape)
+        fname, text_col = F.input_file_name(), df.columns[0]
     return df.select(F.regexp_extract(fname, REVIEW_FILE, 1).alias("sku"),
                      F.regexp_extract(fname, REVIEW_FILE, 2).alias("sentiment"),
                      F.col(text_col).alias("comments"))
