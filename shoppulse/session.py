@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -71,6 +72,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this library, as ``--py-files`` would; once a context.
+
+    Functions that run in Python workers import it, and a worker has neither
+    the driver's folder nor its import path."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_shoppulse_shipped", False):
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(sc._temp_dir, "shoppulse")  # the driver's own scratch; Spark serves the file to executors
+        sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+        sc._shoppulse_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
