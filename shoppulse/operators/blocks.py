@@ -7,8 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoppulse.session import ship
-
 #: Partial results of a block pair are merged in this many streams first.
 STREAMS = 16
 STATE = "a int, b int, state binary"
@@ -48,7 +46,6 @@ def fold(parts: DataFrame, merge, finish, schema: str) -> DataFrame:
         for (a, b), state in stream(batches):
             yield from finish(a, b, state)
 
-    ship(parts.sparkSession)
     salted = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(STREAMS)))
     some = salted.repartition("a", "b", "salt").sortWithinPartitions("a", "b", "salt").drop("salt").mapInArrow(halfway, STATE)
     return some.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(whole, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shoppulse.operators.blocks import STATE, fold, state_batch
 from shoppulse.operators.layout import with_row_index
-from shoppulse.session import written
+from shoppulse.session import ship, written
 
 #: Columns in one block of feature pairs, and block pairs that one task holds.
 COLUMN_BLOCK, HELD_PAIRS = 48, 256
@@ -105,6 +105,7 @@ def corr_pairs(df: DataFrame, cols: Sequence[str], absolute: bool = True,
     a NaN or infinite value there.  A table too wide for one task's memory is
     read once per ``HELD_PAIRS`` block pairs, each time only the columns
     needed."""
+    ship(df.sparkSession)
     cols = list(cols)
     blocks = [list(range(i, min(i + block, len(cols)))) for i in range(0, len(cols), block)]
     pairs = [(a, b) for a in range(len(blocks)) for b in range(a, len(blocks))]
@@ -173,6 +174,7 @@ def item_correlation(counts: DataFrame, item: str, term: str, n: str = "n",
     by block pair, exact for integer counts below 2^53 and in double, so a hot
     term cannot overflow.  Block pairs without a common term have product 0.
     Pairs with an item of constant counts are undefined and dropped."""
+    ship(counts.sparkSession)
     a_name, b_name, value = names
     agg = counts.groupBy(F.col(item).cast("string").alias("item"), F.col(term).alias("term")).agg(F.sum(n).cast("double").alias("n"))
     agg = written(agg.filter("item IS NOT NULL AND term IS NOT NULL"))

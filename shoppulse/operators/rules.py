@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from shoppulse.operators.blocks import STATE, STREAMS, fold, state_batch
 from shoppulse.operators.layout import with_row_index
-from shoppulse.session import written
+from shoppulse.session import ship, written
 
 #: Items in one list of a basket, and baskets in one matrix of a task.
 ITEM_BLOCK, BASKET_ROWS = 128, 4096
@@ -109,6 +109,7 @@ def pair_rules(df: DataFrame, id_col: str, item_col: str, min_support: float = 0
     """Rules with one item on each side: ``antecedent, consequent, support,
     confidence, lift``, for pairs in at least ``ceil(min_support * N)`` of the
     N baskets (repeated items count once, null items not at all)."""
+    ship(df.sparkSession)
     seen = written(df.filter(F.col(item_col).isNotNull() & F.col(id_col).isNotNull())
                    .select(F.col(id_col).alias("id"), F.col(item_col).alias("item")).distinct())
     total = seen.agg(F.count_distinct("id")).first()[0]
