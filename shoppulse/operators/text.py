@@ -202,6 +202,28 @@ def join_frequency(tokens: DataFrame, freq: DataFrame, word_col: str = "word",
     return out.orderBy(order_col) if order_col else out
 
 
+def with_frequency(tokens: DataFrame, word_col: str = "word", order_col: str | None = "id",
+                   freq_col: str = "frequency", blocks: int = 1 << 16) -> DataFrame:
+    """Tokens beside how often their word occurs among them: what
+    :func:`join_frequency` gives for the tokens' own frequency table, from one
+    pass over the tokens.
+
+    Tokens are gathered by word and a hash of their other columns (``blocks``
+    values) into lists, whose sizes add up to the frequency and which are
+    unfolded beside it.  A word of f tokens has lists of about f / ``blocks``
+    rows, so a hot word is spread over all tasks, and the join of lists and
+    sums is by a table of one row per word, which AQE broadcasts if it is
+    small, and splits a hot word's lists otherwise.  Null words are kept, with
+    a null frequency."""
+    rest = [c for c in tokens.columns if c != word_col]
+    block = F.pmod(F.xxhash64(*rest), F.lit(blocks)).alias("_block")
+    lists = tokens.groupBy(word_col, block).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
+    # the sizes of the lists themselves, so that both branches share one exchange
+    sums = lists.groupBy(word_col).agg(F.sum(F.size("_rows")).alias(freq_col))
+    out = lists.join(sums, on=word_col, how="left").select(word_col, F.inline("_rows"), freq_col)
+    return out.orderBy(order_col) if order_col else out
+
+
 def distinct_reviews(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Distinct review rows (on ``cols`` when given)."""
     return df.dropDuplicates(list(cols)) if cols else df.distinct()

@@ -101,9 +101,7 @@ def tag_words(spark, sf_dir):
 SELECT coalesce(tk.word, fq.word) AS word, id, nature, index_word, frequency
 FROM tk FULL OUTER JOIN fq ON tk.word = fq.word""")
 def token_frequency_merge(spark, sf_dir):
-    tk = _tagged(spark, sf_dir)
-    fq = T.term_frequency(tk)
-    return T.join_frequency(tk, fq, "word", order_col="id") \
+    return T.with_frequency(_tagged(spark, sf_dir), "word", order_col="id") \
             .select("word", "id", "nature", "index_word", "frequency")
 
 
@@ -141,13 +139,13 @@ def extract_bodies(spark, sf_dir):
     return T.extract_matches(pages, "page_id", "html", PARAGRAPH, 1, out_col="body")
 
 
-@query("extract_reviews", f"""SELECT DISTINCT sku, m AS comments FROM
+@query("extract_reviews", f"""SELECT DISTINCT sku, array_to_string(regexp_extract_all(m, '{LATIN_RUN}'), ' ') AS comments FROM
   (SELECT sku, unnest(regexp_extract_all(body, '{T.REVIEW_BODY.replace("'", "''")}')) AS m
    FROM {FX.SQL['qa_bodies']})""")
 def extract_reviews(spark, sf_dir):
-    """X3 review-body pattern over the Q&A bodies (raw matches kept: the
-    tables hold no ideograph runs to reduce them to)."""
-    return T.extract_reviews(FX.qa_bodies(spark, sf_dir), "sku", "body", run_pattern=None)
+    """X3 review-body pattern over the Q&A bodies, reduced to its runs (of
+    Latin letters: the tables hold no ideographs)."""
+    return T.extract_reviews(FX.qa_bodies(spark, sf_dir), "sku", "body", run_pattern=LATIN_RUN)
 
 
 @query("extract_tags", f"""SELECT sku, CAST(pos - 1 AS BIGINT) AS tag_pos,

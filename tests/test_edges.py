@@ -3,6 +3,7 @@
 import math
 import os
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -316,6 +317,33 @@ def test_join_frequency_full_outer(spark):
     assert got == [("a", 1, 2), ("a", 2, 2), ("b", 2, 1), ("z", None, 9)]
 
 
+def test_with_frequency_in_blocks(spark):
+    """A third of all tokens is one word; a few blocks make long lists, many short ones; null words stay."""
+    rows = [(i % 7, "hot" if i % 3 == 0 else f"w{i % 50}", i) for i in range(3000)] + [(8, None, 1), (8, "once", 2)]
+    tokens = spark.createDataFrame(rows, "id long, word string, place long")
+    n = Counter(w for _, w, _ in rows)
+    want = sorted(((w, i, p, n[w] if w else None) for i, w, p in rows), key=str)
+    for blocks in (1, 5, 1 << 16):
+        got = T.with_frequency(tokens, blocks=blocks)
+        assert got.columns == ["word", "id", "place", "frequency"]
+        got = got.collect()
+        assert [r.id for r in got] == sorted(r.id for r in got)
+        assert sorted((tuple(r) for r in got), key=str) == want
+    freq = T.term_frequency(tokens.filter("word IS NOT NULL"))
+    joined = T.join_frequency(tokens, freq).select("word", "id", "place", "frequency").collect()
+    assert sorted((tuple(r) for r in joined), key=str) == want
+    assert T.with_frequency(tokens.limit(0)).collect() == []
+
+
+def test_with_frequency_makes_the_tokens_once(spark):
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c") for i in range(50)], "id long, text string")
+    df = T.with_frequency(T.token_positions(docs, "id", "text"), order_col=None)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") + final.count("ReusedQueryStage") >= 1
+    assert final.count("Generate posexplode") == 1
+
+
 def test_topic_overlap_and_share(spark):
     from shoppulse.operators import topics as TP
     rows = [(1, 1, "a", 0.1), (1, 2, "b", 0.1), (2, 1, "b", 0.1), (2, 2, "c", 0.1),
