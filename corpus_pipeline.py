@@ -1,7 +1,7 @@
 """Corpus preparation: the stages are applied to ``documents`` in order.
 
 Documents that the quality classifier rejects go; lines within one edit of an
-earlier line go; of each group of near-duplicates (five-word shingles, Jaccard
+earlier line go, lines of fewer than 16 code points if they equal one; of each group of near-duplicates (five-word shingles, Jaccard
 similarity 0.8 or more) the first document stays; sources are mixed to their
 target weights, so a document then stands in as many rows as it is taken; the
 rest is encoded as SentencePiece ids.
@@ -10,6 +10,13 @@ Each stage gets what its predecessor kept, written as Parquet and read again,
 and returns the columns of ``documents``; the last one returns the encoded
 documents.  ``n_chars`` follows a text that a stage changes.
 
+Defined cases: a null text is scored as the empty one, loses no line, is near
+nothing but other texts without words, has no words to mix and no ids; null ids
+and sources are values of their own; a repeated row is one document of its group
+of near-duplicates; texts of any length go through every stage whole; an empty
+table gives an empty result; further columns of ``documents`` pass unchanged up
+to the last stage.
+
 ``run`` has no SQL form: a trained network and an encoder take part.
 """
 
@@ -28,7 +35,7 @@ def quality(spark, docs, sf_dir):
 
 def lines(spark, docs, sf_dir):
     ship(spark)
-    out = line_dedup.dedup_lines(docs).select(docs.columns)
+    out = line_dedup.dedup_lines(docs, short=True).select(docs.columns)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return out
