@@ -1,19 +1,23 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line; a long line counts as several, cut after every
-``PIECE_WORDS`` words.  Its digest is a 64-bit hash, the n-th repetition within
-a document having a digest of its own, so a document is a set of digests.  A
-sketch adds every digest to three of its cells, each holding a count, the xor of
-the digests and the xor of their check sums.  Two sketches of one size are
-subtracted cell by cell; peeling then takes digests out of cells that hold just
-one, which recovers all digests in which the two versions differ, or fails if
-the sketch is too small.  Failed pairs are sketched again with ``GROWTH`` times
-the cells until they peel.  From the differing digests and the set sizes follows
-the likeness, shared digests by all digests.
-
-The published fingerprint is the sketch of ``CELLS`` cells, in base64 behind the
-number of digests; ``likeness_of`` compares two of them and returns None when
-they differ too much for that size.
+A paragraph is a line, cut further where its words say so: after a word whose
+hash, taken with that of the word before it, is below 1 / ``PIECE_WORDS`` of all
+values.  An inserted word thus changes the pieces around it and no others.  Its
+digest is a 64-bit hash, the n-th repetition within a document having a digest
+of its own, so a document is a set of digests.  A sketch adds every digest to
+three of its cells, each holding a count, the xor of the digests and the xor of
+their check sums.
+
+The published fingerprint is the number of digests and a sketch in base64, of
+the smallest size ``CELLS`` * 2**k with ``ROOM`` cells a digest that peels; one
+that does not is made again with twice the cells.  Cells of a larger sketch fold
+into those of a smaller one, so any two fingerprints can be subtracted cell by
+cell.  Peeling then takes digests out of cells that hold just one, which recovers
+all digests in which the two versions differ, or fails if the sketch is too small
+for them.  Then the two are compared at their full sizes, each peeled by itself.
+From the differing digests and the set sizes follows the likeness, shared digests
+by all digests.  ``likeness_of`` gives it for two published fingerprints, and
+``near_edited`` and ``near_next`` are its values.
 
 Defined cases: null counts as the empty text, whose sketch is empty; two empty
 texts have likeness 1; equal texts have equal fingerprints and likeness 1; in
@@ -34,9 +38,10 @@ from pyspark.sql import functions as F
 from ._spark import NULL_ID
 from ._text import U64, mix64, prefix, span, text_slices, utf8, word_bounds
 
-PIECE_WORDS = 4
+PIECE_WORDS = 16
 CELLS = 24
-GROWTH = 8
+ROOM = 1.5
+GROWTH = 2
 ROUNDS = 400
 SEEDS = np.array([0x8CB92BA72F3D8DD7, 0xABF7A5E1D9C3B24F, 0x5851F42D4C957F2D], U64)
 CHECK = U64(0xD6E8FEB86659FD93)
@@ -51,11 +56,13 @@ def digests(offsets: np.ndarray, data: np.ndarray):
     line = np.cumsum(data == 0x0A)[start]
     fresh = np.ones(len(start), bool)
     fresh[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
-    begin = np.maximum.accumulate(np.where(fresh, np.arange(len(start)), 0))
-    fresh |= (np.arange(len(start)) - begin) % PIECE_WORDS == 0
+    p = prefix(data)
+    word = span(p, start, end)
+    before = np.where(fresh, U64(0), np.append(U64(0), word[:-1]))
+    fresh[1:] |= (mix64(word + before * CHECK) < U64((1 << 64) // PIECE_WORDS))[:-1]
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(start)) - 1
-    h, row = span(prefix(data), start[first], end[last]), row[first]
+    h, row = span(p, start[first], end[last]), row[first]
     order = np.lexsort((h, row))
     hs, rs = h[order], row[order]
     new = np.ones(len(hs), bool)
@@ -107,6 +114,17 @@ class Sketches:
             setattr(out, name, getattr(self, name).reshape(self.n, self.cells)[rows].ravel())
         return out
 
+    def fold(self, cells: int) -> "Sketches":
+        """The same sets in fewer cells: neighbours within a third add up."""
+        if cells == self.cells:
+            return self
+        out = Sketches(0, cells)
+        out.n, shape = self.n, (self.n * cells, self.cells // cells)
+        out.count = self.count.reshape(shape).sum(1, dtype=np.int32)
+        out.keys = np.bitwise_xor.reduce(self.keys.reshape(shape), axis=1)
+        out.sums = np.bitwise_xor.reduce(self.sums.reshape(shape), axis=1)
+        return out
+
     def peel(self):
         """Take all digests out: (row, digest, sign, failed rows).  The sketches are used up."""
         rows, keys, signs = [], [], []
@@ -146,20 +164,73 @@ def rows_of(keys, row, rows, n):
     return keys[got >= 0], got[got >= 0]
 
 
-def differing(left, right, n: int):
-    """Number of digests in one set only, for n pairs of sets, growing the sketches that fail.
-
-    ``left`` and ``right`` are (digest, row) of the pairs' sets.
-    """
-    out = np.zeros(n, np.int64)
-    todo, cells = np.arange(n), CELLS
-    while len(todo):
-        a = sketch(*rows_of(*left, todo, n), len(todo), cells)
-        b = sketch(*rows_of(*right, todo, n), len(todo), cells)
-        row, _, _, failed = a.minus(b).peel()
-        out[todo] = np.bincount(row, minlength=len(todo))
-        todo, cells = todo[failed], cells * GROWTH
-    return out
+class Prints:
+    """The published sketches of ``n`` sets, in groups of one size, and what peels out of them."""
+
+    def __init__(self, keys: np.ndarray, row: np.ndarray, n: int):
+        self.sizes = np.bincount(row, minlength=n)
+        self.group, self.place, self.groups = np.zeros(n, np.int64), np.zeros(n, np.int64), []
+        level = np.ceil(np.log2(np.maximum(self.sizes * ROOM / CELLS, 1))).astype(np.int64)
+        todo, got_rows, got_keys = np.arange(n), [], []
+        while len(todo):
+            again = []
+            for k in np.unique(level[todo]):
+                rows = todo[level[todo] == k]
+                s = sketch(*rows_of(keys, row, rows, n), len(rows), CELLS * GROWTH ** int(k))
+                at, key, _, failed = s.pick(np.arange(len(rows))).peel()
+                fine = np.setdiff1d(np.arange(len(rows)), failed)
+                self.group[rows[fine]], self.place[rows[fine]] = len(self.groups), np.arange(len(fine))
+                self.groups.append(s.pick(fine))
+                whole = np.isin(at, fine)
+                got_rows.append(rows[at[whole]])
+                got_keys.append(key[whole])
+                again.append(rows[failed])
+            todo = np.concatenate(again)
+            level[todo] += 1
+        self.row = np.concatenate(got_rows) if got_rows else np.zeros(0, np.int64)
+        self.keys = np.concatenate(got_keys) if got_keys else np.zeros(0, U64)
+
+    def texts(self) -> list[str]:
+        out = np.empty(len(self.sizes), object)
+        for g, s in enumerate(self.groups):
+            rows = np.flatnonzero(self.group == g)
+            rows = rows[np.argsort(self.place[rows])]
+            out[rows] = to_text(s, self.sizes[rows])
+        return out.tolist()
+
+
+def nearness(a: Prints, i: np.ndarray, b: Prints, j: np.ndarray) -> np.ndarray:
+    """Likeness of the i-th sketches of ``a`` and the j-th of ``b``, pair by pair."""
+    diff, far = np.zeros(len(i), np.int64), []
+    kind = a.group[i] * len(b.groups) + b.group[j]
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        x, y = a.groups[k // len(b.groups)].pick(a.place[i[at]]), b.groups[k % len(b.groups)].pick(b.place[j[at]])
+        cells = min(x.cells, y.cells)
+        row, _, _, failed = x.fold(cells).minus(y.fold(cells)).peel()
+        diff[at] = np.bincount(row, minlength=len(at))
+        far.append(at[failed])
+    far = np.concatenate(far) if far else np.zeros(0, np.int64)
+    if len(far):
+        shared = common(a, i[far], b, j[far])
+        diff[far] = a.sizes[i[far]] + b.sizes[j[far]] - 2 * shared
+    return likeness(diff, a.sizes[i], b.sizes[j])
+
+
+def common(a: Prints, i: np.ndarray, b: Prints, j: np.ndarray) -> np.ndarray:
+    """Digests that both of a pair peel to, at their full sizes."""
+    sides = []
+    for prints, rows in ((a, i), (b, j)):
+        order = np.argsort(prints.row, kind="stable")
+        begin = np.searchsorted(prints.row[order], rows)
+        n = np.searchsorted(prints.row[order], rows, "right") - begin
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        sides.append((np.repeat(np.arange(len(rows)), n), prints.keys[order][np.repeat(begin, n) + within]))
+    pair, key = (np.concatenate([one, two]) for one, two in zip(*sides))
+    order = np.lexsort((key, pair))
+    pair, key = pair[order], key[order]
+    twice = (pair[1:] == pair[:-1]) & (key[1:] == key[:-1])
+    return np.bincount(pair[1:][twice], minlength=len(i))
 
 
 def difference(left: str | None, right: str | None):
@@ -197,13 +268,24 @@ def from_text(value: str) -> tuple[Sketches, int]:
     return out, int(n)
 
 
-def likeness_of(a: str, b: str) -> float | None:
-    """Likeness from two published fingerprints, or None if they are too small for the difference."""
+def alone(s: Sketches, n: int) -> set:
+    """The digests of one published sketch."""
+    s.count = s.count.astype(np.int16).astype(np.int32)
+    _, key, _, failed = s.peel()
+    if len(failed) or len(key) != n:
+        raise ValueError("not a published fingerprint")
+    return set(key.tolist())
+
+
+def likeness_of(a: str, b: str) -> float:
+    """Likeness of two published fingerprints."""
     (x, n), (y, m) = from_text(a), from_text(b)
-    d = x.minus(y)
+    cells = min(x.cells, y.cells)
+    d = x.fold(cells).minus(y.fold(cells))
     d.count = d.count.astype(np.int16).astype(np.int32)  # published counts are modulo 65536
     row, _, _, failed = d.peel()
-    return None if len(failed) else float(likeness(np.array(len(row)), n, m))
+    diff = len(alone(x, n) ^ alone(y, m)) if len(failed) else len(row)
+    return float(likeness(np.array(diff), n, m))
 
 
 def edit(text: str, following: str) -> str:
@@ -212,18 +294,22 @@ def edit(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def compare(ids, texts: list[str], following: list[str], digest) -> pa.RecordBatch:
-    edited = [edit(t, f) for t, f in zip(texts, following)]
-    n = len(texts)
-    sets = [digests(*utf8(pa.array(x, pa.large_string()))) for x in (texts, edited, following)]
-    sizes = [np.bincount(row, minlength=n) for _, row in sets]
-    prints = [to_text(sketch(*sets[k], n), sizes[k]) for k in (0, 1)]
-    near = [likeness(differing(sets[0], sets[k], n), sizes[0], sizes[k]) for k in (1, 2)]
+def prints_of(texts: list[str]) -> Prints:
+    return Prints(*digests(*utf8(pa.array(texts, pa.large_string()))), len(texts))
+
+
+def compare(ids, texts: list[str], own: np.ndarray, digest) -> pa.RecordBatch:
+    """The results of the texts ``own``, each of which is followed by its successor."""
+    edited = [edit(texts[k], texts[k + 1]) for k in own]
+    before, after = prints_of(texts), prints_of(edited)
+    published = before.texts()
     return pa.RecordBatch.from_pydict({
-        "doc_id": ids, "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+        "doc_id": ids, "n_chars": pa.array([len(texts[k]) for k in own], pa.int64()),
         "edited_sha256": pa.array([digest(e.encode()) for e in edited], pa.string()),
-        "fingerprint": pa.array(prints[0], pa.string()), "edited_fingerprint": pa.array(prints[1], pa.string()),
-        "near_edited": pa.array(near[0], pa.float64()), "near_next": pa.array(near[1], pa.float64())})
+        "fingerprint": pa.array([published[k] for k in own], pa.string()),
+        "edited_fingerprint": pa.array(after.texts(), pa.string()),
+        "near_edited": pa.array(nearness(before, own, after, np.arange(len(own))), pa.float64()),
+        "near_next": pa.array(nearness(before, own, before, own + 1), pa.float64())})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -231,11 +317,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, j, off, data in text_slices(batch):
-                keys, row = digests(off, data)
-                n = np.bincount(row, minlength=j - i)
+                prints = Prints(*digests(off, data), j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(n),
-                     pa.array(to_text(sketch(keys, row, j - i), n), pa.string())],
+                    [batch.column("doc_id").slice(i, j - i), pa.array(prints.sizes), pa.array(prints.texts(), pa.string())],
                     names=["doc_id", "n_paragraphs", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_paragraphs long, fingerprint string")
@@ -287,10 +371,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         size = 0
 
         def flush(rows):
-            own = [(a, b) for a, b in zip(rows, rows[1:]) if not a[1] and a[0] == b[0]]
+            own = [k for k, (a, b) in enumerate(zip(rows, rows[1:])) if not a[1] and a[0] == b[0]]
             if own:
-                yield compare(pa.array([a[2] for a, _ in own], pa.int64()), [a[3] for a, _ in own],
-                              [b[3] for _, b in own], digest)
+                yield compare(pa.array([rows[k][2] for k in own], pa.int64()), [r[3] for r in rows], np.array(own), digest)
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text"))):

@@ -37,15 +37,18 @@ def within_one(a, b):
     return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
 
 
-def dedup_lines(rows, least=16):
+def dedup_lines(rows, least=16, short=False):
     """{(doc_id, text): (kept text, dropped)}; ids are distinct, or rows repeat whole."""
-    out, seen = {}, collections.defaultdict(list)
+    out, seen, brief = {}, collections.defaultdict(list), set()
     for d, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
         kept = []
         for line in t.split("\n"):
             x = line.strip(" \t\n\v\f\r")
             if len(x) < least:
-                kept.append(line)
+                if not (short and x in brief):
+                    kept.append(line)
+                if x:
+                    brief.add(x)
                 continue
             if not any(within_one(x, y) for n in (len(x) - 1, len(x), len(x) + 1) for y in seen[n]):
                 kept.append(line)

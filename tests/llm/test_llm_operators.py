@@ -12,8 +12,8 @@ import llm_brute as B
 from shoppulse.llm import (embedding_dedup, fingerprint, line_dedup, lm_score, mixing, ngram_join, quality_cnn,
                            sentencepiece, suffix_dedup, toxicity)
 from shoppulse.llm import queries as Q
-from shoppulse.llm._spark import components, ship, thinned
-from shoppulse.llm._text import utf8
+from shoppulse.llm._spark import components, ship, table, thinned
+from shoppulse.llm._text import mix64, prefix, span, utf8
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, h string, t string, n_lines string"
 
@@ -443,9 +443,15 @@ def _pieces(text):
     c = collections.Counter()
     for line in (text or "").split("\n"):
         m = [x.span() for x in B.WORD.finditer(line)]
-        n = fingerprint.PIECE_WORDS
-        for k in range(0, len(m), n):
-            c[line[m[k][0]:m[min(k + n, len(m)) - 1][1]]] += 1
+        start, before = 0, 0
+        for k, (i, j) in enumerate(m):
+            raw = np.frombuffer(line[i:j].encode(), np.uint8)
+            h = span(prefix(raw), np.array([0]), np.array([len(raw)]))
+            cut = mix64(h + np.array([before], np.uint64) * fingerprint.CHECK)
+            before = int(h[0])
+            if int(cut[0]) < 2 ** 64 // fingerprint.PIECE_WORDS or k == len(m) - 1:
+                c[line[m[start][0]:j]] += 1
+                start = k + 1
     return c
 
 
@@ -470,6 +476,9 @@ def test_fingerprints_equal_brute_force(sp):
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert r.near_edited == pytest.approx(_jaccard(_pieces(t), _pieces(edited)))
         assert r.near_next == pytest.approx(_jaccard(_pieces(t), _pieces(nxt)))
+        after = got[order[(k + 1) % len(order)][0]].fingerprint
+        assert r.near_edited == fingerprint.likeness_of(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == fingerprint.likeness_of(r.fingerprint, after) == fingerprint.likeness_of(after, r.fingerprint)
     assert got[10].fingerprint == got[rows[4][0]].fingerprint
     single = fingerprint.with_next(frame(sp, [(1, "a b", "s")])).collect()
     assert single[0].near_next == 1.0
@@ -484,11 +493,31 @@ def test_differing_digests_are_recovered():
     assert (len(left), len(right)) == (2, 2)
     far = fingerprint.difference(a, "\n".join(f"else {k}" for k in range(400)))
     assert (len(far[0]), len(far[1])) == (300, 400)
-    off, data = utf8(pa.array([a, b, "zzz " * 900]))
-    keys, row = fingerprint.digests(off, data)
-    prints = fingerprint.to_text(fingerprint.sketch(keys, row, 3), np.bincount(row, minlength=3))
+    prints = fingerprint.prints_of([a, b, "\n".join(f"zz {k}" for k in range(40))]).texts()
     assert fingerprint.likeness_of(prints[0], prints[1]) == pytest.approx(298 / 302)
-    assert fingerprint.likeness_of(prints[0], prints[0]) == 1.0 and fingerprint.likeness_of(prints[0], prints[2]) is None
+    assert fingerprint.likeness_of(prints[0], prints[0]) == 1.0 and fingerprint.likeness_of(prints[0], prints[2]) == 0.0
+    assert len(prints[0]) > 3 * len(prints[2])
+
+
+def test_published_fingerprints_of_given_documents(sp):
+    """The columns are what two stored fingerprints give, for every row of a table."""
+    docs = table(sp, B.SMALL, "documents")
+    got = sorted(fingerprint.with_next(docs).collect(), key=lambda r: r.doc_id)
+    stored = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs).collect()}
+    assert len(got) == len(stored) > 100
+    for r, following in zip(got, got[1:] + got[:1]):
+        assert r.fingerprint == stored[r.doc_id]
+        assert r.near_edited == fingerprint.likeness_of(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == fingerprint.likeness_of(r.fingerprint, following.fingerprint)
+
+
+def test_an_inserted_word_changes_few_pieces():
+    rng = random.Random(8)
+    for _ in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+        k = rng.choice([0, rng.randrange(3000)])
+        one, two = fingerprint.prints_of([" ".join(words), " ".join(words[:k] + ["new"] + words[k:])]).texts()
+        assert fingerprint.likeness_of(one, two) > 0.9
 
 
 # -- SQL ----------------------------------------------------------------------------------------

@@ -15,7 +15,7 @@ def test_pipeline_equals_brute_force(spark):
     model = quality_cnn.fit(docs, labels.filter(fold(F.col("doc_id"), 4) != 2))
     good = {r.doc_id for r in quality_cnn.score(docs, model).filter("score >= 0.7").collect()}
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect() if r.doc_id in good]
-    lines = B.dedup_lines([(d, t) for d, t, _ in rows])
+    lines = B.dedup_lines([(d, t) for d, t, _ in rows], short=True)
     rows = [(d, lines[(d, t)][0], s) for d, t, s in rows]
     heads = {c for _, c in B.classes([(d, B.shingle_set(t)) for d, t, _ in rows], B.similar)}
     rows = [r for r in rows if r[0] in heads]
