@@ -11,11 +11,11 @@ and returns the columns of ``documents``; the last one returns the encoded
 documents.  ``n_chars`` follows a text that a stage changes.
 
 Defined cases: a null text is scored as the empty one, loses no line, is near
-nothing but other texts without words, has no words to mix and no ids; null ids
-and sources are values of their own; a repeated row is one document of its group
-of near-duplicates; texts of any length go through every stage whole; an empty
-table gives an empty result; further columns of ``documents`` pass unchanged up
-to the last stage.
+nothing and, having no words, is never taken into the mix; nor is an empty one.
+Null ids and sources are values of their own; repeated rows are copies in one
+group of near-duplicates; texts of any length go through every stage whole; an
+empty table gives an empty result; further columns of ``documents`` pass
+unchanged up to the last stage.
 
 ``run`` has no SQL form: a trained network and an encoder take part.
 """
