@@ -1,4 +1,4 @@
-"""Document-term matrix, topic models (Spark ML LDA), topic separation and
+"""Document-term matrix, topic models (LDA), topic separation and
 topic share."""
 
 from __future__ import annotations
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoppulse.operators.layout import with_row_index
+from shoppulse.operators.topic_em import fit_em
 from shoppulse.session import written
 
 
@@ -61,22 +62,20 @@ def count_vectors(counts: DataFrame, doc_col: str, term_col: str = "word", n_col
 
 
 def fit_topics(vectors: DataFrame, k: int, seed: int = 0, max_iter: int = 10, optimizer: str = "em"):
-    """Spark ML LDA (``k >= 2``) over every document in each iteration.
+    """LDA (``k >= 2``) over every document in each iteration.
 
-    The default EM optimiser keeps the topic counts of terms and documents as
-    vertices of a graph on the executors and only k totals on the driver, so
-    neither memory nor traffic of the driver grows with the vocabulary.  It
-    checkpoints into the session's checkpoint folder.  ``online`` is Spark's
+    The default ``em`` gives what Spark ML's EM optimiser gives, from its random
+    start, by blocks of documents (:func:`shoppulse.operators.topic_em.fit_em`):
+    topic counts of terms and documents stay on the executors, so neither memory
+    nor traffic of the driver grows with the vocabulary.  ``online`` is Spark's
     variational optimiser (rate 1: all documents), whose term x topic matrix
     does pass through the driver; use it for small vocabularies."""
     from pyspark.ml.clustering import LDA
-    from shoppulse.session import checkpoint_dir
     if k < 2:
         raise ValueError("k must be >= 2")
     if optimizer == "em":
-        checkpoint_dir(vectors.sparkSession)
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="tf")
-    return (lda.setSubsamplingRate(1.0) if optimizer == "online" else lda).fit(vectors)
+        return fit_em(vectors, [k], seed, max_iter)[k]
+    return LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="tf").setSubsamplingRate(1.0).fit(vectors)
 
 
 def topic_terms(lda_model, vocab: DataFrame, n: int = 200) -> DataFrame:
@@ -106,14 +105,14 @@ def topic_overlap(terms: DataFrame, k: int, n: int) -> DataFrame:
 def topic_separation(vectors: DataFrame, vocab: DataFrame, ks=range(2, 11), n: int = 50, seed: int = 0,
                      max_iter: int = 10) -> DataFrame:
     """``(k, mean_cosine)`` for each k; k = 1 is 1 by definition (not
-    fitted).  Lower means better separated topics."""
+    fitted).  Lower means better separated topics.  The fits share their
+    passes over the documents."""
     spark = vectors.sparkSession
     out = spark.createDataFrame([(1, 1.0)], "k int, mean_cosine double")
+    ks = [k for k in ks if k >= 2]
+    models = fit_em(vectors, ks, seed, max_iter) if ks else {}
     for k in ks:
-        if k < 2:
-            continue
-        m = fit_topics(vectors, k, seed, max_iter)
-        out = out.unionByName(topic_overlap(topic_terms(m, vocab, n), k, n))
+        out = out.unionByName(topic_overlap(topic_terms(models[k], vocab, n), k, n))
     return out
 
 

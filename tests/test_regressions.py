@@ -107,6 +107,28 @@ def test_three_million_terms_never_meet_the_driver(spark):
     assert len(top) == 10 and {x.rank for x in top} == set(range(1, 6))
 
 
+def test_blocked_em_finds_the_topics_of_sparks_optimiser(spark, monkeypatch):
+    from pyspark.ml.clustering import LDA
+    from shoppulse.operators import topic_em
+    from shoppulse.session import checkpoint_dir
+    monkeypatch.setattr(topic_em, "BLOCK", 40)
+    rows = [(d, f"w{(d * 7 + j * j) % 23}", 1 + (d + j) % 3) for d in range(60) for j in range(9)]
+    counts = spark.createDataFrame(rows, "d long, word string, n long").groupBy("d", "word").agg(F.sum("n").alias("n"))
+    vec, vocab = TO.count_vectors(counts, "d")
+    checkpoint_dir(spark)
+    models = topic_em.fit_em(vec, [2, 3, 4], seed=5, max_iter=6)
+    for k, model in models.items():
+        want = LDA(k=k, seed=5, maxIter=6, optimizer="em", featuresCol="tf").fit(vec).describeTopics(30).collect()
+        got = model.describeTopics(30).collect()
+        for a, b in zip(got, want):
+            a, b = (dict(zip(x.termIndices, x.termWeights)) for x in (a, b))
+            assert a.keys() == b.keys() and len(a) == 23
+            assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
+    # one pass over the documents for all k: no graph of (document, term) pairs, no fit for each k
+    alone = topic_em.fit_em(vec, [3], seed=5, max_iter=6)[3].describeTopics(5).collect()
+    assert alone == models[3].describeTopics(5).collect()
+
+
 def test_count_vectors_equal_the_matrix(spark):
     rows = [("a", "x", 2), ("a", "y", 1), ("b", "y", 4), ("c", "z", 1), ("c", "x", 1)]
     vec, vocab = TO.count_vectors(spark.createDataFrame(rows, "d string, word string, n long"), "d")
