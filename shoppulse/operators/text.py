@@ -8,9 +8,8 @@ Scale notes
   all tokens) reaches the exchange as one partial row per map task.
 * Per-document totals come from ``size(words)`` on the document row itself,
   so TF needs no second pass or join over the documents.
-* Per-term document frequency is joined back as an aggregate; AQE broadcasts
-  it when its measured size is small and splits skewed join partitions
-  otherwise.
+* Per-term document frequency is joined back as an aggregate: broadcast for the
+  frequent terms, which have most of the counts, and shuffled for the others.
 * Top-n per document uses ``rank() <= n``; Spark plans it with a partial
   ``WindowGroupLimit`` before the shuffle, so a hot document sends only its
   local top-n rows.
@@ -44,6 +43,9 @@ QA_REPLY = '"content":".*?","systemId"'
 QA_CONTENT = '"content":".*?"'
 # ---------------------------------------------------------------------------
 
+#: Share of the documents from which on a term's document frequency is broadcast.
+FREQUENT = 1e-3
+
 
 def _arr(pattern: str) -> Column:
     return F.lit(pattern)
@@ -108,9 +110,11 @@ def doc_term_counts_from_text(df: DataFrame, id_col: str, text_col: str,
                               pattern: str = WORD_PATTERN) -> DataFrame:
     """``(id, word, n, doc_n)`` straight from the text: ``doc_n`` (tokens in
     the document) is ``size`` of the word array, carried through the explode,
-    so TF needs no per-document aggregate or join."""
+    so TF needs no per-document aggregate or join.  The word arrays are dealt
+    by document id, so the counts need no exchange of their own, and what
+    ranks them per document finds them together."""
     arr = word_array(text_col, pattern)
-    return (spread(df).select(F.col(id_col), arr.alias("_w"))
+    return (spread(df).select(F.col(id_col), arr.alias("_w")).repartition(id_col)
               .select(id_col, F.size("_w").cast("bigint").alias("doc_n"), F.explode_outer("_w").alias("word"))
               .filter(F.col("word").isNotNull())
               .groupBy(id_col, "word", "doc_n").agg(F.count(F.lit(1)).alias("n")))
@@ -133,6 +137,11 @@ def tf_idf(counts: DataFrame, doc_col: str, term_col: str = "word", n_col: str =
     ``_N`` (see :func:`docs_with_tokens`); by default it is counted here.
     ``doc_total_col`` names a precomputed per-document token total (see
     :func:`doc_term_counts_from_text`); otherwise it is aggregated here.
+
+    Terms in at least a ``FREQUENT`` share of the documents are looked up in a
+    broadcast table: at most the mean number of terms of a document divided by
+    that share.  They make up most of the counts, which so stay where they are;
+    only the counts of the other terms are shuffled to their document frequency.
     """
     if doc_total_col is None:
         totals = counts.groupBy(doc_col).agg(F.sum(n_col).alias("_doc_n"))
@@ -143,11 +152,14 @@ def tf_idf(counts: DataFrame, doc_col: str, term_col: str = "word", n_col: str =
     # exchange under it is reused and the tokens are produced once
     term_docs = counts.groupBy(term_col).agg(F.count_if(F.col(n_col) > 0).alias("_df"))
     n_docs_col = n_docs if n_docs is not None else counts.agg(F.countDistinct(doc_col).alias("_N"))
-    out = (counts.join(term_docs, on=term_col)
-                 .crossJoin(F.broadcast(n_docs_col))  # one row by construction
-                 .withColumn("tf", F.col(n_col) / F.col(doc_total_col))
-                 .withColumn("idf", F.log(F.col("_N") / F.col("_df")))
-                 .withColumn("tf_idf", F.col("tf") * F.col("idf")))
+    term_docs = term_docs.crossJoin(F.broadcast(n_docs_col))  # one row by construction
+    frequent = term_docs.filter(F.col("_df") >= F.col("_N") * FREQUENT)
+    # the anti join is done before the counting: only tokens of the other terms are counted again
+    rest = counts.join(F.broadcast(frequent.select(term_col)), on=term_col, how="left_anti")
+    out = (counts.join(F.broadcast(frequent), on=term_col).unionByName(rest.join(term_docs, on=term_col))
+           .withColumn("tf", F.col(n_col) / F.col(doc_total_col))
+           .withColumn("idf", F.log(F.col("_N") / F.col("_df")))
+           .withColumn("tf_idf", F.col("tf") * F.col("idf")))
     return out.drop("_df", "_N", "_doc_n")
 
 

@@ -4,6 +4,7 @@ occurrences.  Results are compared with a brute-force pandas computation."""
 
 import math
 import random
+import re
 from collections import Counter
 
 import pandas as pd
@@ -63,3 +64,25 @@ def test_item_correlation_under_skew(spark):
     for (a, b), v in got.items():
         assert math.isclose(v, corr.loc[a, b], rel_tol=1e-9, abs_tol=1e-12)
     assert len(got) == len(m.columns) * (len(m.columns) - 1)
+
+
+def test_frequent_terms_are_not_shuffled_to_their_frequency(spark, monkeypatch):
+    monkeypatch.setattr(T, "FREQUENT", 0.5)  # "hot" is frequent, most words are not
+    docs = [(d, f"hot hot w{'abcdefghij'[d % 10]}" + (" rare" if d % 7 == 0 else "")) for d in range(40)]
+    docs += [(3, "hot hot wd"), (None, "hot only"), (41, None), (42, "")]  # a repeated row, a null key, no words
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    scored = T.tf_idf(T.doc_term_counts_from_text(df, "doc_id", "text"), "doc_id", "word", "n", doc_total_col="doc_n")
+    counts = Counter()
+    for d, t in docs:
+        words = (t or "").split()
+        for w in words:
+            counts[d, w, len(words)] += 1
+    dfreq, n_docs = Counter(w for _, w, _ in counts), 40
+    want = {(d, w): (n, n / total * math.log(n_docs / dfreq[w])) for (d, w, total), n in counts.items()}
+    got = {(r.doc_id, r.word): (r.n, r.tf_idf) for r in scored.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == n and math.isclose(got[k][1], x, rel_tol=1e-12, abs_tol=1e-15) for k, (n, x) in want.items())
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    # the words are dealt by document and the counts have no exchange of their own
+    assert "LeftAnti, BuildRight" in plan
+    assert re.search(r"hashpartitioning\(doc_id#\d+L, \d", plan) and not re.search(r"hashpartitioning\(doc_id#\d+L, word", plan)
