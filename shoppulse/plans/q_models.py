@@ -91,9 +91,22 @@ def fpgrowth_rules(spark, sf_dir):
 FEATS = FX.FEATURES
 
 
+#: Labelled rows a partition, about, when they are dealt to more partitions than they came in.
+ROWS = 10_000
+
+
+def _labelled(spark, sf_dir):
+    """The labelled rows, written: the learners pass over them many times, and
+    each pass over the fixture would take its features from the texts again.
+    Their partitions follow the rows, up to the cluster's cores, not the files
+    and joins they come from."""
+    df = written(FX.labelled_docs(spark, sf_dir))
+    parts = min(spark.sparkContext.defaultParallelism, df.count() // ROWS)
+    return written(df.repartition(parts, "user_pin")) if parts > df.rdd.getNumPartitions() else df
+
+
 def _split(spark, sf_dir):
-    df = FX.labelled_docs(spark, sf_dir)
-    train, valid = S.split(df, "user_pin", [4, 1], seed=0)
+    train, valid = S.split(_labelled(spark, sf_dir), "user_pin", [4, 1], seed=0)
     return train, valid
 
 
@@ -154,7 +167,7 @@ def model_auc(spark, sf_dir):
 SELECT feature FROM z ORDER BY strength DESC NULLS LAST, place LIMIT {FE.top_feature_count(0.9, len(FEATS))}""")
 def chi2_selected(spark, sf_dir):
     """Names of the int(.9 d) features kept by chi-square selection."""
-    df = FX.labelled_docs(spark, sf_dir)
+    df = _labelled(spark, sf_dir)
     _, names = FE.select_features(df, FEATS, 0.9)
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
@@ -208,19 +221,19 @@ def output_users(spark, sf_dir):
 
 @query("oof_scores")
 def oof_scores(spark, sf_dir):
-    oof, _, _ = MO.oof_scores(FX.labelled_docs(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
+    oof, _, _ = MO.oof_scores(_labelled(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
     return oof
 
 
 @query("oof_target")
 def oof_target(spark, sf_dir):
-    _, tgt, _ = MO.oof_scores(FX.labelled_docs(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
+    _, tgt, _ = MO.oof_scores(_labelled(spark, sf_dir), FX.target_docs(spark, sf_dir), FEATS, k=5)
     return tgt
 
 
 @query("remove_mislabelled")
 def remove_mislabelled(spark, sf_dir):
-    kept, _ = MO.remove_mislabelled_models(FX.labelled_docs(spark, sf_dir), FEATS)
+    kept, _ = MO.remove_mislabelled_models(_labelled(spark, sf_dir), FEATS)
     return kept.select("user_pin", "label", "p_lr", "p_mlp", "p_mean")
 
 

@@ -69,3 +69,21 @@ def test_topics_read_every_document_in_each_iteration(spark):
     vectors = spark.createDataFrame([(k, Vectors.dense([1.0 + k % 2, 1.0])) for k in range(20)], ["doc", "tf"])
     assert topics.fit_topics(vectors, 2, max_iter=2, optimizer="online").getSubsamplingRate() == 1.0
     assert topics.fit_topics(vectors, 2, max_iter=2).isDistributed()
+
+
+def test_learners_read_written_features(spark, tmpdir_path, monkeypatch):
+    from shoppulse.plans import q_models as QM
+    docs = [(d, f"some words | and {d}\nlines" * (d % 4), 20 * (d % 4)) for d in range(60)] + [(7, None, None), (None, "x", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(f"{tmpdir_path}/documents.parquet")
+    spark.createDataFrame([(d, d % 2) for d in range(0, 60, 2)] + [(7, 1), (None, 0)], "doc_id long, quality int") \
+        .write.parquet(f"{tmpdir_path}/labels.parquet")
+    want = sorted(map(str, QM.FX.labelled_docs(spark, tmpdir_path).collect()))
+    for rows, least in ((10_000, 1), (8, 4)):
+        monkeypatch.setattr(QM, "ROWS", rows)
+        df = QM._labelled(spark, tmpdir_path)
+        assert sorted(map(str, df.collect())) == want and len(want) == 32
+        # no pass of a learner goes back to the texts, and many rows are on more than one core
+        assert all("/written-" in f for f in df.inputFiles())
+        assert len({r.p for r in df.selectExpr("spark_partition_id() AS p").collect()}) >= min(least, 2)
+    train, valid = QM._split(spark, tmpdir_path)
+    assert all("/written-" in f for d in (train, valid) for f in d.inputFiles())
