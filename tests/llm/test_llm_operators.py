@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -436,6 +437,67 @@ def test_lm_probabilities_equal_a_plain_softmax():
     assert np.allclose(share, 1, atol=1e-3)
 
 
+def _plain_steps(net, around, target):
+    """The same Adagrad steps, as the formulas have them: float32, one product for a step and dense sums."""
+    side, out, bias = net.side.copy(), net.out.copy(), net.bias.copy()
+    memory = [np.full_like(x, 1e-2) for x in (side, out, bias)]
+    spot = around + np.arange(len(lm_score.SIDES)) * (lm_score.CLASSES + 1)
+    for i in range(0, len(target), lm_score.BATCH):
+        x, t = spot[i:i + lm_score.BATCH], target[i:i + lm_score.BATCH]
+        h = sum(side.reshape(-1, lm_score.WIDTH).take(x[:, j], axis=0) for j in range(x.shape[1]))
+        z = out.T @ h.T + bias[:, None]
+        z -= z.max(axis=0)
+        p = np.exp(z)
+        p /= p.sum(axis=0)
+        p[t, np.arange(len(t))] -= 1
+        p /= len(t)
+        cell = (x[:, :, None] * lm_score.WIDTH + np.arange(lm_score.WIDTH)).ravel()
+        parts = np.broadcast_to((out @ p).T[:, None, :], (*x.shape, lm_score.WIDTH)).ravel()
+        g_side = np.bincount(cell, parts, side.size).astype(np.float32).reshape(side.shape)
+        for value, g, m in zip((side, out, bias), (g_side, (p @ h).T, p.sum(axis=1)), memory):
+            m += g * g
+            value -= lm_score.RATE * g / np.sqrt(m)
+    return side, out, bias
+
+
+def _lm_words(n, seed=3):
+    rng = np.random.default_rng(seed)
+    klass = np.minimum(rng.zipf(1.3, n) - 1, lm_score.CLASSES - 1).astype(np.int16)
+    return lm_score.windows(klass, np.sort(rng.integers(0, n // 40 + 1, n))), klass
+
+
+@pytest.mark.parametrize("n, scale", [(1, 1), (200, 1), (256, 1), (900, 1), (900, 60)])
+def test_lm_steps_equal_plain_ones(n, scale):
+    """Steps that fill their blocks and others; at 60 the logits' powers leave the range of 32-bit numbers."""
+    around, klass = _lm_words(n)
+    net = lm_score.Network.start(np.log(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES, np.float32)))
+    net.side[:] *= scale
+    net.out[:] *= scale
+    z = net.side[np.arange(len(lm_score.SIDES)), around].sum(axis=1).astype(float) @ net.out + net.bias
+    assert (z.max() > 128) == (scale > 1)
+    plain = z - z.max(axis=1, keepdims=True)
+    plain = plain[np.arange(n), klass] - np.log(np.exp(plain).sum(axis=1))
+    assert np.allclose(net.log_probability(around, klass), plain, rtol=1e-4, atol=1e-4)
+    want = _plain_steps(net, around, klass)
+    net.train(around, klass, [])
+    for a, b in zip((net.side, net.out, net.bias), want):
+        assert np.isfinite(a).all() and np.allclose(a, b, atol=1e-3 if scale > 1 else 1e-5, rtol=1e-3 if scale > 1 else 1e-5)
+
+
+def test_lm_steps_cost_less_than_plain_ones():
+    """Training every word three times is the operator's time; its steps take well below the CPU of plain ones."""
+    around, klass = _lm_words(40 * lm_score.BATCH)
+    start = lm_score.Network.start(np.zeros(lm_score.CLASSES, np.float32)).flat()
+    took = {"plain": [], "steps": []}
+    for _ in range(7):
+        net = lm_score.Network.from_flat(start)
+        for name, run in (("plain", lambda: _plain_steps(net, around, klass)), ("steps", lambda: net.train(around, klass, []))):
+            before = time.thread_time()
+            run()
+            took[name].append(time.thread_time() - before)
+    assert min(took["steps"]) < 0.75 * min(took["plain"])
+
+
 # -- fingerprints --------------------------------------------------------------------------
 
 def _pieces(text):
