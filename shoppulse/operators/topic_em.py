@@ -6,78 +6,128 @@ Spark's optimiser sends a vector of topics for every (document, term) pair to th
 pair's document and term in every iteration.  Here the pairs are packed into
 blocks that are dealt to groups once and cached there, next to the topic counts
 of their documents; an iteration shuffles one vector for each term of a group,
-to the task that adds up the term over all groups, and the sum back.
+to the task that adds up the term over all groups, and the sum back.  The files of
+both shuffles are removed as soon as the iteration is done.
 
 Nothing passes through the driver but the number of terms.  A task holds the terms
 of its group and one block at a time; fits for several k share one pass as long as
-their term tables stay below ``TABLE`` numbers.  Documents without a term are in no
-block, as in Spark's optimiser.
+their term tables stay below ``TABLE`` numbers, so an iteration has at most twice
+that on disk for each group.  Documents without a term are in no block, as in
+Spark's optimiser.
 """
 
 from __future__ import annotations
 
+import functools
 from typing import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoppulse.session import ship, written
 
-BLOCK = 1 << 17   # pairs of a block
+BLOCK = 1 << 19   # pairs of a block
 GROUP = 1 << 25   # pairs of a group, about
-TABLE = 1 << 24   # numbers in the term tables of one pass
+TABLE = 1 << 22   # numbers in the term tables of one pass
 ETA = 0.1         # topic concentration 1.1, less one
 # Java's generator, which Spark draws its start from
 FACTOR, ADD, MASK = 0x5DEECE66D, 0xB, (1 << 48) - 1
+DRAWS = 1 << 14   # doubles drawn at a time
 
 
 def _place(key: int) -> int:
     return key
 
 
+@functools.cache
+def _jumps():
+    """Factors and summands of the generator's next ``2 * DRAWS`` states."""
+    factors = np.multiply.accumulate(np.full(2 * DRAWS, FACTOR, np.uint64))
+    return factors, np.cumsum(np.concatenate((np.ones(1, np.uint64), factors[:-1])), dtype=np.uint64) * np.uint64(ADD)
+
+
 def uniform(seed: int, skip: int, n: int) -> np.ndarray:
     """The ``n`` doubles that ``java.util.Random(seed)`` draws after its first ``skip``."""
     jump = pow(FACTOR, 2 * skip, (MASK + 1) * (FACTOR - 1))  # two states a double
     state = (((seed ^ FACTOR) & MASK) * jump + (jump - 1) // (FACTOR - 1) * ADD) & MASK
-    power = np.multiply.accumulate(np.full(2 * n, FACTOR, np.uint64))
-    sums = np.cumsum(np.concatenate((np.ones(1, np.uint64), power[:-1]))[:2 * n], dtype=np.uint64)
-    states = (power * np.uint64(state) + sums * np.uint64(ADD)) & np.uint64(MASK)
-    return ((states[0::2] >> np.uint64(22) << np.uint64(27)) + (states[1::2] >> np.uint64(21))) * 2.0 ** -53
-
-
-def _pack(part: int, number: int, first: int, docs: list, groups: int):
+    factors, summands = _jumps()
+    out = np.empty(n)
+    for lo in range(0, n, DRAWS):
+        states = factors[:2 * (n - lo)] * np.uint64(state)
+        states += summands[:len(states)]
+        states &= np.uint64(MASK)
+        out[lo:lo + DRAWS] = (states[0::2] >> np.uint64(22) << np.uint64(27)) + (states[1::2] >> np.uint64(21))
+        state = int(states[-1])
+    out *= 2.0 ** -53
+    return out
+
+
+def _least(x: np.ndarray) -> np.ndarray:
+    """The numbers in the smallest type that holds them as they are."""
+    for kind in (np.uint8, np.uint16, np.float32):
+        small = x.astype(kind)
+        if (small == x).all():
+            return small
+    return x
+
+
+def _pack(number: int, first: int, docs: list) -> pa.RecordBatch:
     terms, place = np.unique(np.concatenate([i for i, _ in docs]), return_inverse=True)
-    n = np.concatenate([v for _, v in docs])
-    small = n.astype(np.float32)
+    n = _least(np.concatenate([v for _, v in docs]))
+    place = place.astype(np.uint16 if len(terms) <= 1 << 16 else np.int32)
     lengths = np.array([len(i) for i, _ in docs], np.int64)
-    return (part + number) % groups, ("block", (part, number), first, lengths, terms, place.astype(np.int32),
-                                      small if (small == n).all() else n)
+    parts = (lengths, terms.astype(np.int32), place, n)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([TaskContext.get().partitionId()]), pa.array([number]), pa.array([first]), pa.array([n.dtype.str]),
+         pa.array([place.dtype.str]), *(pa.array([x.tobytes()], pa.binary()) for x in parts)],
+        names=["part", "number", "first", "kind", "places", "lengths", "terms", "place", "n"])
 
 
 def _blocks(vectors: DataFrame, groups: int):
     """(group, block): the pairs of whole documents, in the order of their partition."""
-    def run(part, rows):
-        docs, held, number, first = [], 0, 0, 0
-        for (tf,) in rows:
-            if tf is None:
+    def entries(batches):
+        for batch in batches:
+            tf = batch.column(0)
+            if tf.null_count:
                 raise ValueError("null vector")
-            dense = tf.toArray() if not hasattr(tf, "indices") else tf.values
-            index = np.flatnonzero(dense) if not hasattr(tf, "indices") else tf.indices[dense != 0]
-            values = dense[dense != 0]
+            sparse = tf.field("type").to_numpy(zero_copy_only=False) == 0
+            ends = [(x.offsets.to_numpy(), x.values.to_numpy()) for x in (tf.field("indices"), tf.field("values"))]
+            for row, is_sparse in enumerate(sparse):
+                index, values = (at[ends_[row]:ends_[row + 1]] for ends_, at in ends)
+                if not is_sparse:
+                    index = np.arange(len(values), dtype=np.int32)
+                some = values != 0
+                yield (index, values) if some.all() else (index[some], values[some])
+
+    def run(batches):
+        docs, held, number, first = [], 0, 0, 0
+        for index, values in entries(batches):
             if not len(index):
                 continue
             if docs and held + len(index) > BLOCK:
-                yield _pack(part, number, first, docs, groups)
+                yield _pack(number, first, docs)
                 docs, held, number, first = [], 0, number + 1, first + held
             docs.append((index, values))
             held += len(index)
         if docs:
-            yield _pack(part, number, first, docs, groups)
+            yield _pack(number, first, docs)
 
-    return vectors.select("tf").rdd.mapPartitionsWithIndex(run).partitionBy(groups, _place)
+    def dealt(r):
+        return (r.part + r.number) % groups, (
+            "block", (r.part, r.number), r.first, np.frombuffer(r.lengths, np.int64), np.frombuffer(r.terms, np.int32),
+            np.frombuffer(r.place, r.places), np.frombuffer(r.n, r.kind))
+
+    packed = vectors.select(F.unwrap_udt("tf").alias("tf")).mapInArrow(
+        run, "part long, number long, first long, kind string, places string, lengths binary, terms binary, place binary, n binary")
+    return packed.rdd.map(dealt).partitionBy(groups, _place)
+
+
+def _forget_shuffles(rdd) -> None:
+    """Remove the shuffle files that ``rdd``, which is kept or written, was made from."""
+    rdd._jrdd.rdd().cleanShuffleDependencies(True)
 
 
 def _messages(ranges: int, width: int, terms: np.ndarray, sums: np.ndarray, total: np.ndarray):
@@ -97,24 +147,25 @@ def _starter(ks, seed, groups, width):
     columns = _columns(ks)
 
     def run(group, rows):
-        found = []
+        own, sums = np.empty(0, np.int32), np.empty((0, columns[-1][2]))
         total = np.zeros(columns[-1][2])
         for _, (_, key, first, lengths, terms, place, n) in rows:
             starts = np.cumsum(lengths) - lengths
             docs, words = np.empty((len(lengths), columns[-1][2])), np.empty((len(terms), columns[-1][2]))
             for k, lo, hi in columns:
                 share = uniform(key[0] + seed, first * k, len(n) * k).reshape(-1, k)
-                share *= (n / share.sum(axis=1))[:, None]
+                scale = n / share.sum(axis=1)
                 for j in range(k):
-                    docs[:, lo + j] = np.add.reduceat(share[:, j], starts)
-                    words[:, lo + j] = np.bincount(place, share[:, j], len(terms))
+                    x = share[:, j] * scale
+                    docs[:, lo + j] = np.add.reduceat(x, starts)
+                    words[:, lo + j] = np.bincount(place, x, len(terms))
             total += docs.sum(axis=0)
-            found.append((terms, words))
-            yield group, ("docs", key, docs)
-        own = np.unique(np.concatenate([t for t, _ in found])) if found else np.empty(0, np.int32)
-        sums = np.zeros((len(own), len(total)))
-        for terms, words in found:
+            both = np.union1d(own, terms)
+            if len(both) > len(own):
+                own, sums, before = both, np.zeros((len(both), len(total))), (own, sums)
+                sums[np.searchsorted(own, before[0])] = before[1]
             sums[np.searchsorted(own, terms)] += words
+            yield group, ("docs", key, docs)
         for message in _messages(groups, width, own, sums, total):
             yield group, message
 
@@ -159,12 +210,17 @@ def _stepper(ks, groups, width, size):
                 new, sent = np.zeros_like(values), np.zeros_like(total)
             _, key, _, lengths, terms, place, n = row
             at = np.searchsorted(own, terms)
-            word, doc, row_of, starts = values[at], docs.pop(key), np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
-            words = np.empty_like(word)
+            doc, starts, place = docs.pop(key), np.cumsum(lengths) - lengths, place.astype(np.int64)
+            word, words = np.ascontiguousarray(values[at].T), np.empty((len(terms), len(total)))
+            share, scale = np.empty((max(ks), len(place))), np.empty(len(place))
             for k, lo, hi in columns:
-                share = [(doc[:, j] + 50.0 / k)[row_of] * word[:, j][place] for j in range(lo, hi)]
-                scale = n / sum(share)
-                for j, x in zip(range(lo, hi), share):
+                scale[:] = 0
+                for x, j in zip(share, range(lo, hi)):
+                    np.take(word[j], place, out=x, mode="clip")  # all are in range
+                    x *= np.repeat(doc[:, j] + 50.0 / k, lengths)
+                    scale += x
+                np.divide(n, scale, out=scale)
+                for x, j in zip(share, range(lo, hi)):
                     x *= scale
                     doc[:, j] = np.add.reduceat(x, starts)
                     words[:, j] = np.bincount(place, x, len(terms))
@@ -226,12 +282,15 @@ def fit_em(vectors: DataFrame, ks: Iterable[int], seed: int = 0, max_iter: int =
     if head is None:
         raise ValueError("no documents")
     size, ks = head.tf.size, list(dict.fromkeys(ks))
-    entries = vectors.select("tf").rdd.map(lambda r: r.tf.numNonzeros()).sum()
+    tf = F.unwrap_udt("tf")
+    entries = vectors.agg(F.sum(F.size(tf["values"]).cast("long"))).first()[0] or 0
     groups = max(1, min(spark.sparkContext.defaultParallelism, entries // BLOCK), -(-entries // GROUP))
     width = -(-size // groups)
     blocks = _blocks(vectors, groups).persist(StorageLevel.MEMORY_AND_DISK)
     models = {}
     try:
+        blocks.count()
+        _forget_shuffles(blocks)
         while ks:
             some = [ks.pop(0)]
             while ks and (sum(some) + ks[0]) * size <= TABLE:
@@ -257,6 +316,7 @@ def _fit(blocks, ks, seed, max_iter, groups, width, size) -> DataFrame:
             raise RuntimeError("the groups are not dealt alike")
         new = joined.mapPartitionsWithIndex(step, True).persist(StorageLevel.MEMORY_AND_DISK)
         new.count()
+        _forget_shuffles(new)
         out.unpersist()
         out = new
 
@@ -270,8 +330,8 @@ def _fit(blocks, ks, seed, max_iter, groups, width, size) -> DataFrame:
             yield t * width, bytearray(sums.tobytes()), bytearray(total.tobytes())
 
     from pyspark.sql import SparkSession
-    made = SparkSession.active().createDataFrame(_to_ranges(out, groups).mapPartitionsWithIndex(table),
-                                                 "first long, counts binary, total binary")
-    tables = written(made)
+    rows = _to_ranges(out, groups).mapPartitionsWithIndex(table)
+    tables = written(SparkSession.active().createDataFrame(rows, "first long, counts binary, total binary"))
+    _forget_shuffles(rows)
     out.unpersist()
     return tables

@@ -129,6 +129,49 @@ def test_blocked_em_finds_the_topics_of_sparks_optimiser(spark, monkeypatch):
     assert alone == models[3].describeTopics(5).collect()
 
 
+
+def _shuffles(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    names = [files.apply(i).getName() for i in range(files.size())]
+    return {x.split("_")[1] for x in names if x.startswith("shuffle_")}
+
+
+def test_iterations_leave_no_shuffle_files(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    from shoppulse.operators import topic_em
+    from shoppulse.session import checkpoint_dir
+    monkeypatch.setattr(topic_em, "BLOCK", 20)
+    checkpoint_dir(spark)
+    rows = [(d, Vectors.sparse(12, {(d + j) % 12: 1.0 + j for j in range(4)}) if d % 3 else
+             Vectors.dense([float((d + j) % 3) for j in range(12)])) for d in range(40)]
+    vec = spark.createDataFrame(rows, ["d", "tf"])
+    before = _shuffles(spark)
+    models = topic_em.fit_em(vec, [2, 3], seed=1, max_iter=5)
+    assert len(_shuffles(spark) - before) <= 1  # that of counting the pairs; two for each iteration otherwise
+    for model in models.values():
+        for t in model.describeTopics(12).collect():
+            assert sorted(t.termIndices) == list(range(12)) and abs(sum(t.termWeights) - 1) < 1e-9
+
+
+def test_random_start_in_pieces(monkeypatch):
+    from shoppulse.operators import topic_em
+
+    def java(seed, n):
+        state, out = (seed ^ 0x5DEECE66D) & ((1 << 48) - 1), []
+        for _ in range(n):
+            bits = []
+            for width in (26, 27):
+                state = (state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
+                bits.append(state >> (48 - width))
+            out.append(((bits[0] << 27) + bits[1]) * 2.0 ** -53)
+        return out
+
+    n = topic_em.DRAWS + 50
+    want = java(7, 2 * n)
+    assert topic_em.uniform(7, 0, 2 * n).tolist() == want
+    assert topic_em.uniform(7, n, n).tolist() == want[n:]
+
+
 def test_count_vectors_equal_the_matrix(spark):
     rows = [("a", "x", 2), ("a", "y", 1), ("b", "y", 4), ("c", "z", 1), ("c", "x", 1)]
     vec, vocab = TO.count_vectors(spark.createDataFrame(rows, "d string, word string, n long"), "d")
