@@ -55,9 +55,10 @@ def _arr(pattern: str) -> Column:
 
 def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATTERN,
              stopwords: Iterable[str] | None = None, positions: bool = False,
-             word_col: str = "word") -> DataFrame:
+             word_col: str = "word", lists: bool = False) -> DataFrame:
     """One row per token: ``(id, word)``, or ``(id, word, index_word)`` with a
-    1-based position inside the document when ``positions`` is set (W1).
+    1-based position inside the document when ``positions`` is set (W1), or
+    one row per text with its tokens as a list when ``lists`` is set.
 
     ``stopwords`` drops tokens before they are emitted (the segmenter's stop
     list).  Positions count the kept tokens, as the segmenter numbers them."""
@@ -66,6 +67,8 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, pattern: str = WORD_PATT
         stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
         arr = F.filter(arr, lambda w: ~F.array_contains(stop, w))
     base = spread(df).select(F.col(id_col), arr.alias("_w"))
+    if lists:
+        return base.withColumnRenamed("_w", word_col)
     # explode_outer + null filter: a plain explode makes the optimizer infer
     # ``size(regex result) > 0`` below the projection, evaluating the regex
     # twice per document
@@ -92,10 +95,11 @@ def tag_words(tokens: DataFrame, lexicon: DataFrame, word_col: str = "word",
 
 
 def term_frequency(tokens: DataFrame, n: int | None = None, word_col: str = "word",
-                   freq_col: str = "frequency") -> DataFrame:
+                   freq_col: str = "frequency", n_col: str | None = None) -> DataFrame:
     """``(word, frequency)`` sorted by frequency descending then word; top-n
-    when ``n`` is given (a top-k report)."""
-    out = tokens.groupBy(word_col).agg(F.count(F.lit(1)).alias(freq_col))
+    when ``n`` is given (a top-k report).  Rows that stand for several tokens
+    have their number in ``n_col``."""
+    out = tokens.groupBy(word_col).agg((F.sum(n_col) if n_col else F.count(F.lit(1))).alias(freq_col))
     out = out.orderBy(F.col(freq_col).desc(), F.col(word_col))
     return out.limit(n) if n else out
 

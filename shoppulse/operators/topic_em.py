@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from shoppulse.session import ship, written
 
 BLOCK = 1 << 19   # pairs of a block
+SLICE = 1 << 14   # pairs of a block's documents that are shared out at a time, about
 GROUP = 1 << 25   # pairs of a group, about
 TABLE = 1 << 22   # numbers in the term tables of one pass
 ETA = 0.1         # topic concentration 1.1, less one
@@ -74,8 +75,20 @@ def _least(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _listed(index: np.ndarray):
+    """The distinct terms in order, and the place of each."""
+    top = int(index.max()) + 1
+    if top > 4 * len(index):
+        return np.unique(index, return_inverse=True)
+    seen = np.zeros(top, bool)  # no sort
+    seen[index] = True
+    terms, place = np.flatnonzero(seen), np.empty(top, np.int64)
+    place[terms] = np.arange(len(terms))
+    return terms, place[index]
+
+
 def _pack(number: int, first: int, docs: list) -> pa.RecordBatch:
-    terms, place = np.unique(np.concatenate([i for i, _ in docs]), return_inverse=True)
+    terms, place = _listed(np.concatenate([i for i, _ in docs]))
     n = _least(np.concatenate([v for _, v in docs]))
     place = place.astype(np.uint16 if len(terms) <= 1 << 16 else np.int32)
     lengths = np.array([len(i) for i, _ in docs], np.int64)
@@ -194,6 +207,7 @@ def _stepper(ks, groups, width, size):
 
     def run(group, rows):
         docs, parts, total, own, values, new = {}, [], None, None, None, None
+        room, shares = np.empty(0, np.int64), None  # kept from block to block
         for _, row in rows:
             if row[0] == "docs":
                 docs[row[1]] = row[2]
@@ -210,19 +224,25 @@ def _stepper(ks, groups, width, size):
                 new, sent = np.zeros_like(values), np.zeros_like(total)
             _, key, _, lengths, terms, place, n = row
             at = np.searchsorted(own, terms)
-            doc, starts, place = docs.pop(key), np.cumsum(lengths) - lengths, place.astype(np.int64)
-            word, words = np.ascontiguousarray(values[at].T), np.empty((len(terms), len(total)))
-            share, scale = np.empty((max(ks), len(place))), np.empty(len(place))
+            if len(room) < len(place):
+                room, shares = np.empty(len(place), np.int64), np.empty((max(ks), len(place)))
+            doc, ends, share = docs.pop(key), np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths))), shares[:, :len(place)]
+            room[:len(place)] = place
+            place, word, words = room[:len(place)], np.ascontiguousarray(values[at].T), np.empty((len(terms), len(total)))
+            cuts = [*np.unique(np.searchsorted(ends[:-1], np.arange(0, len(place), SLICE))).tolist(), len(lengths)]
             for k, lo, hi in columns:
-                scale[:] = 0
-                for x, j in zip(share, range(lo, hi)):
-                    np.take(word[j], place, out=x, mode="clip")  # all are in range
-                    x *= np.repeat(doc[:, j] + 50.0 / k, lengths)
-                    scale += x
-                np.divide(n, scale, out=scale)
+                for a, b in zip(cuts, cuts[1:]):
+                    part, mine, starts = slice(ends[a], ends[b]), doc[a:b], ends[a:b] - ends[a]
+                    scale = np.zeros(ends[b] - ends[a])
+                    for x, j in zip(share[:, part], range(lo, hi)):
+                        np.take(word[j], place[part], out=x, mode="clip")  # all are in range
+                        x *= np.repeat(mine[:, j] + 50.0 / k, lengths[a:b])
+                        scale += x
+                    np.divide(n[part], scale, out=scale)
+                    for x, j in zip(share[:, part], range(lo, hi)):
+                        x *= scale
+                        mine[:, j] = np.add.reduceat(x, starts)
                 for x, j in zip(share, range(lo, hi)):
-                    x *= scale
-                    doc[:, j] = np.add.reduceat(x, starts)
                     words[:, j] = np.bincount(place, x, len(terms))
             new[at] += words
             sent += doc.sum(axis=0)

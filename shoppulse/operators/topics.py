@@ -6,18 +6,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shoppulse.operators import packed_counts
 from shoppulse.operators.layout import with_row_index
+from shoppulse.operators.packed_counts import PackedCounts
 from shoppulse.operators.topic_em import fit_em
-from shoppulse.session import written
+from shoppulse.session import shuffles_removed, written
 
 
-def doc_term_matrix(tokens: DataFrame, doc_col: str, term_col: str = "word", min_df: int = 5,
-                    drop_digits: bool = True) -> DataFrame:
+def doc_term_matrix(tokens: DataFrame | PackedCounts, doc_col: str, term_col: str = "word", min_df: int = 5,
+                    drop_digits: bool = True) -> DataFrame | PackedCounts:
     """Long document-term matrix ``(doc, term, n)`` keeping terms present in at
-    least ``min_df`` documents (tokens of length >= 1, digit tokens removed)."""
-    toks = tokens.filter(F.length(term_col) >= 1)
+    least ``min_df`` documents (tokens of length >= 1, digit tokens removed).
+
+    The matrix of packed counts (:func:`shoppulse.operators.packed_counts.pack`)
+    is packed as well: the same chunks with the kept terms."""
+    packed = isinstance(tokens, PackedCounts)
+    toks = (tokens.terms if packed else tokens).filter(F.length(term_col) >= 1)
     if drop_digits:
         toks = toks.filter(~F.col(term_col).rlike("^[0-9]+$"))
+    if packed:
+        return tokens._replace(terms=toks.filter(F.col("df") >= min_df))
     counts = toks.groupBy(doc_col, term_col).agg(F.count(F.lit(1)).alias("n"))
     # document frequency read off the counts (count_if(n > 0) uses the count
     # column, so this branch's token aggregation stays identical to the main
@@ -38,9 +46,9 @@ def term_index(counts: DataFrame, term_col: str = "word", n_col: str = "n") -> D
     return written(with_row_index(terms.select("term"), "term", "term_index"))
 
 
-def count_vectors(counts: DataFrame, doc_col: str, term_col: str = "word", n_col: str = "n"):
+def count_vectors(counts: DataFrame | PackedCounts, doc_col: str, term_col: str = "word", n_col: str = "n"):
     """Sparse count vectors per document from a long count table
-    ``(doc, term, n)`` with unique (doc, term), such as
+    ``(doc, term, n)`` with unique (doc, term), or a packed one, such as
     :func:`doc_term_matrix`.  Returns ``(vectors DataFrame(doc, tf),
     vocabulary DataFrame(term, term_index))``.
 
@@ -50,6 +58,13 @@ def count_vectors(counts: DataFrame, doc_col: str, term_col: str = "word", n_col
     pass of an iterative fit is a plain scan."""
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql.types import StructField, StructType
+    if isinstance(counts, PackedCounts):
+        with shuffles_removed(counts.terms.sparkSession):
+            terms = counts.terms.select("bucket", F.col(term_col).alias("term"))
+            numbered = written(with_row_index(terms, "term", "term_index"))
+            size = numbered.count()
+            rows = packed_counts.vectors(counts, numbered, size, doc_col)
+            return written(rows, StructType([rows.schema[doc_col], StructField("tf", VectorUDT())])), numbered.select("term", "term_index")
     vocab = term_index(counts, term_col, n_col)
     size = vocab.count()
     entry = F.struct(F.col("term_index").cast("int").alias("i"), F.col(n_col).cast("double").alias("v"))

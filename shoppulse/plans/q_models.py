@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shoppulse.operators import features as FE
 from shoppulse.operators import models as MO
+from shoppulse.operators import packed_counts as PC
 from shoppulse.operators import rules as R
 from shoppulse.operators import sampling as S
 from shoppulse.operators import scoring as SC
@@ -241,10 +242,10 @@ def remove_mislabelled(spark, sf_dir):
 
 def _vectors(spark, sf_dir):
     docs = FX.table(spark, sf_dir, "documents")
-    toks = T.tokenize(docs, "doc_id", "text", stopwords=FX.STOP_WORDS)
-    counts = TP.doc_term_matrix(toks, "doc_id", "word", min_df=5)
-    vec, vocab = TP.count_vectors(written(counts), "doc_id")  # written: numbered and joined
-    return toks, vec, vocab
+    toks = T.tokenize(docs, "doc_id", "text", stopwords=FX.STOP_WORDS, lists=True)
+    packed = PC.pack(toks, "doc_id", "word")
+    vec, vocab = TP.count_vectors(TP.doc_term_matrix(packed, "doc_id", "word", min_df=5), "doc_id")
+    return packed, vec, vocab
 
 
 @query("topic_terms")
@@ -261,6 +262,6 @@ def topic_separation(spark, sf_dir):
 
 @query("topic_share")
 def topic_share(spark, sf_dir):
-    toks, vec, vocab = _vectors(spark, sf_dir)
+    packed, vec, vocab = _vectors(spark, sf_dir)
     terms = TP.topic_terms(TP.fit_topics(vec, 3, seed=0), vocab, 200)
-    return TP.topic_share(terms, T.term_frequency(toks))
+    return TP.topic_share(terms, T.term_frequency(packed.terms, n_col="n"))

@@ -130,6 +130,57 @@ def test_blocked_em_finds_the_topics_of_sparks_optimiser(spark, monkeypatch):
 
 
 
+def _odd_texts():
+    texts = [(d, " ".join(f"W{'abcdefghijklmnopqrstuvwxyz'[(d * 7 + j * j) % 26]}é the" for j in range(d % 11))) for d in range(80)]
+    texts += [(3, "wa wa only three"), (None, "wa wb"), (None, "wb the"), (200, None), (201, ""), (202, "the the"), (203, "12 rare")]
+    return texts + [(300, "wa " * 70_000 + "wb")]
+
+
+@pytest.mark.parametrize("chunk, min_df", [(1, 5), (40, 5), (1 << 19, 5), (40, 1), (40, 1000)])
+def test_packed_counts_give_the_vectors_of_the_long_matrix(spark, monkeypatch, chunk, min_df):
+    from shoppulse.operators import packed_counts
+    monkeypatch.setattr(packed_counts, "CHUNK", chunk)
+    df = spark.createDataFrame(_odd_texts(), "doc_id long, text string").repartition(5)
+    long = T.tokenize(df, "doc_id", "text", pattern="[a-zé0-9]+", stopwords=["the"])
+    packed = packed_counts.pack(T.tokenize(df, "doc_id", "text", pattern="[a-zé0-9]+", stopwords=["the"], lists=True), "doc_id", "word")
+    want, terms = TO.count_vectors(TO.doc_term_matrix(long, "doc_id", "word", min_df), "doc_id")
+    got, vocab = TO.count_vectors(TO.doc_term_matrix(packed, "doc_id", "word", min_df), "doc_id")
+    assert sorted(vocab.collect()) == sorted(terms.collect())
+    assert "12" not in {r.term for r in vocab.collect()}
+    rows = {r.doc_id: r.tf for r in got.collect()}
+    assert len(rows) == got.count() == want.count()
+    assert rows == {r.doc_id: r.tf for r in want.collect()}
+    assert sorted(T.term_frequency(packed.terms, n_col="n").collect()) == sorted(T.term_frequency(long).collect())
+    # a list of a chunk's terms is gathered by term, no (document, term) pair
+    assert packed.lists.count() <= packed_counts.BUCKETS * packed.chunks.count()
+
+
+def test_text_keys_and_no_documents_packed(spark):
+    from shoppulse.operators import packed_counts
+    for rows in ([("b'x`", "u v u"), ("a", "v"), ("b'x`", "w")], []):
+        df = spark.createDataFrame(rows, "`the doc` string, text string")
+        packed = packed_counts.pack(T.tokenize(df, "the doc", "text", lists=True), "the doc", "word")
+        vec, vocab = TO.count_vectors(TO.doc_term_matrix(packed, "the doc", "word", 1), "the doc")
+        assert {r["the doc"]: r.tf.toArray().tolist() for r in vec.collect()} == ({"b'x`": [2, 1, 1], "a": [0, 1, 0]} if rows else {})
+        assert vocab.count() == (3 if rows else 0)
+
+
+def test_topics_read_the_text_once(spark, monkeypatch):
+    from shoppulse.operators import text
+    from shoppulse.plans import fixtures, q_models
+    tokenized, long = [], []
+    whole, matrix = text.tokenize, q_models.TP.doc_term_matrix
+    monkeypatch.setattr(text, "tokenize", lambda *a, **b: tokenized.append(whole(*a, **b)) or tokenized[-1])
+    monkeypatch.setattr(q_models.TP, "doc_term_matrix", lambda tokens, *a, **b: long.append(tokens) or matrix(tokens, *a, **b))
+    docs = spark.createDataFrame(_odd_texts() * 2, "doc_id long, text string")
+    monkeypatch.setattr(fixtures, "table", lambda *a: docs)
+    out = q_models.topic_share(spark, "")
+    assert [r.topic for r in out.orderBy("topic").collect()] == [1, 2, 3]
+    # the words are counted from packed counts: no plan from here on makes them from the text again
+    assert len(tokenized) == 1 and not hasattr(long[0], "rdd")
+    assert "regexp_extract_all" not in out._jdf.queryExecution().toString()
+
+
 def _shuffles(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     names = [files.apply(i).getName() for i in range(files.size())]
