@@ -13,18 +13,18 @@ document is in one chunk and bounded by its own distinct terms.
 from __future__ import annotations
 
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import monotonically_increasing_id as serial
 
-from shoppulse.session import ship, shuffles_removed, written
+from shoppulse.session import frugal, ship, written
 
-CHUNK = 1 << 19   # counts of a chunk, about
+CHUNK = 1 << 18   # counts of a chunk, about
 BUCKETS = 256     # of terms
 
 
@@ -56,7 +56,7 @@ def _rows_of(bounds: np.ndarray, data) -> pa.Array:
 
 
 def _counted(batches):
-    """The distinct tokens of each document of a batch, with their sizes in bytes and counts."""
+    """The distinct tokens of each document, with their sizes in bytes and counts."""
     for batch in batches:
         doc, lists = batch.column(0).dictionary_encode(null_encoding="encode"), batch.column(1)
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -69,7 +69,6 @@ def _counted(batches):
         row, code = np.divmod(key, known)
         first = np.flatnonzero(np.diff(row, prepend=-1))
         bounds = np.append(first, len(row))
-        # at most the bytes of a batch
         words = tokens.dictionary.cast(pa.binary()).take(pa.array(code))
         offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
         yield pa.RecordBatch.from_arrays([
@@ -98,12 +97,13 @@ def _chunk(kind: pa.DataType, rows: list) -> pa.RecordBatch:
         n, (doc, place) = total, np.divmod(key, len(terms))
     df, of_term = np.bincount(place, minlength=len(terms)), np.zeros(len(terms), np.int64)
     np.add.at(of_term, place, n)
-    bucket = pd.util.hash_array(np.array(terms.to_pylist(), object), categorize=False) % BUCKETS
+    words = terms.cast(pa.large_binary())
+    bucket = np.fromiter((crc32(w) for w in words.to_pylist()), np.int64, len(words)) % BUCKETS
     order = np.argsort(bucket, kind="stable")
     seat = np.empty_like(order)
     seat[order] = np.arange(len(order))
     cuts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).tolist()
-    words = terms.cast(pa.large_binary()).take(pa.array(order))
+    words = words.take(pa.array(order))
     offsets, text = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1], words.buffers()[2]
     cut = lambda x: [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
     listed = ([text[int(offsets[a]):int(offsets[b])].to_pybytes() for a, b in zip(cuts, cuts[1:])], cut(np.diff(offsets).astype(np.int32)),
@@ -162,7 +162,7 @@ def pack(tokens: DataFrame, doc_col: str, list_col: str, term_col: str = "word")
         return pa.Table.from_arrays([pa.array(np.full(len(known), lists["bucket"][0].as_py(), np.int32)), known, *sums],
                                     names=["bucket", term_col, "df", "n"])
 
-    with shuffles_removed(spark):
+    with frugal(spark):
         chunks = written(chunks.withColumn("chunk", serial()))
         each = F.posexplode(F.arrays_zip("text", "sizes", "df", "tokens")).alias("bucket", "t")
         lists = chunks.select("chunk", each).filter(F.length("t.sizes") > 0).select(

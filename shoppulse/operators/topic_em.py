@@ -27,9 +27,9 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoppulse.session import ship, written
+from shoppulse.session import frugal, ship, written
 
-BLOCK = 1 << 19   # pairs of a block
+BLOCK = 1 << 18   # pairs of a block
 SLICE = 1 << 14   # pairs of a block's documents that are shared out at a time, about
 GROUP = 1 << 25   # pairs of a group, about
 TABLE = 1 << 22   # numbers in the term tables of one pass
@@ -135,7 +135,16 @@ def _blocks(vectors: DataFrame, groups: int):
 
     packed = vectors.select(F.unwrap_udt("tf").alias("tf")).mapInArrow(
         run, "part long, number long, first long, kind string, places string, lengths binary, terms binary, place binary, n binary")
-    return packed.rdd.map(dealt).partitionBy(groups, _place)
+    with frugal(vectors.sparkSession):
+        return _dealt(packed.rdd.map(dealt), groups)
+
+
+def _dealt(rdd, groups: int):
+    """By group.  Shuffled rows are batches of pickled rows, as mapped ones are, and are
+    read as such: a union of both would else map them once more in every iteration."""
+    out = rdd.partitionBy(groups, _place)
+    out._jrdd_deserializer = rdd.ctx.serializer
+    return out
 
 
 def _forget_shuffles(rdd) -> None:
@@ -209,6 +218,8 @@ def _stepper(ks, groups, width, size):
         docs, parts, total, own, values, new = {}, [], None, None, None, None
         room, shares = np.empty(0, np.int64), None  # kept from block to block
         for _, row in rows:
+            if row[0] == "terms":  # sent, and back in the sums
+                continue
             if row[0] == "docs":
                 docs[row[1]] = row[2]
                 continue
@@ -256,7 +267,7 @@ def _stepper(ks, groups, width, size):
 
 
 def _to_ranges(out, groups):
-    return out.filter(lambda r: r[1][0] == "terms").map(lambda r: (r[1][1], r)).partitionBy(groups, _place)
+    return _dealt(out.filter(lambda r: r[1][0] == "terms").map(lambda r: (r[1][1], r)), groups)
 
 
 class TopicModel:
@@ -328,10 +339,9 @@ def _fit(blocks, ks, seed, max_iter, groups, width, size) -> DataFrame:
     out.count()
     step, add = _stepper(ks, groups, width, size), _adder(groups, width)
     for _ in range(max_iter):
-        sums = _to_ranges(out, groups).map(lambda r: (r[0], (r[1][0], r[1][1])), True).mapPartitionsWithIndex(add).partitionBy(groups, _place)
-        docs = out.filter(lambda r: r[1][0] == "docs")
+        sums = _dealt(_to_ranges(out, groups).map(lambda r: (r[0], (r[1][0], r[1][1])), True).mapPartitionsWithIndex(add), groups)
         # all three are dealt alike: a group's partitions follow each other, blocks last, unshuffled
-        joined = sums.union(docs).union(blocks)
+        joined = sums.union(out).union(blocks)
         if joined.getNumPartitions() != groups:
             raise RuntimeError("the groups are not dealt alike")
         new = joined.mapPartitionsWithIndex(step, True).persist(StorageLevel.MEMORY_AND_DISK)

@@ -10,7 +10,7 @@ from shoppulse.operators import packed_counts
 from shoppulse.operators.layout import with_row_index
 from shoppulse.operators.packed_counts import PackedCounts
 from shoppulse.operators.topic_em import fit_em
-from shoppulse.session import shuffles_removed, written
+from shoppulse.session import frugal, written
 
 
 def doc_term_matrix(tokens: DataFrame | PackedCounts, doc_col: str, term_col: str = "word", min_df: int = 5,
@@ -59,7 +59,7 @@ def count_vectors(counts: DataFrame | PackedCounts, doc_col: str, term_col: str
     from pyspark.ml.linalg import VectorUDT
     from pyspark.sql.types import StructField, StructType
     if isinstance(counts, PackedCounts):
-        with shuffles_removed(counts.terms.sparkSession):
+        with frugal(counts.terms.sparkSession):
             terms = counts.terms.select("bucket", F.col(term_col).alias("term"))
             numbered = written(with_row_index(terms, "term", "term_index"))
             size = numbered.count()
