@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shoppulse.session import frugal, ship, written
 
-BLOCK = 1 << 18   # pairs of a block
+BLOCK = 1 << 17   # pairs of a block
 SLICE = 1 << 14   # pairs of a block's documents that are shared out at a time, about
 GROUP = 1 << 25   # pairs of a group, about
 TABLE = 1 << 22   # numbers in the term tables of one pass
@@ -342,7 +342,7 @@ def _fit(blocks, ks, seed, max_iter, groups, width, size) -> DataFrame:
         sums = _dealt(_to_ranges(out, groups).map(lambda r: (r[0], (r[1][0], r[1][1])), True).mapPartitionsWithIndex(add), groups)
         # all three are dealt alike: a group's partitions follow each other, blocks last, unshuffled
         joined = sums.union(out).union(blocks)
-        if joined.getNumPartitions() != groups:
+        if joined.getNumPartitions() != blocks.getNumPartitions():
             raise RuntimeError("the groups are not dealt alike")
         new = joined.mapPartitionsWithIndex(step, True).persist(StorageLevel.MEMORY_AND_DISK)
         new.count()

@@ -204,6 +204,21 @@ def test_iterations_leave_no_shuffle_files(spark, monkeypatch):
             assert sorted(t.termIndices) == list(range(12)) and abs(sum(t.termWeights) - 1) < 1e-9
 
 
+def test_more_partitions_than_groups_give_the_same_topics(spark, monkeypatch):
+    from pyspark import RDD
+    from pyspark.ml.linalg import Vectors
+    from shoppulse.operators import topic_em
+    from shoppulse.session import checkpoint_dir
+    monkeypatch.setattr(topic_em, "BLOCK", 20)
+    checkpoint_dir(spark)
+    rows = [(d, Vectors.sparse(12, {(d + j) % 12: 1.0 + j for j in range(4)})) for d in range(40)]
+    vec = spark.createDataFrame(rows, ["d", "tf"])
+    want = topic_em.fit_em(vec, [2], seed=1, max_iter=3)[2].describeTopics(12).collect()
+    dealt = RDD.partitionBy
+    monkeypatch.setattr(RDD, "partitionBy", lambda self, n, *a: dealt(self, max(n, 13), *a))
+    assert topic_em.fit_em(vec, [2], seed=1, max_iter=3)[2].describeTopics(12).collect() == want
+
+
 def test_random_start_in_pieces(monkeypatch):
     from shoppulse.operators import topic_em
 
